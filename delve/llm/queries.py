@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from delve.llm.ann import op9_ann
 from delve.llm.decontaminate import op5_decontaminate
 from delve.llm.packing import op3_packing
 from delve.llm.secrets import op1_secret_scan
@@ -13,7 +14,7 @@ from delve.llm.token_store import op2_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_token_store, op3_packing, op5_decontaminate]
+    found = [op1_secret_scan, op2_token_store, op3_packing, op5_decontaminate, op9_ann]
     return {f.__name__: f for f in found}
 
 
