@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from delve.llm.ann import op9_ann
 from delve.llm.decontaminate import op5_decontaminate
+from delve.llm.jaccard_join import op10_jaccard_join
 from delve.llm.langid import op7_langid
 from delve.llm.packing import op3_packing
 from delve.llm.quality import op6_quality
@@ -17,7 +18,7 @@ from delve.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_token_store, op3_packing, op5_decontaminate, op6_quality, op7_langid, op8_toxicity, op9_ann]
+    found = [op1_secret_scan, op2_token_store, op3_packing, op5_decontaminate, op6_quality, op7_langid, op8_toxicity, op9_ann, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
