@@ -50,21 +50,29 @@ class Model:
     bits: int
 
 
-def bucket_of(word: str, bits: int) -> int:
+def buckets_of(word: str, bits: int) -> np.ndarray:
+    """The buckets of a word and its beginnings; the word's own is the first."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(word_features(raw, np.array([0, len(raw)]), bits)[1][0])
-
-
-def swapped(doc: np.ndarray, bucket: np.ndarray, groups: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each (document, bucket) that is an identity term, once for each other term of its kind: (document, its bucket, the other's)."""
-    out = []
-    for group in groups:
-        for i, b in enumerate(group):
-            at = doc[bucket == b]
-            for other in (group[(i + 1) % len(group)], group[(i + 3) % len(group)]):
-                if other != b and len(at):
-                    out.append((at, np.full(len(at), b), np.full(len(at), other)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    return word_features(raw, np.array([0, len(raw)]), bits)[1]
+
+
+def swaps(doc: np.ndarray, bucket: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The swaps of each identity term for two others of its kind: (swap, bucket, sign) of each feature that goes (1) or comes (-1), and how
+    many labelled texts each swap is made in."""
+    parts, counts = [], []
+    held, times = np.unique(bucket, return_counts=True)
+    for _, words in params.identity:
+        own = [buckets_of(w, params.bits) for w in words]
+        for i, b in enumerate(own):
+            at = np.searchsorted(held, b[0])
+            if at == len(held) or held[at] != b[0]:
+                continue
+            for other in (own[(i + 1) % len(own)], own[(i + 3) % len(own)]):
+                parts += [(np.full(len(x), len(counts)), x, np.full(len(x), sign)) for x, sign in ((b, 1), (other, -1))]
+                counts.append(times[at])
+    if not parts:
+        return (np.zeros(0, np.int64),) * 4
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), np.array(counts)
 
 
 def fit(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, counts: dict, params: Params) -> Model:
@@ -72,26 +80,25 @@ def fit(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, counts: dict, p
     p, n = params, np.bincount(labels, minlength=2)
     if not n.all():
         return Model(np.zeros(1 << p.bits, np.float32), float(np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))), p.bits)
-    groups = [[bucket_of(w, p.bits) for w in words] for _, words in p.identity]
-    changed, had, gets = swapped(doc, bucket, groups)
+    swap, moved, sign, times = swaps(doc, bucket, p)
     known, inverse, freq = np.unique(bucket, return_inverse=True, return_counts=True)
     share, rate = n[1] / len(labels), freq / len(labels)
     away = np.bincount(inverse, labels[doc] == 1, len(known)) - freq * share
     telling = np.abs(away) >= p.association * np.sqrt(freq * share * (1 - share) * (1 - rate) + 1e-9)
-    known = np.union1d(known[(freq >= p.least_docs) & telling], np.concatenate([had, gets]))
+    known = np.union1d(known[(freq >= p.least_docs) & telling], moved)
     at = np.searchsorted(known, bucket)
     keep = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == bucket) if len(known) else np.zeros(len(bucket), bool)
     doc, at = doc[keep], at[keep]
-    had, gets = np.searchsorted(known, had), np.searchsorted(known, gets)
+    moved = np.searchsorted(known, moved)
     each = np.where(labels == 1, 0.5 / n[1], 0.5 / n[0])  # both labels count alike; the prior is put back below
     w, b = np.zeros(len(known)), 0.0
     ws, bs = np.full(len(known), 1e-8), 1e-8
     for _ in range(p.rounds):
         error = (sigmoid(np.bincount(doc, w[at], len(labels)) + b) - labels) * each
         grad = np.bincount(at, error[doc], len(known)) + p.l2 * w
-        if len(changed):
-            change = (w[had] - w[gets]) * (2 * p.swap / len(changed))
-            grad += np.bincount(had, change, len(known)) - np.bincount(gets, change, len(known))
+        if len(times):
+            change = np.bincount(swap, sign * w[moved]) * (2 * p.swap * times / times.sum())
+            grad += np.bincount(moved, sign * change[swap], len(known))
         ws, bs = ws + grad**2, bs + error.sum() ** 2
         w -= p.rate * grad / np.sqrt(ws)
         b -= p.rate * error.sum() / np.sqrt(bs)
