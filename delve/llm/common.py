@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass looks at; a longer document is a pass of its own.
 CHUNK_BYTES = 1 << 20
-#: Records of an Arrow batch, so that a batch of long documents stays small.
-BATCH_ROWS = 500
+#: Records and bytes of an Arrow batch, so that a batch of long documents stays small.
+BATCH_ROWS, BATCH_BYTES = 500, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; text batches sent to Python are kept small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,12 +13,19 @@ from delve.llm.langid import op7_langid
 from delve.llm.packing import op3_packing
 from delve.llm.quality import op6_quality
 from delve.llm.secrets import op1_secret_scan
+from delve.llm.substring_dedup import op4_substring_dedup
 from delve.llm.token_store import op2_token_store
 from delve.llm.toxicity import op8_toxicity
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_token_store, op3_packing, op5_decontaminate, op6_quality, op7_langid, op8_toxicity, op9_ann, op10_jaccard_join]
+    found = [op1_secret_scan, op2_token_store, op3_packing, op4_substring_dedup, op5_decontaminate, op6_quality, op7_langid, op8_toxicity, op9_ann, op10_jaccard_join, pipeline]
     return {f.__name__: f for f in found}
 
 

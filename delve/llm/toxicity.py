@@ -79,7 +79,7 @@ def fit(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, counts: dict, p
     """doc, bucket: the distinct features of each labelled text.  Full-gradient steps with a rate of its own for each weight."""
     p, n = params, np.bincount(labels, minlength=2)
     if not n.all():
-        return Model(np.zeros(1 << p.bits, np.float32), float(np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))), p.bits)
+        return Model(np.zeros(1 << p.bits, np.float32), float(np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 1.5))), p.bits)  # none is toxic unless told
     swap, moved, sign, times = swaps(doc, bucket, p)
     known, inverse, freq = np.unique(bucket, return_inverse=True, return_counts=True)
     share, rate = n[1] / len(labels), freq / len(labels)
