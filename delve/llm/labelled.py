@@ -26,9 +26,21 @@ def sample_ids(labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dic
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
-    return chosen, counts
+    return least_hashed(rows, counts, most), counts
+
+
+def least_hashed(rows: DataFrame, counts: dict, most: int) -> DataFrame:
+    """Of rows (doc_id, label) at most `most` of each label, those of smallest hashed id.
+
+    A label's rows of a hash over twice the share that is wanted leave first, so that few rows meet in a label's window.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
+    share = F.shiftrightunsigned("h", 11) / F.lit(2.0**53)
+    wanted = F.lit(1.0)
+    for label, count in counts.items():
+        wanted = F.when(F.col("label") == label, min(1.0, (2 * most + 100) / count)).otherwise(wanted)
+    order = Window.partitionBy("label").orderBy(F.shiftrightunsigned("h", 11), "doc_id")
+    return hashed.where(share <= wanted).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n", "h")
 
 
 def with_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:

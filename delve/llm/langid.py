@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delve.llm.common import CHUNK_BYTES, spans_of_rows, table, utf8
-from delve.llm.labelled import held_out, with_texts
+from delve.llm.labelled import held_out, least_hashed, with_texts
 from delve.llm.wordhash import LOWER, word_bounds, word_hashes
 
 UNKNOWN = "und"
@@ -220,10 +220,9 @@ def learn(docs: DataFrame, params: Params = Params()) -> Model:
     """Fit on docs (doc_id, text, lang): at most most_per_language rows of each language, those of smallest hashed id, none held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
-    common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(params.languages).select("label")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= params.most_per_language).drop("n")
-    chosen = chosen.join(F.broadcast(common), "label", "left_semi").dropDuplicates(["doc_id", "label"])
+    common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(params.languages).collect()
+    chosen = least_hashed(rows.where(F.col("label").isin([r.label for r in common])), {r.label: r["count"] for r in common}, params.most_per_language)
+    chosen = chosen.dropDuplicates(["doc_id", "label"])
     found = with_texts(docs, chosen).select("doc_id", "label", F.encode("text", "UTF-8").alias("raw")).where(F.col("raw").isNotNull())
     texts = sorted((r.doc_id, r.label, bytes(r.raw)) for r in found.collect())
     rng = np.random.default_rng(params.seed)
