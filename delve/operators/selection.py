@@ -42,7 +42,12 @@ def capped_round_robin(rows: DataFrame, buckets: list[str], target: int, cap: in
                 break
         return data.loc[taken]
 
-    return small.groupBy(F.lit(0)).applyInPandas(greedy, small.schema)
+    one = small.withColumn("_all", F.lit(0))
+    return one.groupBy("_all").applyInPandas(lambda data: greedy(data.drop(columns="_all")), small.schema)
+
+
+def _with_seed(seed: int):
+    return lambda s: F.struct(s.alias("system"), F.lit(seed).cast("int").alias("seed"))
 
 
 def rotated_schedule(tasks: DataFrame, plain: list[str], rotated: list[str], seeds: list[int], key: str = "task_id") -> DataFrame:
@@ -53,8 +58,9 @@ def rotated_schedule(tasks: DataFrame, plain: list[str], rotated: list[str], see
     parts = [fixed]
     for j, seed in enumerate(seeds):
         names = F.array(*map(F.lit, rotated))
-        turned = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i, j=j, names=names: F.get(names, ((i + F.col("place") + j) % n).cast("int")))
-        parts.append(F.transform(turned, lambda s, seed=seed: F.struct(s.alias("system"), F.lit(seed).cast("int").alias("seed"))))
+        begin = ((F.col("place") + j) % n).cast("int")
+        turned = F.concat(F.slice(names, begin + 1, n), F.slice(names, F.lit(1), begin))
+        parts.append(F.transform(turned, _with_seed(seed)))
     each = numbered.select(key, "place", F.posexplode(F.concat(*parts)).alias("step", "x"))
     return each.select((F.col("place") * (len(plain) + n * len(seeds)) + F.col("step")).cast("long").alias("position"), key, "x.system", "x.seed")
 
