@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delve.functions.text import path_parts
+from delve.sources.stage import cut
 
 
 def dependency_edges(imports: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
@@ -55,23 +56,16 @@ def levels(edges: DataFrame, most: int = 64, src: str = "src", dst: str = "dst")
 
     A cycle never settles; it is an error after `most` rounds, as a longer chain is.  Use dependency_order for graphs with cycles.
     """
-    step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-    nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
-    left, out, known = nodes, None, None
+    step = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    left = cut(step.select(F.col("src").alias("node")).union(step.select("dst")).distinct())
+    out = left.limit(0).withColumn("level", F.lit(0))
     for n in range(most):
-        blocked = step if known is None else step.join(known, step["dst"] == known["node"], "left_anti")
-        ready = left.join(blocked.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-        ready = ready.withColumn("level", F.lit(n)).checkpoint() if ready.sparkSession.sparkContext.getCheckpointDir() else ready.withColumn("level", F.lit(n))
-        if ready.isEmpty():
-            break
-        out = ready if out is None else out.unionByName(ready)
-        known = out.select("node")
-        left = left.join(ready.select("node"), "node", "left_anti")
-    else:
-        raise ValueError(f"no order within {most} levels: the graph has a cycle, or a longer chain")
-    if not left.isEmpty():
-        raise ValueError("the graph has a cycle")
-    return out
+        ready = left.join(step.select(F.col("src").alias("node")), "node", "left_anti")
+        left, step = cut(left.join(step.select(F.col("src").alias("node")), "node", "left_semi")), cut(step.join(ready.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        out = out.unionByName(cut(ready.withColumn("level", F.lit(n))))
+        if left.isEmpty():
+            return out
+    raise ValueError(f"no order within {most} levels: the graph has a cycle, or a longer chain")
 
 
 def _order(nodes: Iterable[str], pairs: set[tuple[str, str]]) -> list[str]:
