@@ -29,5 +29,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_DECONTAMINATE = f"""
+with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
+bw as (select item_id, w, least(13, len(w)) as k, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0),
+bg as (select distinct item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as g from bw),
+dw as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d cross join (select distinct k from bg) where len(w) >= k),
+dg as (select doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') as g from dw),
+hit as (select dg.doc_id, dg.p, dg.k, bg.item_id from dg join bg on dg.g = bg.g and dg.k = bg.k),
+places as (select doc_id, p + o as pos from (select doc_id, p, unnest(range(k)) as o from (select distinct doc_id, p, k from hit))),
+n as (select doc_id, count(distinct pos) as n_hit from places group by doc_id),
+i as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hit) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.ids, '')) as items_sha256,
+coalesce(n.n_hit, 0) > 0 and 20 * coalesce(n.n_hit, 0) >= len(d.w) as contaminated from d left join n on n.doc_id = d.doc_id left join i on i.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are held against brute force, a round trip or held-out rows in tests/llm."""
+    return {"op5_decontaminate": _DECONTAMINATE}
