@@ -22,11 +22,15 @@ from delve.llm.common import materialise, table
 from delve.llm.tokens import default_file
 
 
+#: Before the names of columns that a stage adds for itself, so that none of docs is hidden.
+OWN = "_stage_"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a score under the threshold; the model learns from the labels of docs."""
     table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.score(docs, model, prefix=OWN).where(F.col(f"{OWN}predicted") == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +39,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = docs.join(classes, docs["doc_id"].cast("long") == classes["doc_id"], "left_anti")
     # rows of one doc_id and one text are copies of each other, and so are different texts under one id that the join has linked
     order = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    numbered = kept.where("doc_id is not null").withColumn("copy", F.row_number().over(order)).where("copy = 1").drop("copy")
+    numbered = kept.where("doc_id is not null").withColumn(f"{OWN}copy", F.row_number().over(order)).where(f"{OWN}copy = 1").drop(f"{OWN}copy")
     return numbered.unionByName(kept.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), prefix=OWN)
+    return found.where(~decontaminate.contaminated(f"{OWN}n_hit", f"{OWN}n_words")).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

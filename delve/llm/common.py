@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Delete the folders that shared_dir() has given out, once no result that reads them is wanted any more."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the session's checkpoint folder, which all executors share.
 
@@ -36,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="delve-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
-    return f"{base.rstrip('/')}/delve-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/delve-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialise(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:

@@ -75,7 +75,7 @@ class Windows:
 _FIELDS = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
 
 
-def _scanner(windows: Windows):
+def _scanner(windows: Windows, prefix: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
@@ -84,8 +84,8 @@ def _scanner(windows: Windows):
             spans: list[list[int]] = [[] for _ in range(n)]
             items: list[list[str]] = [[] for _ in range(n)]
             before = {}  # what earlier slices of the benchmark have hit
-            if "hit_spans" in batch.schema.names:
-                rows = zip(batch.column("hit_spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
+            if f"{prefix}hit_spans" in batch.schema.names:
+                rows = zip(batch.column(f"{prefix}hit_spans").to_pylist(), batch.column(f"{prefix}items").to_pylist(), strict=True)
                 before = {i: (a, b) for i, (a, b) in enumerate(rows) if a}
             for first, last in spans_of_rows(offsets):
                 raw = LOWER[data[offsets[first] : offsets[last]]]
@@ -113,9 +113,10 @@ def _scanner(windows: Windows):
                         mine = np.flatnonzero(hit & (owner == d))
                         runs = np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1)
                         spans[first + d] = [int(x) for r in runs for x in (starts[r[0]] - own[d], ends[r[-1]] - own[d])]
-            keep = [x for x in batch.schema.names if x not in dict(_FIELDS)]
+            made = [prefix + x for x, _ in _FIELDS]
+            keep = [x for x in batch.schema.names if x not in made]
             new = [pa.array(n_words), pa.array(n_hit), pa.array(spans, _FIELDS[2][1]), pa.array(items, _FIELDS[3][1])]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *new], [*keep, *(x for x, _ in _FIELDS)])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *new], [*keep, *made])
 
     return scan
 
@@ -132,17 +133,17 @@ def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[objec
     yield held
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slice_bytes: int = SLICE_BYTES, prefix: str = "") -> DataFrame:
     """docs with n_words, n_hit, hit_spans (byte offsets: start, end, start, …) and items (occurring item_ids as strings, sorted).
 
     Null and empty texts have no words and no hits; items without words have no window; an empty benchmark hits nothing.  Columns of
-    docs that have one of these names are left out.
+    docs that have one of these names are left out; prefix goes before the names of the new columns.
     """
-    docs = docs.drop(*(x for x, _ in _FIELDS))
-    new = [StructField("n_words", LongType()), StructField("n_hit", LongType())]
-    new += [StructField("hit_spans", ArrayType(LongType())), StructField("items", ArrayType(StringType()))]
+    docs = docs.drop(*(prefix + x for x, _ in _FIELDS))
+    new = [StructField(f"{prefix}n_words", LongType()), StructField(f"{prefix}n_hit", LongType())]
+    new += [StructField(f"{prefix}hit_spans", ArrayType(LongType())), StructField(f"{prefix}items", ArrayType(StringType()))]
     fields = StructType([*docs.schema.fields, *new])
-    scan_with = lambda df, w: df.mapInArrow(lambda batches: _scanner(w.value)(batches), fields)
+    scan_with = lambda df, w: df.mapInArrow(lambda batches: _scanner(w.value, prefix)(batches), fields)
     for items in _slices(benchmark, slice_bytes):
         docs = scan_with(docs, docs.sparkSession.sparkContext.broadcast(Windows(items, n)))
     return docs

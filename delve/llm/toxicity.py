@@ -136,19 +136,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: Para
     return fit(doc, np.concatenate([*words, np.zeros(0, np.int64)]), np.array([r.y for r in rows], np.int64), counts, params)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with held_out, score and predicted (columns of these names are replaced).  A null text is scored as an empty one."""
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    """docs with held_out, score and predicted (prefix goes before these names; columns that have them are replaced).  A null text is scored as
+    an empty one."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    out, split, label = (prefix + x for x in ("score", "held_out", "predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
             parts = [score_chunk(held.value, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in spans_of_rows(offsets)]
-            yield batch.append_column("score", pa.array(np.concatenate([*parts, np.zeros(0)])))
+            yield batch.append_column(out, pa.array(np.concatenate([*parts, np.zeros(0)])))
 
-    rows = docs.drop("score", "predicted", "held_out").withColumn("held_out", held_out())
-    scored = rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.drop(out, split, label).withColumn(split, held_out())
+    scored = rows.mapInArrow(run, rows.withColumn(out, F.lit(0.0)).schema)
+    return scored.withColumn(label, (F.col(out) >= threshold).cast("int"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

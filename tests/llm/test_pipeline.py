@@ -60,10 +60,13 @@ def test_stages_on_odd_and_empty_tables(spark, name, tmp_path):
         spark.read.parquet(f"{D}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     schema = spark.read.parquet(f"{D}/documents.parquet").schema
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, None, None, None, None), (3, "same text here", "en", "s", 14), (3, "same text here", "en", "s", 14)], schema)
+    docs = docs.selectExpr("*", "doc_id as score", "lang as items", "'kept' as copy", "7 as n_hit", "1 as predicted")  # clashing names
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     rows = stage(spark, docs, str(tmp_path)).collect()
     assert len(rows) == (4 if name == "near_duplicates" else 5)
+    if name != "packing":
+        assert all((r["score"], r["items"], r["copy"], r.n_hit, r.predicted) == (r.doc_id, r.lang, "kept", 7, 1) for r in rows)
 
 
 def test_one_row_of_each_class_stays(spark):
