@@ -44,6 +44,7 @@ class Index:
     top: float  # the largest squared norm
     sample: np.ndarray
     sample_copies: np.ndarray
+    sample_ids: np.ndarray  # of all its vectors, one after the other
     probes: int
     params: Params
 
@@ -62,6 +63,12 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
 
 
+def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each row has, and all of them, one after the other."""
+    ids = column.combine_chunks()
+    return ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy()
+
+
 def augmented(x: np.ndarray, top: float) -> np.ndarray:
     """One more component makes all norms equal, so that the nearest by distance are those of largest inner product."""
     x = x.astype(np.float64)
@@ -89,7 +96,7 @@ def kmeans(x: np.ndarray, lists: int, seed: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def train(sample: np.ndarray, copies: np.ndarray, top: float, rows: int, params: Params) -> Index:
+def train(sample: np.ndarray, copies: np.ndarray, ids: np.ndarray, top: float, rows: int, params: Params) -> Index:
     dim = sample.shape[1]
     rng = np.random.default_rng(params.seed)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
@@ -110,7 +117,19 @@ def train(sample: np.ndarray, copies: np.ndarray, top: float, rows: int, params:
         np.put_along_axis(rank, order, np.arange(lists)[None, :].repeat(len(asked), 0), axis=1)
         needed = np.sort(np.take_along_axis(rank, own[best], axis=1).ravel())
         probes = int(needed[min(len(needed) - 1, int(np.ceil(params.recall * len(needed))))]) + 1
-    return Index(rotation, centroids, top, sample, copies, probes, params)
+    return Index(rotation, centroids, top, sample, copies, ids, probes, params)
+
+
+def _sample_best(index: Index, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, sample rows, inner products) of blocks of queries: each one's k + 1 best of the sample, best first."""
+    sample = index.sample.astype(np.float64)
+    m = min(index.params.k + 1, len(sample))
+    for a in range(0, len(q), 256):
+        inner = q[a : a + 256].astype(np.float64) @ sample.T
+        best = np.argpartition(-inner, m - 1, axis=1)[:, :m]
+        score = np.take_along_axis(inner, best, axis=1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        yield a, np.take_along_axis(best, order, axis=1), np.take_along_axis(score, order, axis=1)
 
 
 def first_threshold(index: Index, q: np.ndarray) -> np.ndarray:
@@ -119,20 +138,32 @@ def first_threshold(index: Index, q: np.ndarray) -> np.ndarray:
     out = np.full(len(q), -np.inf)
     if index.sample_copies.sum() < need:
         return out
-    sample = index.sample.astype(np.float64)
-    for a in range(0, len(q), 256):
-        inner = q[a : a + 256].astype(np.float64) @ sample.T
-        m = min(need, inner.shape[1])
-        best = np.argpartition(-inner, m - 1, axis=1)[:, :m]
-        score = np.take_along_axis(inner, best, axis=1)
-        order = np.argsort(-score, axis=1)
-        copies = np.cumsum(np.take_along_axis(index.sample_copies[best], order, axis=1), axis=1)
+    for a, best, score in _sample_best(index, q):
+        copies = np.cumsum(index.sample_copies[best], axis=1)
         at = np.argmax(copies >= need, axis=1)
-        found = np.take_along_axis(np.take_along_axis(score, order, axis=1), at[:, None], axis=1)[:, 0]
-        out[a : a + 256] = np.where(copies[:, -1] >= need, found, -np.inf)
+        out[a : a + len(best)] = np.where(copies[:, -1] >= need, np.take_along_axis(score, at[:, None], axis=1)[:, 0], -np.inf)
     return out - 1e-6 * (1 + np.abs(np.where(np.isfinite(out), out, 0)))
 
 
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The inner products of pairs of rows, in double precision."""
+    return np.einsum("ij,ij->i", q.astype(np.float64), x.astype(np.float64))
+
+
+def expanded(rows: np.ndarray, cols: np.ndarray, score: np.ndarray, copies: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """(row, id, score) of the `most` best of each row, each vector of cols with all its ids; ties to the smaller id."""
+    n = copies[cols]
+    ends = np.cumsum(copies)
+    rows, score = np.repeat(rows, n), np.repeat(score, n)
+    vec = ids[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((ends - copies)[cols], n)]
+    order = np.lexsort((vec, -score, rows))
+    rows, score, vec = rows[order], score[order], vec[order]
+    first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.zeros(0, np.int64)
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+    best = place < most
+    return rows[best], vec[best], score[best]
+
+
 def adaptive_scan(q: np.ndarray, x: np.ndarray, floor: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (query, vector) of at least floor[query] that no test abandons, and their scores.
 
@@ -161,8 +192,7 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, floor: np.ndarray, index: Index)
             wide = (1 + p.epsilon / np.sqrt(b)) ** 2 if b < dim else 1.0
             alive = part * (dim / b) <= limit * wide + 1e-9 * (1 + limit)
             rows, cols, part, limit = rows[alive], cols[alive], part[alive], limit[alive]
-    score = np.einsum("ij,ij->i", q[rows].astype(np.float64), x[cols].astype(np.float64))
-    return rows, cols, score
+    return rows, cols, exact(q[rows], x[cols])
 
 
 def _distinct(vectors: DataFrame, k: int) -> DataFrame:
@@ -189,8 +219,8 @@ def search(vectors: DataFrame, queries: DataFrame, params: Params = Params()) ->
     distinct = materialise(_distinct(vectors.where(same), p.k), "vectors")
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     facts = distinct.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
-    held = distinct.select(F.size("ids").alias("copies"), "embedding").orderBy(F.xxhash64("key")).limit(p.sample).toArrow()
-    index = spark.sparkContext.broadcast(train(matrix(held["embedding"]), held["copies"].to_numpy(), facts.top, facts.n, p))
+    held = distinct.select("ids", "embedding").orderBy(F.xxhash64("key")).limit(p.sample).toArrow()
+    index = spark.sparkContext.broadcast(train(matrix(held["embedding"]), *_ids(held["ids"]), facts.top, facts.n, p))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
@@ -240,26 +270,28 @@ def search(vectors: DataFrame, queries: DataFrame, params: Params = Params()) ->
         out: list[tuple[np.ndarray, ...]] = []
         if a.num_rows and b.num_rows:
             q, x, floor, keys = matrix(a["embedding"]), matrix(b["embedding"]), a["floor"].to_numpy(), a["key"].to_numpy()
-            ids = b["ids"].combine_chunks()
-            ends, flat = np.cumsum(ids.value_lengths().to_numpy()), ids.flatten().to_numpy()
-            copies = np.diff(ends, prepend=0)
+            copies, ids = _ids(b["ids"])
             step = max(1, (4 << 20) // len(x))
             for s in range(0, len(q), step):
                 rows, cols, score = adaptive_scan(q[s : s + step], x, floor[s : s + step], own)
-                n = copies[cols]
-                rows, score = np.repeat(rows, n), np.repeat(score, n)
-                vec = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((ends - copies)[cols], n)]
-                order = np.lexsort((vec, -score, rows))
-                rows, score, vec = rows[order], score[order], vec[order]
-                first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.zeros(0, np.int64)
-                place = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-                best = place <= own.params.k
-                out.append((keys[s : s + step][rows[best]], vec[best], score[best]))
+                rows, vec, score = expanded(rows, cols, score, copies, ids, own.params.k + 1)
+                out.append((keys[s : s + step][rows], vec, score))
         joined = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("key", "vec_id", "score"), map(pa.array, joined), strict=True)))
 
-    by = ("list", "block", "chunk")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "key long, vec_id long, score double")
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest of the sample: each query has them, whatever its lists hold."""
+        own = index.value
+        for batch in batches:
+            q, keys = matrix(batch.column("embedding")), batch.column("key").to_numpy()
+            for a, best, _ in _sample_best(own, q) if len(q) else ():
+                rows, cols = np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
+                rows, vec, score = expanded(rows, cols, exact(q[a : a + len(best)][rows], own.sample[cols]), own.sample_copies, own.sample_ids, own.params.k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + len(best)][rows]), pa.array(vec), pa.array(score)], ["key", "vec_id", "score"])
+
+    by, hits = ("list", "block", "chunk"), "key long, vec_id long, score double"
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, hits)
+    found = found.unionByName(wanted.mapInArrow(begin, hits)).groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k + 1)
     near = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near"))

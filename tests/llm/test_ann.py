@@ -55,6 +55,16 @@ def test_copies_norms_and_odd_vectors(spark):
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
 
 
+def test_every_query_has_its_rows(spark):
+    # lists that hold few vectors, and only one of them probed
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.standard_normal(16).tolist()) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = rows_of(A.search(df, df.where("vec_id % 20 = 0"), A.Params(list_rows=8, recall=0.01, sample=100)))
+    assert len(got) == 20 and all(len(v) == 20 and len({i for i, _ in v}) == 20 for v in got.values())
+    assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) for v in got.values())
+
+
 def test_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert A.search(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
