@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delve.llm.wordhash import LOWER, word_bounds, word_hashes
@@ -19,7 +19,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample_ids(labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict]:
-    """doc_id and label of at most `most` rows of each label value, those of smallest hashed id; and each value's rows in all.
+    """doc_id and label of about `most` rows of each label value, those of smallest hashed id; and each value's rows in all.
 
     Held-out rows and null ids and labels are left out; of several labels of one id the largest counts.
     """
@@ -30,17 +30,16 @@ def sample_ids(labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dic
 
 
 def least_hashed(rows: DataFrame, counts: dict, most: int) -> DataFrame:
-    """Of rows (doc_id, label) at most `most` of each label, those of smallest hashed id.
+    """Of rows (doc_id, label) about `most` of each label, those of smallest hashed id; all, where a label has fewer.
 
-    A label's rows of a hash over twice the share that is wanted leave first, so that few rows meet in a label's window.
+    A label's share most / count of all hashes is taken, so no row is ranked and none is moved; the number differs from `most` as a
+    binomial does, by a few times its square root.
     """
-    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
-    share = F.shiftrightunsigned("h", 11) / F.lit(2.0**53)
-    wanted = F.lit(1.0)
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
+    wanted = F.lit(0.0)
     for label, count in counts.items():
-        wanted = F.when(F.col("label") == label, min(1.0, (2 * most + 100) / count)).otherwise(wanted)
-    order = Window.partitionBy("label").orderBy(F.shiftrightunsigned("h", 11), "doc_id")
-    return hashed.where(share <= wanted).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n", "h")
+        wanted = F.when(F.col("label") == label, min(1.0, most / count)).otherwise(wanted)
+    return rows.where(share <= wanted)
 
 
 def with_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def predict_chunk(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[l
 
 
 def learn(docs: DataFrame, params: Params = Params()) -> Model:
-    """Fit on docs (doc_id, text, lang): at most most_per_language rows of each language, those of smallest hashed id, none held out."""
+    """Fit on docs (doc_id, text, lang): about most_per_language rows of each language, those of smallest hashed id, none held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
     common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(params.languages).collect()

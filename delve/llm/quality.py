@@ -24,7 +24,7 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Params:
-    most_per_label: int = 1500  # labelled rows learned from, of each label value
+    most_per_label: int = 1500  # labelled rows learned from, of each label value, about
     bits: int = 16
     dim: int = 8
     epochs: int = 12
@@ -140,7 +140,7 @@ def score_chunk(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, params: Params = Params()) -> Model:
-    """Fit on labels (doc_id, label) of docs (doc_id, text): at most most_per_label rows of each label, none that is held out."""
+    """Fit on labels (doc_id, label) of docs (doc_id, text): about most_per_label rows of each label, none that is held out."""
     chosen, counts = sample_ids(labels.where(F.col(label).isin(0, 1)), label, params.most_per_label)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

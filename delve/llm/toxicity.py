@@ -31,7 +31,7 @@ IDENTITY = {
 
 @dataclass(frozen=True)
 class Params:
-    most_per_label: int = 4000  # labelled rows learned from, of each label value
+    most_per_label: int = 4000  # labelled rows learned from, of each label value, about
     bits: int = 20
     least_docs: int = 4  # of the sample that hold a word, for it to be a feature
     association: float = 4.0  # standard deviations by which its documents' labels differ from chance
@@ -116,7 +116,7 @@ def score_chunk(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: Params = Params()) -> Model:
-    """Fit on labels (doc_id, label) of docs (doc_id, text): at most most_per_label rows of each label, none that is held out."""
+    """Fit on labels (doc_id, label) of docs (doc_id, text): about most_per_label rows of each label, none that is held out."""
     chosen, counts = sample_ids(labels.where(F.col(label).isin(0, 1)), label, params.most_per_label)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
