@@ -31,7 +31,7 @@ IDENTITY = {
 
 @dataclass(frozen=True)
 class Params:
-    most_per_label: int = 4000  # labelled rows learned from, of each label value, about
+    most_per_label: int = 2500  # labelled rows learned from, of each label value, about
     bits: int = 20
     least_docs: int = 4  # of the sample that hold a word, for it to be a feature
     association: float = 4.0  # standard deviations by which its documents' labels differ from chance
@@ -131,9 +131,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: Para
 
     rows = with_texts(docs, chosen).mapInArrow(extract, "doc_id long, w binary, y int").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.w)))
-    words = [np.frombuffer(r.w, np.int32).astype(np.int64) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in words])
-    return fit(doc, np.concatenate([*words, np.zeros(0, np.int64)]), np.array([r.y for r in rows], np.int64), counts, params)
+    labelled = np.array([r.y for r in rows], np.int64)
+    words = [np.frombuffer(r.w, np.int32) for r in rows]
+    del rows
+    doc = np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in words])
+    return fit(doc, np.concatenate([*words, np.zeros(0, np.int32)]), labelled, counts, params)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
