@@ -11,6 +11,7 @@ tasks: no pair is ever a row, and a large group of near copies costs rows in pro
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,19 +39,38 @@ class Params:
 
     @property
     def runs(self) -> int:
-        """Runs after which a pair at the threshold has met with the target recall.
+        """Runs after which a pair at the threshold has met, and passed the sketch, with the target recall.
 
-        Two sets of one size share 2t / (1 + t) of a set's tokens, so a node has Poisson(2 / (1 + t)) common children on average.
+        Children are drawn by the larger set's size.  Sets of one size share 2t / (1 + t) of it, but a set that holds the other shares only t:
+        a node then has Poisson(1) common children on average, and that is the least a pair at the threshold has.
         """
-        meet, mean = 1.0, 2 / (1 + self.threshold)
+        meet = 1.0
         for _ in range(self.depth):
-            meet = 1 - math.exp(-mean * meet)
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - meet)))
+            meet = 1 - math.exp(-meet)
+        left = 1 - self.recall - self.sketch_miss
+        if left <= 0:
+            raise ValueError(f"a recall of {self.recall} is out of reach: the sketch alone loses {self.sketch_miss:.1e} of pairs")
+        return max(1, math.ceil(math.log(left) / math.log(1 - meet)))
 
     @property
     def sketch_floor(self) -> float:
-        """Share of equal sketch bytes below which a pair is not verified: four standard deviations under the threshold's."""
-        return self.threshold - 4 * math.sqrt(self.threshold * (1 - self.threshold) / SKETCH)
+        """Share of equal sketch bytes below which a pair is not verified: `deviations` standard deviations under the threshold's."""
+        return self.threshold - self.deviations * math.sqrt(self.threshold * (1 - self.threshold) / SKETCH)
+
+    @property
+    def deviations(self) -> float:
+        """As few, from 5 on, as keep the sketch's miss within a tenth of what the target recall allows."""
+        return next(k for k in itertools.count(5) if self._tail(k) <= (1 - self.recall) / 10)
+
+    @property
+    def sketch_miss(self) -> float:
+        """Share of pairs at the threshold that the sketch loses in every run alike: a binomial tail."""
+        return self._tail(self.deviations)
+
+    def _tail(self, deviations: float) -> float:
+        t = self.threshold
+        least = math.ceil(SKETCH * t - deviations * math.sqrt(SKETCH * t * (1 - t)))
+        return sum(math.comb(SKETCH, k) * t**k * (1 - t) ** (SKETCH - k) for k in range(max(0, least)))
 
 
 def children(tokens: np.ndarray, node: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,10 @@
+import math
 import random
 import re
 
+import numpy as np
+import pytest
+
 from delve.llm import jaccard_join as J
 from delve.llm.components import components
 
@@ -83,6 +87,37 @@ def test_join_equals_brute_force(spark):
         assert found <= real and found >= 0.999 * real
 
 
+@pytest.mark.parametrize("params", [J.Params(), J.Params(recall=0.999999), J.Params(threshold=0.6, recall=0.99)])
+def test_target_recall_holds_for_sets_that_hold_each_other(params):
+    meet, t = 1.0, params.threshold
+    for _ in range(params.depth):
+        meet = 1 - math.exp(-meet)
+    lost = sum(math.comb(J.SKETCH, k) * t**k * (1 - t) ** (J.SKETCH - k) for k in range(J.SKETCH) if k < params.sketch_floor * J.SKETCH)
+    assert (1 - meet) ** params.runs + lost <= 1 - params.recall
+
+
+def test_sketch_keeps_pairs_at_the_threshold():
+    rng, n, lost = np.random.default_rng(5), 2000, 0
+    for _ in range(20):
+        x = rng.integers(0, 1 << 32, (n, 100), dtype=np.uint64).astype(np.uint32)
+        a, b = J.sketches(np.ascontiguousarray(x[:, :80]).ravel(), np.arange(n) * 80), J.sketches(x.ravel(), np.arange(n) * 100)
+        lost += ((a == b).sum(axis=1) < J.Params().sketch_floor * J.SKETCH).sum()
+    assert lost <= 1
+
+
+def test_production_params_on_split_nodes(spark):
+    """Texts and the same with words appended, at a similarity of 0.8; a passage in all of them brings more than `bucket` to a node."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, rows = text(44), []
+    for _ in range(400):
+        whole = passage + " " + text(40)  # 80 grams of 5 words
+        rows += [whole, whole + " " + text(20)]  # 80 of 100
+    got, want = compare(spark, list(enumerate(rows)), J.Params())
+    assert sum(v[1] for v in want.values()) == 800
+    assert sum(v[1] for v in got.values()) >= 798
+
+
 def test_query_on_the_small_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in J.op10_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
