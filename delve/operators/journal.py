@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,21 @@ def record_hash(previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit("\n"), payload), 256)
 
 
+def chained(records: DataFrame, by: str = "journal") -> DataFrame:
+    """records (by, sequence, payload) with previous and sha256: each log folded whole in order of sequence.  A log is bounded, as in ledger.replay; null payloads count as empty."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sequence")
+        rows["payload"] = rows["payload"].fillna("")
+        links = [START]
+        for payload in rows["payload"]:
+            links.append(hashlib.sha256(f"{links[-1]}\n{payload}".encode()).hexdigest())
+        return rows.assign(previous=links[:-1], sha256=links[1:])
+
+    kind = records.schema[by].dataType.simpleString()
+    return records.select(by, F.col("sequence").cast("long"), "payload").groupBy(by).applyInPandas(fold, f"{by} {kind}, sequence long, payload string, previous string, sha256 string")
+
+
 def check_chain(records: DataFrame, by: str = "journal") -> DataFrame:
     """records (by, sequence, previous, payload, sha256) with problem: sequence_gap, duplicate_sequence, broken_link, altered_event or null; the first that holds."""
     own = Window.partitionBy(by).orderBy("sequence", "sha256")
