@@ -13,25 +13,26 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def score_rankings(rankings: DataFrame, gold: DataFrame, by: list[str], k: Column | int = 5) -> DataFrame:
+def score_rankings(rankings: DataFrame, gold: DataFrame, by: list[str], k: Column | int = 5, first: str | None = None) -> DataFrame:
     """Metrics of each ranking.  rankings: by, ranking (array), and what k refers to; gold: by, gold (array).
 
     The first k entries are predicted, as a set; recall at 5 and 10 and the reciprocal rank look at the whole ranking.  Everything
-    happens in arrays of one row, so the only shuffle is the join of rankings with gold.
+    happens in arrays of one row, so the only shuffle is the join of rankings with gold.  For long rankings the array may end at the largest
+    cut-off if the column `first` holds the rank, in the whole ranking, of the first entry of gold (null without one).
     """
     k = F.lit(k) if isinstance(k, int) else k
     rows = rankings.join(gold, by, "left").withColumn("gold", F.array_distinct(F.coalesce("gold", F.array().cast("array<string>"))))
     head = lambda n: F.when(n > 0, F.slice("ranking", 1, n)).otherwise(F.array().cast("array<string>"))
     found = lambda n: F.size(F.array_intersect(head(n), F.col("gold")))
     rows = rows.withColumns({"_predicted": F.size(F.array_distinct(head(k))), "_hit": found(k), "_gold": F.size("gold")})
-    first = F.array_position(F.transform("ranking", lambda p: F.array_contains("gold", p)), F.lit(True))
+    at = F.col(first) if first else F.array_position(F.transform("ranking", lambda p: F.array_contains("gold", p)), F.lit(True))
     rows = rows.withColumns({"precision": ratio(F.col("_hit"), F.col("_predicted")), "recall": ratio(F.col("_hit"), F.col("_gold"))})
     return rows.withColumns(
         {
             "f1": ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
             "recall_at_5": ratio(found(F.lit(5)), F.col("_gold")),
             "recall_at_10": ratio(found(F.lit(10)), F.col("_gold")),
-            "mrr": F.when(first > 0, 1 / first.cast("double")).otherwise(0.0),
+            "mrr": F.when(at > 0, 1 / at.cast("double")).otherwise(0.0),
             "false_positives": F.col("_predicted") - F.col("_hit"),
         }
     ).drop("_predicted", "_hit", "_gold")

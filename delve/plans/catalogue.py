@@ -277,10 +277,16 @@ def history_ranking(spark, d):
 
 
 def _rankings(spark, d) -> tuple[DataFrame, DataFrame]:
+    """ranking: the first ten of each source, as far as the largest cut-off looks; first: the rank of its first labelled document, among all."""
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
     best = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    rows = docs.select("source", "n_chars", "doc_id").withColumn("n", F.row_number().over(best)).where("n <= 50")
+    rows = docs.select("source", "n_chars", "doc_id").withColumn("n", F.row_number().over(best)).where("n <= 10")
     ranking = rows.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("doc_id").cast("string").alias("id")))), lambda x: x.id).alias("ranking"))
+    # counted, not numbered, so no source is sorted whole: the rank is one more than the documents before it
+    placed = docs.select("source", "doc_id", F.struct(F.col("n_chars").isNull().alias("none"), (-F.col("n_chars")).alias("size"), "doc_id").alias("place"))
+    hit = placed.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").groupBy("source").agg(F.min("place").alias("hit"))
+    first = placed.join(hit, "source").groupBy("source").agg((F.count_if(F.col("place") < F.col("hit")) + 1).alias("first"))
+    ranking = ranking.join(first, "source", "left")
     gold = docs.join(labels, "doc_id").where("quality = 1").groupBy("source").agg(F.collect_set(F.col("doc_id").cast("string")).alias("gold"))
     return ranking, gold
 
@@ -301,7 +307,7 @@ def _scores(df: DataFrame, *keys: str) -> DataFrame:
 @query(_RANK_SQL.format(k="5") + " from m")
 def ranking_metrics(spark, d):
     ranking, gold = _rankings(spark, d)
-    return _scores(metrics.score_rankings(ranking, gold, ["source"], 5), "source")
+    return _scores(metrics.score_rankings(ranking, gold, ["source"], 5, "first"), "source")
 
 
 @query(_RANK_SQL.format(k="min(doc_id) % 4") + ", k from m")
@@ -309,7 +315,7 @@ def matched_k(spark, d):
     ranking, gold = _rankings(spark, d)
     size = (F.min("doc_id") % 4).cast("int")
     lead = read(spark, d, "documents").groupBy("source").agg(F.when(size > 0, F.sequence(F.lit(1), F.when(size > 0, size).otherwise(1))).otherwise(F.array().cast("array<int>")).alias("ranking"))
-    out = metrics.score_rankings(metrics.matched_k(ranking, lead, ["source"]), gold, ["source"], F.col("k"))
+    out = metrics.score_rankings(metrics.matched_k(ranking, lead, ["source"]), gold, ["source"], F.col("k"), "first")
     return _scores(out, "source", "k").withColumn("k", F.col("k").cast("long"))
 
 
