@@ -7,7 +7,7 @@
 5. packing: what is left as token ids in sequences of at most 4096.
 
 The first four return the columns of documents.  Rows that a stage cannot judge stay: null and empty texts are neither toxic nor contaminated,
-and are nobody's near duplicate.  Repeated rows of one doc_id are copies: one of them stays.
+and are nobody's near duplicate.  Of rows with one doc_id and one text one stays; other texts under that doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -33,13 +33,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, prefix=OWN).where(F.col(f"{OWN}predicted") == 0).select(*docs.columns)
 
 
+def _nodes(docs: DataFrame) -> DataFrame:
+    """docs with a number for each document: its doc_id or, where a doc_id has several texts, the place of doc_id and text in their order."""
+    node, key, text = f"{OWN}node", f"{OWN}key", f"{OWN}text"
+    marked = docs.withColumns({key: F.col("doc_id").cast("long"), text: F.xxhash64("text")})
+    keys = materialise(marked.where(F.col(key).isNotNull()).select(key, text).distinct(), "keys")
+    if keys.groupBy(key).count().where("count > 1").isEmpty():
+        return marked.withColumn(node, F.col(key)).drop(key, text)
+    placed = keys.orderBy(key, text).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    placed = materialise(docs.sparkSession.createDataFrame(placed, f"{key} long, {text} long, {node} long"), "nodes")
+    return marked.join(placed, [key, text], "left").drop(key, text)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the row whose doc_id is the class's id."""
-    classes = jaccard_join.join(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(classes, docs["doc_id"].cast("long") == classes["doc_id"], "left_anti")
-    # rows of one doc_id and one text are copies of each other, and so are different texts under one id that the join has linked
-    order = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    numbered = kept.where("doc_id is not null").withColumn(f"{OWN}copy", F.row_number().over(order)).where(f"{OWN}copy = 1").drop(f"{OWN}copy")
+    """One document of each class: the row whose number is the class's."""
+    node, copy = f"{OWN}node", f"{OWN}copy"
+    nodes = _nodes(docs)
+    classes = jaccard_join.join(nodes.select(F.col(node).alias("doc_id"), "text")).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(node)).distinct()
+    kept = nodes.join(classes, node, "left_anti").select(*docs.columns)
+    # what is left of one doc_id and one text are copies of each other
+    order = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
+    numbered = kept.where("doc_id is not null").withColumn(copy, F.row_number().over(order)).where(f"{copy} = 1").drop(copy)
     return numbered.unionByName(kept.where("doc_id is null"))
 
 

@@ -73,3 +73,12 @@ def test_one_row_of_each_class_stays(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     left = corpus_pipeline.drop_near_duplicates(spark, docs, D)
     assert left.count() == jaccard_join.join(docs).select("class_id").distinct().count()
+
+
+def test_texts_under_one_doc_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (7, a + " end"), (7, b), (7, b), (7, None), (8, b + " end"), (9, c), (9, c + " end")]
+    schema = spark.read.parquet(f"{D}/documents.parquet").schema
+    docs = spark.createDataFrame([{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": len(t or "")} for i, t in rows], schema)
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, D).collect()), key=str)
+    assert left in [sorted([(3, a), (7, b), (7, None), (9, last)], key=str) for last in (c, c + " end")]
