@@ -93,24 +93,28 @@ class Tools:
         return (exact or found)[0].asDict()
 
     def documents(self, kind: str = "any") -> DataFrame:
-        """path, symbol, line, kind, text of what is searched."""
-        files = self.records.select("path", F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("int").alias("line"), F.lit("file").alias("kind"), F.concat_ws(" ", "path", "module").alias("text"))
-        symbols = self.symbols.select("path", F.col("id").alias("symbol"), F.col("first").alias("line"), F.lit("symbol").alias("kind"), F.concat_ws(" ", "qualname", "doc").alias("text"))
-        both = files.unionByName(symbols)
+        """path, symbol, line, kind, n, text, snippet of what is searched: files, symbols and string literals; n tells apart those of one line."""
+        none = F.lit(None).cast("string")
+        files = self.records.select("path", none.alias("symbol"), F.lit(None).cast("int").alias("line"), F.lit("file").alias("kind"), F.lit(0).alias("n"), F.concat_ws(" ", "path", "module").alias("text"), F.col("path").alias("snippet"))
+        snippet, own = F.get("names", F.lit(0)).alias("snippet"), F.concat_ws("::", "path", "qualname")
+        symbols = self.rows.where("kind = 'described'").select("path", own.alias("symbol"), "line", F.lit("symbol").alias("kind"), F.col("seq").alias("n"), F.concat_ws(" ", own, "detail").alias("text"), snippet)
+        strings = self.rows.where("kind = 'string'").join(self.records.select("path", "module"), "path")
+        strings = strings.select("path", none.alias("symbol"), "line", "kind", F.col("seq").alias("n"), F.concat_ws(" ", "path", "module", "detail").alias("text"), snippet)
+        both = files.unionByName(symbols).unionByName(strings)
         return both if kind == "any" else both.where(F.col("kind") == kind)
 
     def _search_code(self, query: str, kind: str = "any", limit: int = 10):
-        if kind not in ("any", "file", "symbol"):
+        if kind not in ("any", "file", "symbol", "string"):
             raise ToolError("unsupported_kind", kind)
         if not query.strip():
             raise ToolError("empty_query", "no terms")
-        key = F.concat_ws("|", "kind", "path", F.coalesce("symbol", F.lit("")), F.coalesce(F.col("line").cast("string"), F.lit("")))
+        key = F.concat_ws("|", "kind", "path", F.coalesce("symbol", F.lit("")), F.coalesce(F.col("line").cast("string"), F.lit("")), F.col("n").cast("string"))
         docs = self.documents(kind).withColumn("key", key)
         hits = search.bm25_scores(docs, query, key="key").join(docs, "key")
         if hits.isEmpty():
             raise ToolError("no_results", query)
-        order = [F.desc("raw"), "path", F.coalesce("symbol", F.lit("")), F.coalesce("line", F.lit(-1)), "kind"]
-        return hits.withColumnRenamed("score", "raw").orderBy(*order).select("path", "symbol", "line", "kind", F.round("raw", 6).alias("score"), one_line(F.col("text")).alias("snippet")), limit
+        order = [F.desc("raw"), "path", F.coalesce("symbol", F.lit("")), F.coalesce("line", F.lit(-1)), "kind", "n"]
+        return hits.withColumnRenamed("score", "raw").orderBy(*order).select("path", "symbol", "line", "kind", F.round("raw", 6).alias("score"), one_line(F.col("snippet")).alias("snippet")), limit
 
     def _inspect_symbol(self, target: str):
         if "::" in target:
