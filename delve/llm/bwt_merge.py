@@ -1,10 +1,12 @@
 """Merging the Burrows-Wheeler transforms of shards of strings, to find their repeated intervals.
 
-A shard is a set of short byte strings.  It is suffix-sorted once, by itself, and kept as its transform (the byte before each suffix) and
-LF mapping.  The merge starts with the shards' suffixes side by side, as one interval, and refines their interleave: step h turns every
-interval of suffixes that share h - 1 bytes into those that share h, by moving each suffix to the one a byte longer, stably by that byte.
-Within an interval the shards' orders stay as they are; no suffix is compared with another.  The interval borders of step h are the
-places where the common prefix is shorter than h; an interval of one suffix is settled and leaves.
+A shard is a set of short byte strings.  It is suffix-sorted once, by itself, and travels as its transform: the byte before each suffix,
+in suffix order.  Whoever receives transforms derives the LF mapping from them by counting, and never sorts a suffix.
+
+The merge starts with the shards' suffixes side by side, in intervals; step by step every interval of suffixes that share h bytes is
+refined into those that share one byte more (or two), by moving each suffix to the longer one, stably by the bytes moved over.  Within an
+interval the shards' orders stay as they are; no suffix is compared with another.  Two neighbours are parted at the step at which their
+common prefix ends, so the borders of step h are the common prefixes shorter than h; an interval of one suffix is settled and leaves.
 """
 
 from __future__ import annotations
@@ -15,30 +17,22 @@ import numpy as np
 
 _SYMBOLS = 7  # of 9 bits in a sort key: a byte plus 1, or 0 past the end of the string
 
-
 _KEEP = np.array([((1 << 9 * k) - 1) << 9 * (_SYMBOLS - k) for k in range(_SYMBOLS + 1)], np.uint64)
 
 
-@dataclass
-class Shard:
-    """before: the byte before each suffix, plus 1; 0 at a string's start.  lf: the row of the suffix a byte longer.  at: its position."""
-
-    before: np.ndarray
-    lf: np.ndarray
-    at: np.ndarray
-
-
-def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def suffix_order(data: np.ndarray, ends: np.ndarray, shard: np.ndarray | None = None) -> np.ndarray:
     """The order of all suffixes of the strings (which end at `ends`, end to end in data), the empty ones too; ties in order of string.
 
-    Position p stands for the suffix at p of data with one place added after each string, for its empty suffix.
+    Position p stands for the suffix at p of data with one place added after each string, for its empty suffix.  With `shard`, a number
+    for each string, ascending, the suffixes of each shard come one shard after the other.
     """
     n = len(data) + len(ends)
+    sizes = np.diff(np.r_[0, ends])
     sym = np.zeros(n + 1, np.uint64)
-    place = np.arange(len(data)) + np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+    place = np.arange(len(data)) + np.repeat(np.arange(len(ends)), sizes)
     sym[place] = data.astype(np.uint64) + np.uint64(1)
     stop = ends + np.arange(len(ends))  # the empty suffix of each string
-    left = np.repeat(stop, np.diff(np.r_[-1, stop])) - np.arange(n)  # symbols before the end
+    left = np.repeat(stop, sizes + 1) - np.arange(n)  # symbols before the end
     key = np.zeros(n, np.uint64)
     padded = np.concatenate([sym, np.zeros(_SYMBOLS, np.uint64)])
     for i in range(_SYMBOLS):
@@ -46,58 +40,127 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         key |= padded[i : n + i]
     key &= _KEEP[np.minimum(left, _SYMBOLS)]  # nothing of the next string
     order = np.argsort(key)
-    sorted_key = key[order]
-    new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
+    own = np.zeros(n, np.uint16)
+    if shard is not None and len(shard):
+        step = np.cumsum(np.r_[0, np.diff(shard) != 0])
+        own = np.repeat(step.astype(np.uint16 if step[-1] < 1 << 16 else np.uint32), sizes + 1)
+        order = order[np.argsort(own[order], kind="stable")]
+    sorted_key, sorted_own = key[order], own[order]
+    new = np.r_[True, (sorted_key[1:] != sorted_key[:-1]) | (sorted_own[1:] != sorted_own[:-1])]
     open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # rows that are tied with another
     block, done = np.cumsum(new)[open_], _SYMBOLS
     while len(open_):
         more = left[order[open_]] >= done
-        ends_here, own = open_[~more], block[~more]  # equal suffixes: their strings' order
-        order[ends_here] = order[ends_here][np.lexsort((order[ends_here], own))]
+        ends_here, tied = open_[~more], block[~more]  # equal suffixes: their strings' order
+        order[ends_here] = order[ends_here][np.lexsort((order[ends_here], tied))]
         open_, block = open_[more], block[more]
         rest = order[open_]
         ahead = np.where(left[rest] > done, key[np.minimum(rest + done, n - 1)], 0)
         again = np.lexsort((ahead, block))
         order[open_], ahead = rest[again], ahead[again]
         new = np.r_[True, (block[1:] != block[:-1]) | (ahead[1:] != ahead[:-1])] if len(open_) else np.zeros(0, bool)
-        tied = ~(new & np.r_[new[1:], True]) if len(open_) else new
-        open_, block = open_[tied], np.cumsum(new)[tied]
+        both = ~(new & np.r_[new[1:], True]) if len(open_) else new
+        open_, block = open_[both], np.cumsum(new)[both]
         done += _SYMBOLS
     return order
 
 
-def build(data: np.ndarray, ends: np.ndarray) -> Shard:
-    order = suffix_order(data, ends)
-    n = len(order)
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
-    sym = np.zeros(n, np.uint16)
-    sym[np.arange(len(data)) + np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))] = data.astype(np.uint16) + 1
-    before = np.where(order > 0, sym[order - 1], 0).astype(np.uint16)
-    lf = np.where(before > 0, row[order - 1], -1)
-    return Shard(before, lf, order)
-
-
-def repeats(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffixes that share their first `length` bytes with another: (shard, position, interval), intervals in order of those bytes."""
-    sizes = np.array([len(s.before) for s in shards])
-    base = np.cumsum(sizes) - sizes
-    before = np.concatenate([s.before for s in shards])
-    lf = np.concatenate([s.lf + b for s, b in zip(shards, base, strict=True)]).astype(np.int64)
-    row = np.arange(len(before))
-    interval = np.zeros(len(before), np.int64)
-    for _ in range(length):
-        c = before[row]
-        keep = c > 0
-        row, c, interval = row[keep], c[keep], interval[keep]
+def transform(data: np.ndarray, ends: np.ndarray, shard: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(before, first): the byte before each suffix, in suffix order, and whether the suffix is a whole string, with no byte before it."""
+    order = suffix_order(data, ends, shard)
+    sym = np.zeros(len(order), np.uint8)
+    sym[np.arange(len(data)) + np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))] = data
+    first = np.zeros(len(order), bool)
+    first[np.r_[0, ends[:-1] + np.arange(1, len(ends))]] = True
+    first = first[order]
+    return np.where(first, 0, sym[order - 1]).astype(np.uint8), first
+
+
+@dataclass
+class Merge:
+    """The transforms of some shards, one after the other: before and lf of each suffix, sizes of each string, rows of their empty suffixes."""
+
+    before: np.ndarray
+    lf: np.ndarray
+    sizes: np.ndarray
+    stop: np.ndarray
+
+
+def load(before: np.ndarray, first: np.ndarray, rows: np.ndarray, strings: np.ndarray) -> Merge:
+    """From transforms alone; rows and strings: of each shard.  Where suffixes of one byte lie follows from counting that byte."""
+    shard = np.repeat(np.arange(len(rows)).astype(np.uint16 if len(rows) <= 1 << 16 else np.uint32), rows)
+    symbol = np.where(first, 0, before.astype(np.uint16) + 1).astype(np.uint16)
+    source = np.argsort(symbol, kind="stable")
+    if len(rows) > 1:
+        source = source[np.argsort(shard[source], kind="stable")]
+    lf = np.empty(len(before), np.int32)
+    lf[source] = np.arange(len(before), dtype=np.int32)
+    lf[first] = -1
+    base = np.cumsum(rows) - rows
+    stop = np.arange(strings.sum()) + np.repeat(base - (np.cumsum(strings) - strings), strings)  # a shard's empty suffixes come first
+    sizes, row, open_ = np.zeros(len(stop), np.int64), stop.copy(), np.arange(len(stop))
+    while len(open_):
+        row = lf[row]
+        more = row >= 0
+        row, open_ = row[more], open_[more]
+        sizes[open_] += 1
+    return Merge(before, lf, sizes, stop)
+
+
+def repeats(merge: Merge, length: int, class_of: np.ndarray, shift: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The substrings of `length` bytes that several owners have: (substring, interval), intervals in order.
+
+    A substring is numbered by string, then by start.  Only substrings of one class (a number for each string) and of one distance,
+    shift of its string minus its start, can be equal: these are the first intervals.
+    """
+    counts = np.maximum(merge.sizes - length + 1, 0)
+    first = np.cumsum(counts) - counts
+    place = np.full(len(merge.before), -1, np.int32)  # the substring that begins at a suffix
+    begun: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    row, own, t = merge.stop, np.arange(len(merge.stop)), 0
+    while len(own):
+        at = merge.sizes[own] - t  # row is the suffix from there on
+        ends = at >= length
+        begun.append((row[ends], own[ends], (shift[own] - at + length)[ends]))
+        starts = at < counts[own]
+        place[row[starts]] = (first[own] + at)[starts]
+        row = merge.lf[row]
+        more = row >= 0
+        row, own, t = row[more], own[more], t + 1
+    empty = np.zeros(0, np.int64)
+    row, own, apart = (np.concatenate(x) for x in zip(*begun, strict=True)) if begun else (empty,) * 3
+    if not len(row):
+        return empty, empty
+    _, rank = np.unique(class_of, return_inverse=True)
+    width = int(apart.max() - apart.min()) + 1
+    interval = rank[own].astype(np.int64) * width + (apart - apart.min())
+    order = np.argsort(interval.astype(np.uint64) << np.uint64(32) | row.astype(np.uint64))  # rows of an interval in the shards' order
+    row, interval, own = row[order].astype(np.int32), interval[order], owner[own[order]]
+    _, interval, row = _several(interval, row, own)
+    # two bytes a step
+    wide = merge.before.astype(np.uint16) << np.uint16(8) | merge.before[merge.lf]
+    far = merge.lf[merge.lf]
+    for h in [1] * (length % 2) + [2] * (length // 2):
+        c, to = (wide, far) if h == 2 else (merge.before, merge.lf)
+        c = c[row]
         order = np.argsort(c, kind="stable")
-        row, c, interval = lf[row[order]], c[order], interval[order]
+        row, c, interval = to[row[order]], c[order], interval[order]
         if not len(row):
             break
         new = np.r_[True, (c[1:] != c[:-1]) | (interval[1:] != interval[:-1])]
-        alone = new & np.r_[new[1:], True]
-        row, new = row[~alone], new[~alone]
-        interval = np.cumsum(new) - 1
-    shard = np.searchsorted(base, row, side="right") - 1
-    at = np.concatenate([s.at for s in shards])[row] if len(row) else row
-    return shard, at, interval
+        several = ~(new & np.r_[new[1:], True])
+        row, interval = row[several], (np.cumsum(new[several], dtype=np.int32) - 1)
+    at = place[row].astype(np.int64)
+    _, interval, at = _several(interval, at, np.repeat(owner, counts)[at])
+    return at, interval
+
+
+def _several(interval: np.ndarray, x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What belongs to intervals with several owners: (owner, interval from 0 on, x)."""
+    if not len(x):
+        return owner, interval.astype(np.int32), x
+    begin = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
+    several = np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin)
+    size = np.diff(np.r_[begin, len(x)])
+    keep = np.repeat(several, size)
+    return owner[keep], np.repeat(np.arange(several.sum(), dtype=np.int32), size[several]), x[keep]

@@ -27,11 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _made: list[str] = []
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_shared(spark: SparkSession) -> None:
     """Delete the folders that shared_dir() has given out, once no result that reads them is wanted any more."""
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(spark, _made.pop())
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,14 +1,18 @@
 """Exact removal of repeated byte strings across documents, by merging Burrows-Wheeler transforms.
 
-Every string of `length` bytes has one anchor: the least hash among its short grams.  Consecutive strings of a document with one anchor are
-a run.  1. Anchors that only one document has are settled: their strings are in no other document.  2. The runs of the others are dealt
-by anchor, so that equal strings meet in one bucket.  There each batch's runs are a shard; the merge of the shards' transforms
-(see bwt_merge) gives the intervals of suffixes that share `length` bytes, and each interval the least doc_id that has them.  Runs of equal
-bytes are one string of their shard, with their least doc_id, and a run that is alone under its anchor leaves before the merge.
+Every string of `length` bytes has one anchor: the least hash among its short grams, the leftmost of equal ones.  Consecutive strings
+with one anchor gram are a run; equal strings have equal anchors, at one distance from their start.  Documents travel once, into a table
+of batches that is bucketed by batch number; the passes over it join what they need without moving the texts again.
+
+1. Each batch sends its anchors with a hash of their runs.  An anchor that one document has is settled: its strings are in no other.
+2. Each batch sends the runs of the other anchors, dealt into buckets by anchor.  Where runs of different bytes may meet, a batch's runs
+   in a bucket are a shard: the batch sorts their suffixes and sends their Burrows-Wheeler transform.  Where all runs of an anchor seem to be equal,
+   their bytes are sent instead.  The bucket compares those bytes, and merges the transforms (see bwt_merge) into the intervals of substrings
+   that several documents share; an interval's least doc_id is what each of its strings is held against.
 3. What was found returns to the documents as a bit for each string.
 
-Documents travel once, into a table of batches that is bucketed by batch number: the later passes join what they need to it without
-moving the texts again.
+Hashes decide only who meets whom; what is equal is found from bytes.  An anchor with more runs than a bucket should hold is split: each
+of its strings becomes a run of its own, dealt by a hash of all its bytes.
 """
 
 from __future__ import annotations
@@ -24,22 +28,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delve.llm.bwt_merge import build, repeats
-from delve.llm.common import materialise, mix, shared_dir, spans_of_rows, table, utf8
-from delve.llm.wordhash import word_hashes
+from delve.llm.bwt_merge import load, repeats, transform
+from delve.llm.common import delete_folder, materialise, mix, shared_dir, spans_of_rows, table, utf8
 
 LENGTH = 50
 #: Bytes of a gram; a string of 50 bytes has 35 of them.
 GRAM = 16
-#: Strings of a run at most: a longer one (periodic text) is several.
-RUN = 128
-#: Bytes of the documents of a batch, and about the bytes of runs of a bucket and of a shard.
-BATCH_BYTES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 8 << 20, 1 << 20
+#: Bytes of the documents of a batch, and about the bytes of documents of a bucket.
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Bytes of strings whose suffixes are sorted at once, and strings of a document looked at at once.
+SHARD_BYTES, PIECE = 2 << 20, 1 << 20
+#: Runs of one anchor, over all batches, from which on it is split.
+HOT_RUNS = 20_000
+#: Bytes of documents of a bucket of the batch table.
+PART_BYTES = 64 << 20
 #: A row without doc_id comes after all others.
 NO_ID = np.iinfo(np.int64).max
 
 _BYTE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = "batch long, ids binary, lengths binary, n_bytes long, data binary"
+_SENT = "bucket int, batch long, payload binary"
+_MARK = "batch long, kind int, bucket int, bits binary"
 
 
 def _batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -72,82 +82,142 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iter
         yield flush()
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The anchor of the string of `length` bytes from each position on."""
-    if len(raw) < length:
-        return np.zeros(0, np.uint64)
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each position on."""
     h, size = _BYTE[raw], 1
     while size < GRAM:
         h = h[:-size] * np.uint64(pow(0xD6E8FEB86659FD93, size, 1 << 64)) + h[size:]
         size *= 2
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
     h ^= h >> np.uint64(29)
-    width = length - GRAM + 1
-    size = 1
+    return h
+
+
+def anchor_at(h: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each `width` hashes in a row is, the leftmost of equal ones."""
+    bits = np.uint64(24)  # of a position in a piece; the rest are the hash's
+    key = (h >> bits) << bits | np.arange(len(h), dtype=np.uint64)
+    size, n = 1, len(h) - width + 1
     while size * 2 <= width:
-        h = np.minimum(h[:-size], h[size:])
+        key = np.minimum(key[:-size], key[size:])
         size *= 2
-    return np.minimum(h[: len(raw) - length + 1], h[width - size : width - size + len(raw) - length + 1])
+    key = np.minimum(key[:n], key[width - size : width - size + n])
+    return (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start : start + size] of each, end to end."""
+    ends = np.cumsum(size)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes from a and from b on are equal (no size is 0)."""
+    if not len(a):
+        return np.zeros(0, bool)
+    differ = gathered(data, a, size) != gathered(data, b, size)
+    return np.add.reduceat(differ, np.cumsum(size) - size, dtype=np.int64) == 0
 
 
 class Batch:
-    """A batch's documents and runs: doc (row), start (in data), count (strings), anchor."""
+    """A batch's documents and runs: doc (row), start (in data), count (strings), shift (of the anchor gram from start), anchor, hash."""
 
     def __init__(self, row: dict, length: int):
+        if length < GRAM:
+            raise ValueError(f"length must be at least {GRAM}")
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.lengths = np.frombuffer(row["lengths"], np.int64)
         self.data = np.frombuffer(row["data"], np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.length = length
-        found = [self._runs(a, b) for a, b in spans_of_rows(self.offsets)] or [(np.zeros(0, np.int64),) * 4]
-        self.doc, self.start, self.count, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
-        self.anchor = mix(anchor)
-
-    def _runs(self, a: int, b: int) -> tuple[np.ndarray, ...]:
-        begin = self.offsets[a]
-        value = anchors(self.data[begin : self.offsets[b]], self.length)
-        strings = np.maximum(self.lengths[a:b] - self.length + 1, 0)
-        total = int(strings.sum())
-        if not total:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-        first = np.cumsum(strings) - strings
-        at = np.arange(total) + np.repeat(self.offsets[a:b] - begin - first, strings)
-        value = value[at]
-        new = np.r_[True, value[1:] != value[:-1]]
-        new[first[strings > 0]] = True
-        start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, total])
-        if size.max() > RUN:
-            cuts = -(-size // RUN)
-            start = np.repeat(start, cuts) + RUN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
-            size = np.diff(np.r_[start, total])
-        doc = np.searchsorted(first + strings, start, side="right")
-        return doc + a, at[start] + begin, size, value[start]
+        found = [x for a, b in spans_of_rows(self.offsets) for x in self._runs(a, b)]
+        none = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2]
+        self.doc, self.start, self.count, self.shift, self.anchor, self.hash = (np.concatenate(x) for x in zip(*(found or none), strict=True))
+
+    def _runs(self, a: int, b: int) -> Iterator[tuple[np.ndarray, ...]]:
+        width = self.length - GRAM + 1
+        last = int(self.offsets[b]) - self.length  # the last start of a string
+        stop = self.offsets[a + 1 : b + 1]
+        for begin in range(int(self.offsets[a]), last + 1, PIECE):
+            raw = self.data[begin : min(begin + PIECE, last + 1) + self.length - 1]
+            h = gram_hashes(raw)
+            at = anchor_at(h, width)
+            ends = stop[(stop >= begin) & (stop < begin + len(raw) + self.length)] - begin
+            whole = np.zeros(len(at) + 1, np.int32)  # strings that would cross a document's end are left out
+            np.add.at(whole, np.clip(ends - self.length + 1, 0, len(at)), 1)
+            np.add.at(whole, np.clip(ends, 0, len(at)), -1)
+            starts = np.flatnonzero(np.cumsum(whole[:-1]) == 0)
+            if not len(starts):
+                continue
+            at = at[starts]
+            new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)])
+            count = np.diff(np.r_[new, len(starts)])
+            start, gram = starts[new], at[new]
+            final = start + count + self.length - 1 - GRAM
+            value = h[start] ^ (count.astype(np.uint64) << np.uint64(8)) ^ (gram - start).astype(np.uint64)
+            for k in range(GRAM, 2 * self.length, GRAM):
+                value = value * _ODD + h[np.minimum(start + k, final)]
+            doc = a + np.searchsorted(stop, start + begin, side="right")
+            yield doc, start + begin, count, gram - start, mix(h[gram] * _ODD), mix(value)
 
     def values(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct anchors in order, and which of them several documents of this batch have."""
-        order = np.lexsort((self.ids[self.doc], self.anchor))
-        v, d = self.anchor[order], self.ids[self.doc][order]
-        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
-        last = np.r_[first[1:], len(v)] - 1 if len(v) else first
-        return v[first], d[first] != d[last]
-
-    def keep(self, shared: np.ndarray) -> None:
-        """Go on with the runs of the anchors that shared (a flag for each of values()) marks."""
-        own = self.values()[0][shared]
-        at = np.minimum(np.searchsorted(own, self.anchor), max(len(own) - 1, 0))
-        chosen = own[at] == self.anchor if len(own) else np.zeros(len(self.anchor), bool)
-        self.doc, self.start, self.count, self.anchor = (x[chosen] for x in (self.doc, self.start, self.count, self.anchor))
+        """The distinct anchors in order, and for each: 24 bits of its runs' hash, 1 bit if several documents have it, 1 bit if its runs
+        differ, 6 bits with the logarithm of their number."""
+        if not len(self.anchor):
+            return self.anchor, np.zeros(0, np.uint32)
+        order = np.argsort(self.anchor)
+        v, ids, h = self.anchor[order], self.ids[self.doc][order], self.hash[order]
+        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        differ = np.minimum.reduceat(h, first) != np.maximum.reduceat(h, first)
+        size = np.where(differ, np.log2(np.diff(np.r_[first, len(v)])), 0).astype(np.uint32)
+        return v[first], (h[first] >> np.uint64(40)).astype(np.uint32) << np.uint32(8) | several.astype(np.uint32) << np.uint32(7) | differ.astype(np.uint32) << np.uint32(6) | size
+
+    def keep(self, marks: np.ndarray) -> None:
+        """Go on with the runs of the anchors that marks (shared, alike and hot of each of values()) has as shared; hot ones are split."""
+        values = np.unique(self.anchor)
+        shared, alike, hot = marks
+        at = np.searchsorted(values, self.anchor)
+        chosen = shared[at] if len(values) else np.zeros(0, bool)
+        self._take(chosen)
+        at = at[chosen]
+        self.alike = alike[at]
+        split = hot[at]
+        if not split.any():
+            return
+        rest, own = np.flatnonzero(~split), np.flatnonzero(split)
+        n = self.count[own]
+        of = np.repeat(own, n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = self.start[of] + step
+        words = np.zeros((len(start), -(-self.length // 8) * 8), np.uint8)
+        words[:, : self.length] = np.lib.stride_tricks.sliding_window_view(self.data, self.length)[start]
+        value = np.zeros(len(start), np.uint64)
+        for column in words.view(np.uint64).T:
+            value = mix(value * _ODD + column)
+        join = lambda x, y: np.concatenate([x[rest], y])
+        self.doc, self.count = join(self.doc, self.doc[of]), join(self.count, np.ones(len(of), np.int64))
+        self.shift, self.start = join(self.shift, self.shift[of] - step), join(self.start, start)
+        self.alike = join(self.alike, np.ones(len(of), bool))
+        self.anchor, self.hash = join(self.anchor, value), join(self.hash, value)
+
+    def _take(self, chosen: np.ndarray) -> None:
+        self.doc, self.start, self.count, self.shift, self.anchor, self.hash = (x[chosen] for x in (self.doc, self.start, self.count, self.shift, self.anchor, self.hash))
 
     def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of each run's bytes, the run that stands for each distinct one, in order of anchor and hash; which of these each run is)."""
-        hashes = mix(word_hashes(self.data, self.start, self.start + self.count + self.length - 1, fold=False)) if len(self.start) else self.anchor
-        order = np.lexsort((self.ids[self.doc], hashes, self.anchor))
-        v, h = self.anchor[order], hashes[order]
-        new = np.r_[True, (v[1:] != v[:-1]) | (h[1:] != h[:-1])] if len(v) else np.zeros(0, bool)
-        which = np.empty(len(v), np.int64)
+        """(the run that stands for each distinct one, in order of anchor; the least id that has it; which of these each run is)."""
+        if not len(self.start):
+            return (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((self.hash, self.anchor))
+        a, b = order[:-1], order[1:]
+        same = (self.anchor[a] == self.anchor[b]) & (self.hash[a] == self.hash[b]) & (self.count[a] == self.count[b]) & (self.shift[a] == self.shift[b]) & (self.alike[a] == self.alike[b])
+        at = np.flatnonzero(same)
+        same[at] = same_bytes(self.data, self.start[a[at]], self.start[b[at]], self.count[a[at]] + self.length - 1)
+        new = np.r_[True, ~same]
+        which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        return hashes, order[new], which
+        begin = np.flatnonzero(new)
+        return order[begin], np.minimum.reduceat(self.ids[self.doc[order]], begin), which
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -165,10 +235,6 @@ def _bounds(values: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(bucket[a]), a, b
 
 
-_SENT = "bucket int, batch long, payload binary"
-_MARK = "batch long, kind int, bucket int, bits binary"
-
-
 def _table(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
@@ -181,166 +247,206 @@ def _send_anchors(bits: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                values, several = Batch(row, length).values()
+                values, about = Batch(row, length).values()
                 low = ((values << np.uint64(bits)) >> np.uint64(24)).astype("<u8")  # 40 bits beside the bucket's
                 raw = np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :5])
-                sent = [(k, row["batch"], raw[a:b].tobytes() + np.packbits(several[a:b]).tobytes()) for k, a, b in _bounds(values, bits)]
+                about = about.astype("<u4")
+                sent = [(k, row["batch"], raw[a:b].tobytes() + about[a:b].tobytes()) for k, a, b in _bounds(values, bits)]
                 if sent:
                     yield _table(sent, *_SENT_OF)
 
     return run
 
 
-def _count_anchors(rows: pa.Table) -> pa.Table:
-    """A bit for each anchor of each batch: whether two documents have it."""
-    found, several = [], []
-    for x in rows["payload"]:
-        raw = np.frombuffer(x.as_buffer(), np.uint8)
-        n = (len(raw) * 8) // 41  # 5 bytes and a bit each; the bits fill whole bytes
-        while n * 5 + -(-n // 8) > len(raw):
-            n -= 1
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :5] = raw[: 5 * n].reshape(-1, 5)
-        found.append(wide.view("<u8")[:, 0])
-        several.append(np.unpackbits(raw[5 * n :], count=n).astype(bool))
-    values, flags = np.concatenate(found), np.concatenate(several)
-    _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-    shared = (counts > 1) | (np.bincount(inverse, flags) > 0)
-    ends = np.cumsum([len(x) for x in found])
-    bits = [np.packbits(x).tobytes() for x in np.split(shared[inverse], ends[:-1])]
-    bucket = rows["bucket"][0].as_py()
-    return pa.Table.from_batches([_table([(b, 0, bucket, x) for b, x in zip(rows["batch"].to_pylist(), bits, strict=True)], *_MARK_OF)])
-
-
-def _marks(row: dict, kind: int, counts: Iterator[tuple[int, int]]) -> np.ndarray:
-    """The bits of one kind, of all buckets in order; counts: (bucket, bits) of those this batch has sent."""
+def _count_anchors(hot_runs: int):
+    """Three bits for each anchor of each batch: several documents have it; all its runs have one hash; it is split."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        found, tags = [], []
+        for x in rows["payload"]:
+            raw = np.frombuffer(x.as_buffer(), np.uint8)
+            n = len(raw) // 9
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :5] = raw[: 5 * n].reshape(-1, 5)
+            found.append(wide.view("<u8")[:, 0])
+            tags.append(raw[5 * n :].view("<u4"))
+        values, about = np.concatenate(found), np.concatenate(tags)
+        order = np.argsort(values)
+        new = np.r_[True, values[order][1:] != values[order][:-1]]
+        first = np.flatnonzero(new)
+        tag, least = about[order], about[order] >> np.uint32(8)
+        size = np.diff(np.r_[first, len(order)])
+        shared = (size > 1) | (np.maximum.reduceat(tag >> np.uint32(7) & np.uint32(1), first) > 0)
+        differ = (np.minimum.reduceat(least, first) != np.maximum.reduceat(least, first)) | (np.maximum.reduceat(tag >> np.uint32(6) & np.uint32(1), first) > 0)
+        hot = differ & (np.add.reduceat(np.int64(1) << (tag & np.uint32(63)).astype(np.int64), first) > hot_runs)
+        mark = np.empty(len(order), np.uint8)
+        mark[order] = np.repeat(shared + 2 * ~differ + 4 * hot, size)
+        bits, ends = [], np.cumsum([len(x) for x in found])
+        for x in np.split(mark, ends[:-1]):
+            bits.append(np.packbits(np.concatenate([x & 1, x >> 1 & 1, x >> 2 & 1])).tobytes())
+        bucket = rows["bucket"][0].as_py()
+        return pa.Table.from_batches([_table([(b, 0, bucket, x) for b, x in zip(rows["batch"].to_pylist(), bits, strict=True)], *_MARK_OF)])
+
+    return run
+
+
+def _marks(row: dict, kind: int, counts: Iterator[tuple[int, int]], planes: int = 1) -> np.ndarray:
+    """The bits of one kind (planes of them for each thing), of all buckets in order; counts: (bucket, things) that this batch has sent."""
     got = {m["bucket"]: m["bits"] for m in row["marks"] or [] if m["kind"] == kind}
-    return np.concatenate([np.unpackbits(np.frombuffer(got[k], np.uint8), count=n).astype(bool) for k, n in counts] or [np.zeros(0, bool)])
+    found = [np.unpackbits(np.frombuffer(got[k], np.uint8), count=planes * n).astype(bool).reshape(planes, n) for k, n in counts]
+    return np.concatenate([*found, np.zeros((planes, 0), bool)], axis=1)
 
 
 def _candidates(row: dict, bits: int, length: int) -> Batch:
     own = Batch(row, length)
-    values, _ = own.values()
-    own.keep(_marks(row, 0, ((k, b - a) for k, a, b in _bounds(values, bits))))
+    values = np.unique(own.anchor)
+    own.keep(_marks(row, 0, ((k, b - a) for k, a, b in _bounds(values, bits)), 3))
     return own
 
 
-def _send_strings(bits: int, length: int):
+def _columns(*parts: np.ndarray) -> bytes:
+    """Integer columns, byte by byte of their significance, so that equal high bytes lie together."""
+    return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in parts)
+
+
+class Reader:
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, 0
+
+    def bytes(self, n: int) -> np.ndarray:
+        self.at += n
+        return np.frombuffer(self.raw, np.uint8, n, self.at - n)
+
+    def column(self, kind: type, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.ascontiguousarray(self.bytes(n * size).reshape(size, n).T).view(kind).reshape(-1)
+
+
+def _payloads(own: Batch, bits: int, shard_bytes: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, payload): the heads of its strings; the bytes of those whose anchor has only such; the transforms of the others, cut
+    into shards of at most about shard_bytes."""
+    stand, owner, _ = own.strings()
+    sizes = own.count[stand] + own.length - 1
+    bounds = list(_bounds(own.anchor[stand], bits))
+    bucket = np.repeat([k for k, _, _ in bounds], [b - a for _, a, b in bounds])
+    other = np.flatnonzero(~own.alike[stand])
+    bodies: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    total = np.cumsum(sizes[other])
+    cut = np.flatnonzero(np.diff((total - sizes[other]) // shard_bytes)) + 1
+    for part in np.split(other, cut) if len(other) else []:
+        n = sizes[part]
+        before, first = transform(gathered(own.data, own.start[stand[part]], n), np.cumsum(n), bucket[part])
+        begin = np.flatnonzero(np.r_[True, bucket[part][1:] != bucket[part][:-1]])
+        strings = np.diff(np.r_[begin, len(part)])
+        ends = np.cumsum(np.add.reduceat(n + 1, begin))
+        for k, s, a, b in zip(bucket[part][begin].tolist(), strings.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            bodies.setdefault(k, []).append((s, before[a:b], first[a:b]))
+    for k, a, b in bounds:
+        s = stand[a:b]
+        alike = own.alike[s]
+        held = bodies.get(k, [])
+        head = np.array([b - a, len(held), *(x for s_, w, _ in held for x in (s_, len(w)))], np.int64)
+        rest = [_columns(own.anchor[s], owner[a:b], own.count[s].astype(np.uint8), own.shift[s].astype(np.uint8), alike.astype(np.uint8))]
+        rest += [gathered(own.data, own.start[s[alike]], sizes[a:b][alike]).tobytes()]
+        for _, before, first in held:
+            rest += [before.tobytes(), np.packbits(first).tobytes()]
+        yield k, b"".join([head.tobytes(), *rest])
+
+
+def _send_strings(bits: int, length: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in _rows(batch):
-                own = _candidates(row, bits, length)
-                hashes, stand, _ = own.strings()
-                size = own.count[stand] + length - 1
-                ends = np.cumsum(size)
-                data = own.data[np.arange(size.sum()) + np.repeat(own.start[stand] - (ends - size), size)]
-                sent = []
-                for k, a, b in _bounds(own.anchor[stand], bits):
-                    s = stand[a:b]
-                    head = [own.anchor[s].tobytes(), hashes[s].tobytes(), own.ids[own.doc[s]].tobytes(), own.count[s].astype(np.int64).tobytes()]
-                    body = data[ends[a] - size[a] : ends[b - 1]].tobytes()
-                    sent.append((k, row["batch"], compressor.compress(b"".join([np.int64(b - a).tobytes(), *head, body]))))
+                sent = [(k, row["batch"], compressor.compress(x)) for k, x in _payloads(_candidates(row, bits, length), bits, shard_bytes)]
                 if sent:
                     yield _table(sent, *_SENT_OF)
 
     return run
 
 
-def least_ids(data: np.ndarray, counts: np.ndarray, owner: np.ndarray, anchor: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """For each string of `length` bytes of some distinct runs (end to end in data), the least owner among those that hold it."""
-    sizes = counts + length - 1
-    ends, first = np.cumsum(sizes), np.cumsum(counts) - counts
-    out = np.repeat(owner, counts)
-    _, inverse, same = np.unique(anchor, return_inverse=True, return_counts=True)
-    met = np.flatnonzero(same[inverse] > 1)
-    if not len(met):
-        return out
-    own = sizes[met]
-    shards, held = [], []
-    cut = np.flatnonzero(np.diff((np.cumsum(own) - own) // shard_bytes)) + 1
-    for part in np.split(met, cut):
-        n = sizes[part]
-        stop = np.cumsum(n)
-        raw = data[np.arange(n.sum()) + np.repeat(ends[part] - n - (stop - n), n)]
-        shards.append(build(raw, stop))
-        held.append((part, stop + np.arange(len(part))))
-    shard, at, interval = repeats(shards, length)
-    if not len(at):
-        return out
-    place = np.empty(len(at), np.int64)
-    for k, (part, stop) in enumerate(held):
-        mine = np.flatnonzero(shard == k)
-        i = np.searchsorted(stop, at[mine])  # the run whose suffix it is
-        place[mine] = first[part[i]] + at[mine] - (stop[i] - sizes[part[i]])
-    begin = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
-    least = np.minimum.reduceat(out[place], begin)
-    out[place] = np.minimum(out[place], least[interval])
-    return out
-
-
-def _merge(length: int, shard_bytes: int):
+def least_of_alike(anchor: np.ndarray, owner: np.ndarray, count: np.ndarray, shift: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least owner among the equal runs, whether all runs of its anchor are equal indeed) of each run."""
+    size = count + length - 1
+    start = np.cumsum(size) - size
+    order = np.argsort(anchor, kind="stable")
+    a, b = order[:-1], order[1:]
+    one = anchor[a] == anchor[b]
+    same = one & (count[a] == count[b]) & (shift[a] == shift[b])
+    at = np.flatnonzero(same)
+    same[at] = same_bytes(data, start[a[at]], start[b[at]], size[a[at]])
+    begin = np.flatnonzero(np.r_[True, ~one])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
+    alike = np.minimum.reduceat(np.r_[True, same | ~one], begin)
+    return np.minimum.reduceat(owner[order], begin)[group], alike[group]
+
+
+def _merge(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        parts = []
+        heads, plain, before, first, shard_rows, shard_strings = [], [], [], [], [], []
+        unpack = zstandard.ZstdDecompressor()
         for x in rows["payload"]:
-            raw = zstandard.ZstdDecompressor().decompress(x.as_buffer().to_pybytes())
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            anchor, hashes, ids, counts = (np.frombuffer(raw, t, n, 8 + 8 * n * i) for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int64)))
-            parts.append((anchor, hashes, ids, counts, np.frombuffer(raw, np.uint8, -1, 8 + 32 * n)))
-        anchor, hashes, ids, counts, data = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((hashes, anchor))
-        new = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])]
-        begin = np.flatnonzero(new)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        stand = order[begin]
-        owner = np.minimum.reduceat(ids[order], begin)
-        # distinct runs in the order in which the batches have sent them: neighbours in a shard come from one batch
-        by = np.argsort(stand, kind="stable")
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        stand, owner, which = stand[by], owner[by], rank[which]
-        sizes, ends = counts + length - 1, np.cumsum(counts + length - 1)
-        n, stop = sizes[stand], np.cumsum(sizes[stand])
-        picked = data[np.arange(n.sum()) + np.repeat(ends[stand] - n - (stop - n), n)]
-        least = least_ids(picked, counts[stand], owner, anchor[stand], length, shard_bytes)
-        first = np.cumsum(counts[stand]) - counts[stand]
+            r = Reader(unpack.decompress(x.as_buffer().to_pybytes()))
+            n, shards = r.bytes(16).view(np.int64).tolist()
+            about = r.bytes(16 * shards).view(np.int64).reshape(-1, 2)
+            head = [r.column(t, n) for t in (np.uint64, np.int64, np.uint8, np.uint8, np.uint8)]
+            heads.append(head)
+            alike = head[4] > 0
+            plain.append(r.bytes(int((head[2][alike].astype(np.int64) + length - 1).sum())))
+            for s, w in about.tolist():
+                before.append(r.bytes(w))
+                first.append(np.unpackbits(r.bytes(-(-w // 8)), count=w).astype(bool))
+                shard_rows.append(w)
+                shard_strings.append(s)
+        anchor, owner, count, shift, alike = (np.concatenate(x) for x in zip(*heads, strict=True))
+        count, shift, alike = count.astype(np.int64), shift.astype(np.int64), alike > 0
+        data = np.concatenate(plain)
+        least = np.repeat(owner, count)
+        place = np.cumsum(count) - count
+        # runs that should be alike; those that are not (two runs of one hash) are a shard of their own
+        p = np.flatnonzero(alike)
+        other = np.flatnonzero(~alike)
+        if len(p):
+            lowest, sure = least_of_alike(anchor[p], owner[p], count[p], shift[p], data, length)
+            good = p[sure]
+            n = count[good]
+            least[np.arange(n.sum()) + np.repeat(place[good] - (np.cumsum(n) - n), n)] = np.repeat(lowest[sure], n)
+            if not sure.all():
+                size = count[p] + length - 1
+                start = np.cumsum(size) - size
+                w, f = transform(gathered(data, start[~sure], size[~sure]), np.cumsum(size[~sure]))
+                before.append(w)
+                first.append(f)
+                shard_rows.append(len(w))
+                shard_strings.append(int((~sure).sum()))
+                other = np.concatenate([other, p[~sure]])
+        if len(other):
+            merged = load(np.concatenate(before), np.concatenate(first), np.array(shard_rows), np.array(shard_strings))
+            at, interval = repeats(merged, length, anchor[other], shift[other], owner[other])
+            if len(at):
+                n = count[other]
+                own = np.repeat(other, n)[at]  # the string that a substring is of, and the substring's number among all
+                whole = place[own] + at - np.repeat(np.cumsum(n) - n, n)[at]
+                begin = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
+                least[whole] = np.minimum.reduceat(owner[own], begin)[interval]
+        gone = least < np.repeat(owner, count)
         out, at, bucket = [], 0, rows["bucket"][0].as_py()
-        for batch, part in zip(rows["batch"].to_pylist(), parts, strict=True):
-            own = slice(at, at + len(part[0]))
-            at = own.stop
-            c = counts[own]
-            string = np.arange(c.sum()) + np.repeat(first[which[own]] - (np.cumsum(c) - c), c)
-            out.append((batch, 1, bucket, np.packbits(least[string] < np.repeat(ids[own], c)).tobytes()))
+        for batch, head in zip(rows["batch"].to_pylist(), heads, strict=True):
+            n = int(head[2].astype(np.int64).sum())
+            out.append((batch, 1, bucket, np.packbits(gone[at : at + n]).tobytes()))
+            at += n
         return pa.Table.from_batches([_table(out, *_MARK_OF)])
 
     return run
 
 
-def removed(own: Batch, bits: np.ndarray) -> np.ndarray:
-    """Which bytes of a batch's data are covered by a string that starts in a document of smaller id too."""
-    _, stand, which = own.strings()
-    counts = own.count[stand]
-    first = np.cumsum(counts) - counts
-    n = own.count
-    string = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    later = np.repeat(own.ids[own.doc] > own.ids[own.doc[stand[which]]] if len(n) else np.zeros(0, bool), n)
-    gone = later | bits[string + np.repeat(first[which], n)]
-    starts = (string + np.repeat(own.start, n))[gone]
-    edge = np.zeros(len(own.data) + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + own.length, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def _finish(bits: int, length: int, with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 own = _candidates(row, bits, length)
-                _, stand, _ = own.strings()
-                ends = np.concatenate([[0], np.cumsum(own.count[stand])])
-                cover = removed(own, _marks(row, 1, ((k, int(ends[b] - ends[a])) for k, a, b in _bounds(own.anchor[stand], bits))))
+                cover = removed(own, row, bits)
                 total = np.concatenate([[0], np.cumsum(cover)])
                 begins = cover & ~np.r_[False, cover[:-1]]
                 begins[own.offsets[:-1][own.lengths > 0]] = cover[own.offsets[:-1][own.lengths > 0]]
@@ -352,7 +458,7 @@ def _finish(bits: int, length: int, with_kept: bool):
                     "n_bytes": pa.array(own.lengths),
                     "n_removed": pa.array(total[b] - total[a]),
                     "n_spans": pa.array(spans[b] - spans[a]),
-                    "kept_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in kept]),
+                    "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
                 }
                 if with_kept:
                     columns["kept"] = pa.array([x.tobytes() for x in kept], pa.binary())
@@ -361,32 +467,59 @@ def _finish(bits: int, length: int, with_kept: bool):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def removed(own: Batch, row: dict, bits: int) -> np.ndarray:
+    """Which bytes of a batch's data are covered by a string that starts in a document of smaller id too."""
+    stand, owner, which = own.strings()
+    counts = own.count[stand]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    found = _marks(row, 1, ((k, int(ends[b] - ends[a])) for k, a, b in _bounds(own.anchor[stand], bits)))[0]
+    n = own.count
+    string = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    later = np.repeat(own.ids[own.doc] > owner[which] if len(n) else np.zeros(0, bool), n)
+    gone = later | found[string + np.repeat(ends[:-1][which], n)]
+    starts = (string + np.repeat(own.start, n))[gone]
+    edge = np.bincount(starts, minlength=len(own.data) + 1) - np.bincount(starts + own.length, minlength=len(own.data) + 1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def dedup(
+    docs: DataFrame,
+    length: int = LENGTH,
+    with_kept: bool = False,
+    batch_bytes: int = BATCH_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
+    shard_bytes: int = SHARD_BYTES,
+    hot_runs: int = HOT_RUNS,
+) -> DataFrame:
     """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept bytes.
 
     Null and empty texts have no bytes.  Of rows with one doc_id none is smaller than the other: they leave each other alone.  Rows without
-    doc_id come after all others.  Other columns are left out; an empty table gives no rows.
+    doc_id come after all others.  Other columns are left out; an empty table gives no rows.  The result is written to the shared folder;
+    the table of batches is dropped.  A batch sends at most one message a bucket that it has anchors in, so messages are never more than runs.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"delve_batches_{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    name, path = f"delve_batches_{uuid.uuid4().hex}", f"{shared_dir(spark)}/batches"
     batches = rows.mapInArrow(lambda x: _batches(x, batch_bytes), _BATCH)
-    batches.write.bucketBy(parts, "batch").format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/batches").saveAsTable(name)
+    batches.write.bucketBy(parts, "batch").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     batches = spark.table(name)
-    total = batches.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(5, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
+    bits = max(5, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
     anchors_sent = batches.mapInArrow(_send_anchors(bits, length), _SENT)
-    marks = materialise(anchors_sent.groupBy("bucket").applyInArrow(_count_anchors, _MARK), "anchors")
+    marks = materialise(anchors_sent.groupBy("bucket").applyInArrow(_count_anchors(hot_runs), _MARK), "anchors")
 
     def marked(marks: DataFrame) -> DataFrame:
         grouped = marks.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "bits")).alias("marks"))
         return batches.join(grouped.hint("shuffle_hash"), "batch", "left")
 
-    sent = marked(marks).mapInArrow(_send_strings(bits, length), _SENT)
-    found = materialise(sent.groupBy("bucket").applyInArrow(_merge(length, shard_bytes), _MARK), "strings")
+    sent = marked(marks).mapInArrow(_send_strings(bits, length, shard_bytes), _SENT)
+    found = materialise(sent.groupBy("bucket").applyInArrow(_merge(length), _MARK), "strings")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return marked(marks.unionByName(found)).mapInArrow(_finish(bits, length, with_kept), fields)
+    out = materialise(marked(marks.unionByName(found)).mapInArrow(_finish(bits, length, with_kept), fields), "kept")
+    spark.sql(f"DROP TABLE {name}")
+    delete_folder(spark, path)
+    return out
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from delve.llm import substring_dedup as D
-from delve.llm.bwt_merge import build, repeats
+from delve.llm.bwt_merge import load, repeats, suffix_order, transform
 
 
 def brute(rows, n=50):
@@ -46,11 +46,36 @@ def rows():
     return [(i, out[k]) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize("batch,shard", [(8 << 20, 1 << 20), (3000, 1500)])
-def test_equals_brute_force(spark, batch, shard):
+@pytest.mark.parametrize("batch,bucket,shard,hot", [(8 << 20, 8 << 20, 1 << 20, 20_000), (3000, 100, 1500, 20_000), (3000, 1 << 20, 400, 3)])
+def test_equals_brute_force(spark, batch, bucket, shard, hot):
+    """Whole batches; small shards in many buckets; anchors with more than three runs split."""
     data = rows()
     df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, n_bytes string").repartition(3)
-    assert sorted(map(tuple, D.dedup(df, batch_bytes=batch, shard_bytes=shard).collect())) == brute(data)
+    assert sorted(map(tuple, D.dedup(df, batch_bytes=batch, bucket_bytes=bucket, shard_bytes=shard, hot_runs=hot).collect())) == brute(data)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("delve_batches")]
+
+
+def test_pieces_of_a_long_document(spark, monkeypatch):
+    whole = D.Batch({"ids": np.array([1, 2]).tobytes(), "lengths": np.array([5000, 300]).tobytes(), "data": np.random.default_rng(1).integers(97, 100, 5300, np.uint8).tobytes()}, 50)
+    monkeypatch.setattr(D, "PIECE", 170)
+    cut = D.Batch({"ids": whole.ids.tobytes(), "lengths": whole.lengths.tobytes(), "data": whole.data.tobytes()}, 50)
+    of = lambda b: [(int(d), s, a) for d, s0, n, a in zip(b.doc, b.start, b.count, b.anchor) for s in range(s0, s0 + n)]
+    assert of(whole) == of(cut) and len(of(cut)) == 4951 + 251 and len(cut.start) > len(whole.start)
+
+
+def test_runs_of_one_hash_that_differ(monkeypatch):
+    """Runs taken for equal by their hash alone are compared by their bytes, and merged if they differ."""
+    texts = [b"a" * 20 + b"common passage of some bytes, long enough for one anchor to be in it" + x for x in (b"1" * 9, b"2" * 9, b"1" * 9)]
+    sent = []
+    for i, t in enumerate(texts):
+        own = D.Batch({"ids": np.array([i]).tobytes(), "lengths": np.array([len(t)]).tobytes(), "data": t}, 50)
+        n = len(np.unique(own.anchor))
+        own.keep(np.array([[True] * n, [True] * n, [False] * n]))
+        sent += [(0, i, D.zstandard.ZstdCompressor().compress(x)) for _, x in D._payloads(own, 0 + 1, 1000)]
+    table_ = D.pa.Table.from_batches([D._table(sent, *D._SENT_OF)])
+    got = D._merge(50)(table_)
+    assert got.num_rows == len(sent)
+    assert sum(int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in got["bits"].to_pylist()) == (len(texts[1]) - 9 - 49) + (len(texts[2]) - 49)
 
 
 def test_query_on_the_small_table(spark):
@@ -70,17 +95,21 @@ def test_kept_bytes_and_odd_rows(spark):
 def test_merge_of_shards_equals_sorting():
     rng = random.Random(1)
     for _ in range(60):
-        shards = [[bytes(rng.choice(b"\x00ab") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 4))]
-        built = []
-        for s in shards:
-            suffixes = [(t[i:], j) for j, t in enumerate(s) for i in range(len(t) + 1)]
-            built.append(build(np.frombuffer(b"".join(s), np.uint8), np.cumsum([len(t) for t in s])))
-            assert built[-1].at.tolist() == sorted(range(len(suffixes)), key=suffixes.__getitem__)
-        n, got, want = rng.randint(1, 8), {}, {}
-        for k, at, interval in zip(*repeats(built, n), strict=True):
-            got.setdefault(int(interval), set()).add((int(k), *[(j, i) for j, t in enumerate(shards[k]) for i in range(len(t) + 1)][at]))
-        for k, s in enumerate(shards):
-            for j, t in enumerate(s):
-                for i in range(len(t) - n + 1):
-                    want.setdefault(t[i : i + n], set()).add((k, j, i))
-        assert sorted(map(sorted, got.values())) == sorted(sorted(w) for w in want.values() if len(w) > 1)
+        strings = [bytes(rng.choice(b"\x00ab") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 12))]
+        shard = np.sort([rng.randrange(4) for _ in strings])
+        data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(t) for t in strings])
+        want = sorted((shard[j], t[i:], j, i) for j, t in enumerate(strings) for i in range(len(t) + 1))
+        at = {(j, i): i + j + int(ends[j - 1] if j else 0) for _, _, j, i in want}
+        assert suffix_order(data, ends, shard).tolist() == [at[j, i] for _, _, j, i in want]
+        before, first = transform(data, ends, shard)
+        rows = np.bincount(shard, [len(t) + 1 for t in strings]).astype(int)
+        merge = load(before, first, rows, np.bincount(shard))
+        assert merge.sizes.tolist() == [len(t) for t in strings]
+        n, owner = rng.randint(1, 8), np.array([rng.randrange(4) for _ in strings])
+        kind, shift = np.array([rng.randrange(2) for _ in strings]), np.array([rng.randrange(3) for _ in strings])
+        got, places, held = {}, [(j, i) for j, t in enumerate(strings) for i in range(len(t) - n + 1)], {}
+        for at, interval in zip(*repeats(merge, n, kind, shift, owner), strict=True):
+            got.setdefault(int(interval), set()).add(places[at])
+        for j, i in places:
+            held.setdefault((strings[j][i : i + n], kind[j], shift[j] - i), set()).add((j, i))
+        assert sorted(map(sorted, got.values())) == sorted(sorted(w) for w in held.values() if len({owner[j] for j, _ in w}) > 1)
