@@ -4,9 +4,11 @@ Distinct vectors are dealt to the lists of a coarse quantiser; a query scans its
 rotated at random and read in blocks of columns: after each block a hypothesis test compares the distance seen so far, scaled up, with
 what a vector still needs to be among the nearest, and abandons it early.  Survivors are scored on their original components.
 
-Bounds: the quantiser, the number of probed lists and a query's first threshold come from at most `sample` vectors (those of smallest
-hashed id); every vector is indexed.  Lists and queries meet in cells of bounded size, so a hot list is many cells.  Of equal vectors
-the index keeps the k + 1 smallest ids: no other one can be among anyone's k nearest.
+Bounds: the quantiser, the number of probed lists and a query's first threshold come from at most `sample` vectors, an eighth of a
+small table; every vector is indexed, and a result comes from a scanned list alone.  Lists grow with the vectors: beyond `coarse` of them a
+list is a coarse centroid and one of a codebook of residuals, so that codebooks stay small.  Lists and queries meet in cells of
+bounded size, so a hot list is many cells.  A query whose lists hold fewer than k scans all lists, without the test.  Of equal vectors the
+index keeps the k + 1 smallest ids: no other one can be among anyone's k nearest.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from delve.llm.common import materialise, table
 @dataclass(frozen=True)
 class Params:
     k: int = 20
-    sample: int = 16_384
-    list_rows: int = 512  # vectors of a list, on average
-    most_lists: int = 4096
+    sample: int = 16_384  # at most; an eighth of the vectors, if that is less, but least_sample
+    least_sample: int = 512
+    list_rows: int = 512  # vectors of a list, on average, up to coarse * coarse lists
+    coarse: int = 2048
     recall: float = 0.97  # on the sample, for the number of probed lists
     epsilon: float = 2.1  # of the hypothesis test: larger abandons later
     columns: int = 16  # of a column block
@@ -37,17 +40,24 @@ class Params:
 
 @dataclass
 class Index:
-    """What every task needs: the rotation, the centroids in augmented space, the sample, how many lists to probe."""
+    """What every task needs: the rotation, the codebooks in augmented space, the sample, how many lists to probe.
+
+    List c * len(residuals) + r has the centroid centroids[c] + residuals[r].
+    """
 
     rotation: np.ndarray
     centroids: np.ndarray
+    residuals: np.ndarray
     top: float  # the largest squared norm
     sample: np.ndarray
     sample_copies: np.ndarray
-    sample_ids: np.ndarray  # of all its vectors, one after the other
     probes: int
     params: Params
 
+    @property
+    def lists(self) -> int:
+        return len(self.centroids) * len(self.residuals)
+
 
 def valid(vector: str = "embedding"):
     """No null vector, null or non-finite component, or zero vector."""
@@ -60,7 +70,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,17 +85,37 @@ def augmented(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0, top - (x * x).sum(axis=1)))[:, None]])
 
 
-def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    away = (centroids**2).sum(axis=1) - 2 * x @ centroids.T
-    n = min(n, len(centroids))
-    return np.argpartition(away, n - 1, axis=1)[:, :n] if n < len(centroids) else np.tile(np.arange(n), (len(x), 1))
+def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances, but for the constant of each row of x."""
+    return (centroids**2).sum(axis=1) - 2 * x @ centroids.T
+
+
+def _least(away: np.ndarray, n: int) -> np.ndarray:
+    return np.argpartition(away, n - 1, axis=1)[:, :n] if n < away.shape[1] else np.tile(np.arange(away.shape[1]), (len(away), 1))
+
+
+def nearest_lists(x: np.ndarray, index: Index, n: int) -> np.ndarray:
+    """The n nearest lists of each row.  With residuals: among those of the nearest coarse centroids, twice as many as hold n lists, and 8 more."""
+    away, width = distances(x, index.centroids), len(index.residuals)
+    if width == 1:
+        return _least(away, n)
+    some = _least(away, 2 * -(-n // width) + 8)
+    out = np.empty((len(x), min(n, some.shape[1] * width)), np.int64)
+    own = distances(np.zeros_like(x[:1]), index.residuals)[0]
+    for a in range(0, len(x), 64):
+        c = some[a : a + 64]
+        rest = x[a : a + 64, None, :] - index.centroids[c]
+        fine = np.take_along_axis(away[a : a + 64], c, axis=1)[:, :, None] + own - 2 * rest @ index.residuals.T
+        best = _least(fine.reshape(len(c), -1), out.shape[1])
+        out[a : a + 64] = np.take_along_axis(c, best // width, axis=1) * width + best % width
+    return out
 
 
 def kmeans(x: np.ndarray, lists: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centroids = x[rng.choice(len(x), lists, replace=False)].copy()
     for _ in range(rounds):
-        own = nearest_lists(x, centroids, 1)[:, 0]
+        own = distances(x, centroids).argmin(axis=1)
         counts = np.bincount(own, minlength=lists)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, x)
@@ -96,40 +126,40 @@ def kmeans(x: np.ndarray, lists: int, seed: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def train(sample: np.ndarray, copies: np.ndarray, ids: np.ndarray, top: float, rows: int, params: Params) -> Index:
+def codebooks(x: np.ndarray, lists: int, params: Params) -> tuple[np.ndarray, np.ndarray]:
+    most = max(1, min(params.coarse, len(x) // 8))
+    centroids = kmeans(x, min(lists, most), params.seed)
+    fine = min(-(-lists // len(centroids)), most)
+    if fine == 1:
+        return centroids, np.zeros_like(centroids[:1])
+    return centroids, kmeans(x - centroids[distances(x, centroids).argmin(axis=1)], fine, params.seed)
+
+
+def train(sample: np.ndarray, copies: np.ndarray, top: float, rows: int, params: Params) -> Index:
     dim = sample.shape[1]
     rng = np.random.default_rng(params.seed)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    lists = int(np.clip(rows // params.list_rows, 1, min(params.most_lists, max(1, len(sample) // 8))))
     x = augmented(sample, top)
-    centroids = kmeans(x, lists, params.seed)
-    own = nearest_lists(x, centroids, 1)[:, 0]
+    index = Index(rotation, *codebooks(x, max(1, rows // params.list_rows), params), top, sample, copies, 1, params)
+    own = nearest_lists(x, index, 1)[:, 0]
     asked = rng.choice(len(sample), min(256, len(sample)), replace=False)
     inner = sample[asked].astype(np.float64) @ sample.T.astype(np.float64)
     inner[np.arange(len(asked)), asked] = -np.inf
     k = min(params.k, len(sample) - 1)
-    probes = 1
     if k > 0:
         best = np.argpartition(-inner, k - 1, axis=1)[:, :k]
         q = np.hstack([sample[asked].astype(np.float64), np.zeros((len(asked), 1))])
-        order = np.argsort((centroids**2).sum(axis=1) - 2 * q @ centroids.T, axis=1, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(lists)[None, :].repeat(len(asked), 0), axis=1)
-        needed = np.sort(np.take_along_axis(rank, own[best], axis=1).ravel())
-        probes = int(needed[min(len(needed) - 1, int(np.ceil(params.recall * len(needed))))]) + 1
-    return Index(rotation, centroids, top, sample, copies, ids, probes, params)
+        needed = np.sort(np.concatenate([_ranks(index, q[i : i + 1], own[best[i]]) for i in range(len(asked))]))
+        index.probes = int(needed[min(len(needed) - 1, int(np.ceil(params.recall * len(needed))))]) + 1
+    return index
 
 
-def _sample_best(index: Index, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first query, sample rows, inner products) of blocks of queries: each one's k + 1 best of the sample, best first."""
-    sample = index.sample.astype(np.float64)
-    m = min(index.params.k + 1, len(sample))
-    for a in range(0, len(q), 256):
-        inner = q[a : a + 256].astype(np.float64) @ sample.T
-        best = np.argpartition(-inner, m - 1, axis=1)[:, :m]
-        score = np.take_along_axis(inner, best, axis=1)
-        order = np.argsort(-score, axis=1, kind="stable")
-        yield a, np.take_along_axis(best, order, axis=1), np.take_along_axis(score, order, axis=1)
+def _ranks(index: Index, q: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """How many lists are nearer to q than each of some lists."""
+    width = len(index.residuals)
+    rest = q - index.centroids
+    away = (rest**2).sum(axis=1)[:, None] + distances(rest, index.residuals)
+    return np.searchsorted(np.sort(away.ravel()), away[lists // width, lists % width])
 
 
 def first_threshold(index: Index, q: np.ndarray) -> np.ndarray:
@@ -138,11 +168,17 @@ def first_threshold(index: Index, q: np.ndarray) -> np.ndarray:
     out = np.full(len(q), -np.inf)
     if index.sample_copies.sum() < need:
         return out
-    for a, best, score in _sample_best(index, q):
-        copies = np.cumsum(index.sample_copies[best], axis=1)
-        at = np.argmax(copies >= need, axis=1)
-        out[a : a + len(best)] = np.where(copies[:, -1] >= need, np.take_along_axis(score, at[:, None], axis=1)[:, 0], -np.inf)
-    return out - 1e-6 * (1 + np.abs(np.where(np.isfinite(out), out, 0)))
+    sample = index.sample.astype(np.float64)
+    m = min(need, len(sample))
+    for a in range(0, len(q), 256):
+        inner = q[a : a + 256].astype(np.float64) @ sample.T
+        best = np.argpartition(-inner, m - 1, axis=1)[:, :m]
+        score = np.take_along_axis(inner, best, axis=1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        best, score = np.take_along_axis(best, order, axis=1), np.take_along_axis(score, order, axis=1)
+        at = np.argmax(np.cumsum(index.sample_copies[best], axis=1) >= need, axis=1)
+        out[a : a + len(best)] = np.take_along_axis(score, at[:, None], axis=1)[:, 0]
+    return out - 1e-6 * (1 + np.abs(out))
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -164,7 +200,7 @@ def expanded(rows: np.ndarray, cols: np.ndarray, score: np.ndarray, copies: np.n
     return rows[best], vec[best], score[best]
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, floor: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def adaptive_scan(q: np.ndarray, x: np.ndarray, floor: np.ndarray, index: Index, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (query, vector) of at least floor[query] that no test abandons, and their scores.
 
     With d of D rotated columns seen, s = D / d times the partial squared distance estimates the whole; a pair is abandoned if s is
@@ -180,7 +216,7 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, floor: np.ndarray, index: Index)
         if rows is None:
             seen = (qr[:, a:b] ** 2).sum(axis=1)[:, None] + (xr[:, a:b] ** 2).sum(axis=1)[None, :] - 2 * qr[:, a:b] @ xr[:, a:b].T
             limit = np.maximum(qn[:, None] + xn[None, :] - 2 * floor[:, None], 0)
-            alive = seen * (dim / b) <= limit * (1 + p.epsilon / np.sqrt(b)) ** 2 + 1e-9
+            alive = seen * (dim / b) <= limit * (1 + epsilon / np.sqrt(b)) ** 2 + 1e-9
             rows, cols = np.nonzero(alive)
             part, limit = seen[rows, cols], limit[rows, cols]
         else:
@@ -189,7 +225,7 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, floor: np.ndarray, index: Index)
                 part = part + dense[rows, cols]
             else:
                 part = part + ((qr[rows, a:b] - xr[cols, a:b]) ** 2).sum(axis=1)
-            wide = (1 + p.epsilon / np.sqrt(b)) ** 2 if b < dim else 1.0
+            wide = (1 + epsilon / np.sqrt(b)) ** 2 if b < dim else 1.0
             alive = part * (dim / b) <= limit * wide + 1e-9 * (1 + limit)
             rows, cols, part, limit = rows[alive], cols[alive], part[alive], limit[alive]
     return rows, cols, exact(q[rows], x[cols])
@@ -202,68 +238,32 @@ def _distinct(vectors: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("embedding").agg(ids.alias("ids")).select(F.col("ids")[0].alias("key"), "ids", "embedding")
 
 
-def search(vectors: DataFrame, queries: DataFrame, params: Params = Params()) -> DataFrame:
-    """The nearest of each query's vector among vectors (vec_id, embedding), but itself: query_id, rank, vec_id, score.
+_HITS = "key long, vec_id long, score double"
 
-    queries: rows of vectors.  Null, zero or not finite vectors, and those of another length than most, take no part; equal
-    scores go to the smaller vec_id; an empty table, or a single vector, gives no row; other columns are left out.
-    """
-    spark, p = vectors.sparkSession, params
-    keep = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")]
-    vectors, queries = (x.select(*keep).where(valid()) for x in (vectors, queries))
-    schema = "query_id long, rank int, vec_id long, score double"
-    lengths = vectors.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    same = F.size("embedding") == lengths.dim
-    distinct = materialise(_distinct(vectors.where(same), p.k), "vectors")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    facts = distinct.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
-    held = distinct.select("ids", "embedding").orderBy(F.xxhash64("key")).limit(p.sample).toArrow()
-    index = spark.sparkContext.broadcast(train(matrix(held["embedding"]), *_ids(held["ids"]), facts.top, facts.n, p))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _probed(wanted: DataFrame, hot: DataFrame, index, chunks: int, every: bool) -> DataFrame:
+    """A row for each cell that a query's vector is held against: key, embedding, floor, list, block, chunk."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
-            x = augmented(matrix(batch.column("embedding")), own.top)
-            lists = nearest_lists(x, own.centroids, 1)[:, 0] if len(x) else np.zeros(0, np.int64)
-            yield batch.append_column("list", pa.array(lists.astype(np.int32)))
+            x = matrix(batch.column("embedding"))
+            for a in range(0, len(x), 256 if not every else 1):
+                part = x[a : a + (256 if not every else 1)]
+                q = np.hstack([part.astype(np.float64), np.zeros((len(part), 1))])
+                lists = np.arange(own.lists)[None, :] if every else nearest_lists(q, own, own.probes)
+                at = pa.array(a + np.repeat(np.arange(len(part)), lists.shape[1]))
+                floor = np.repeat(first_threshold(own, part), lists.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("embedding").take(at), pa.array(floor), pa.array(lists.ravel())], ["key", "embedding", "floor", "list"])
 
-    listed = materialise(distinct.mapInArrow(assign, "key long, ids array<long>, embedding array<float>, list int"), "lists")
-    sizes = {r.list: r["count"] for r in listed.groupBy("list").count().collect()}  # at most most_lists rows
-    blocks = {k: -(-n // p.cell_rows) for k, n in sizes.items()}
+    kind = wanted.schema["embedding"].dataType.simpleString()
+    rows = wanted.mapInArrow(probe, f"key long, embedding {kind}, floor double, list long").join(hot, "list", "left")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(chunks)).cast("int"))
 
-    asked = queries.where(same).join(distinct.select("key", "embedding"), "embedding").select("vec_id", "key")
-    asked = materialise(asked, "asked")
-    wanted = materialise(distinct.join(asked.select("key").distinct(), "key", "left_semi").select("key", "embedding"), "queries")
-    chunks = max(1, -(-wanted.count() * index.value.probes // (len(index.value.centroids) * p.cell_rows)))
-    cells = spark.sparkContext.broadcast(blocks)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, block_of = index.value, cells.value
-        for batch in batches:
-            x = matrix(batch.column("embedding"))
-            if not len(x):
-                continue
-            q = np.hstack([x.astype(np.float64), np.zeros((len(x), 1))])
-            floor = first_threshold(own, x)
-            lists = nearest_lists(q, own.centroids, own.probes)
-            n = np.vectorize(lambda k: block_of.get(k, 0), otypes=[np.int64])(lists)
-            row = np.repeat(np.arange(len(x)), n.sum(axis=1))
-            each = np.repeat(lists.ravel(), n.ravel())
-            ends = np.cumsum(n.ravel())
-            block = np.arange(len(each)) - np.repeat(ends - n.ravel(), n.ravel())
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(at), batch.column("embedding").take(at), pa.array(floor[row]), pa.array(each.astype(np.int32)), pa.array(block.astype(np.int32))],
-                ["key", "embedding", "floor", "list", "block"],
-            )
-
-    left = wanted.mapInArrow(probe, "key long, embedding array<float>, floor double, list int, block int")
-    left = left.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(chunks)).cast("int"))
-    count = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    right = listed.withColumn("block", F.pmod(F.xxhash64("key"), count[F.col("list")].cast("long")).cast("int"))
-    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+def _scanned(left: DataFrame, right: DataFrame, index, epsilon: float) -> DataFrame:
+    """The hits (key, vec_id, score) of cells."""
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         own = index.value
@@ -273,28 +273,75 @@ def search(vectors: DataFrame, queries: DataFrame, params: Params = Params()) ->
             copies, ids = _ids(b["ids"])
             step = max(1, (4 << 20) // len(x))
             for s in range(0, len(q), step):
-                rows, cols, score = adaptive_scan(q[s : s + step], x, floor[s : s + step], own)
+                rows, cols, score = adaptive_scan(q[s : s + step], x, floor[s : s + step], own, epsilon)
                 rows, vec, score = expanded(rows, cols, score, copies, ids, own.params.k + 1)
                 out.append((keys[s : s + step][rows], vec, score))
         joined = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("key", "vec_id", "score"), map(pa.array, joined), strict=True)))
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest of the sample: each query has them, whatever its lists hold."""
+    by = ("list", "block", "chunk")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, _HITS)
+
+
+def search(vectors: DataFrame, queries: DataFrame, params: Params = Params()) -> DataFrame:
+    """The nearest of each query's vector among vectors (vec_id, embedding), but itself: query_id, rank, vec_id, score.
+
+    queries: rows of vectors.  Null, empty, zero or not finite vectors take no part; a shorter vector counts as filled up with zeros; floats
+    and doubles are scored as they are, in double precision.  Equal scores go to the smaller vec_id; an empty table, or a
+    single vector, gives no row; other columns are left out.
+    """
+    spark, p = vectors.sparkSession, params
+    double = "double" in vectors.schema["embedding"].dataType.simpleString()
+    kind = "array<double>" if double else "array<float>"
+    keep = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")]
+    vectors, queries = (x.select(*keep).where(valid()) for x in (vectors, queries))
+    schema = "query_id long, rank int, vec_id long, score double"
+    lengths = vectors.agg(F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if lengths.most is None:
+        return spark.createDataFrame([], schema)
+    if lengths.least < lengths.most:
+        filled = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(lengths.most) - F.size("embedding")).cast(kind))
+        vectors, queries = (x.withColumn("embedding", filled) for x in (vectors, queries))
+    distinct = materialise(_distinct(vectors, p.k), "vectors")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    facts = distinct.agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.sum(F.size("ids")).alias("ids")).first()
+    wanted_sample = max(min(facts.n, p.least_sample), min(p.sample, facts.n // 8))
+    share = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(2.0**53)  # about as many; none is ranked or moved
+    held = distinct.where(share <= min(1.0, wanted_sample / facts.n)).select("key", F.size("ids").alias("copies"), "embedding").toArrow().sort_by("key")
+    if not held.num_rows:
+        held = distinct.limit(1).select("key", F.size("ids").alias("copies"), "embedding").toArrow()
+    index = spark.sparkContext.broadcast(train(matrix(held["embedding"]), held["copies"].to_numpy().astype(np.int64), facts.top, facts.n, p))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
-            q, keys = matrix(batch.column("embedding")), batch.column("key").to_numpy()
-            for a, best, _ in _sample_best(own, q) if len(q) else ():
-                rows, cols = np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
-                rows, vec, score = expanded(rows, cols, exact(q[a : a + len(best)][rows], own.sample[cols]), own.sample_copies, own.sample_ids, own.params.k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + len(best)][rows]), pa.array(vec), pa.array(score)], ["key", "vec_id", "score"])
-
-    by, hits = ("list", "block", "chunk"), "key long, vec_id long, score double"
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, hits)
-    found = found.unionByName(wanted.mapInArrow(begin, hits)).groupBy("key", "vec_id").agg(F.max("score").alias("score"))
+            x = augmented(matrix(batch.column("embedding")), own.top)
+            lists = nearest_lists(x, own, 1)[:, 0] if len(x) else np.zeros(0, np.int64)
+            yield batch.append_column("list", pa.array(lists.astype(np.int64)))
+
+    listed = materialise(distinct.mapInArrow(assign, f"key long, ids array<long>, embedding {kind}, list long"), "lists")
+    blocks = F.ceil(F.col("size") / p.cell_rows).cast("int").alias("blocks")
+    hot = materialise(listed.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > p.cell_rows).select("list", blocks), "hot")  # a cell_rows-th of the vectors at most
+
+    asked = queries.join(distinct.select("key", "embedding"), "embedding").select("vec_id", "key")
+    asked = materialise(asked, "asked")
+    wanted = materialise(distinct.join(asked.select("key").distinct(), "key", "left_semi").select("key", "embedding"), "queries")
+    cells = listed.join(hot, "list", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k + 1)
-    near = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near"))
+
+    def nearest(wanted: DataFrame, probes: int, epsilon: float) -> DataFrame:
+        """key and its near vectors, best first.  As lists grow with the vectors, chunks do not."""
+        chunks = max(1, -(-wanted.count() * probes // (index.value.lists * p.cell_rows)))
+        right = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        hits = _scanned(_probed(wanted, hot, index, chunks, every=probes == index.value.lists), right, index, epsilon)
+        ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k + 1)
+        return materialise(ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near")), "near")
+
+    near = nearest(wanted, index.value.probes, p.epsilon)
+    enough = near.where(F.size("near") >= min(p.k + 1, facts.ids))
+    few = materialise(wanted.join(enough, "key", "left_anti"), "few")
+    if not few.isEmpty():
+        near = enough.unionByName(nearest(few, index.value.lists, float("inf")))
     each = asked.join(near, "key").select(F.col("vec_id").alias("query_id"), F.filter("near", lambda x: x.vec_id != F.col("vec_id")).alias("near"))
     each = each.select("query_id", F.posexplode(F.slice("near", 1, p.k)).alias("pos", "hit"))
     return each.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

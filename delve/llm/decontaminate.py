@@ -2,7 +2,7 @@
 
 The windows of all benchmark items become a broadcast set of hashes, checked against a size bound; training texts are scanned once, each
 window's hash is looked up, and a hit is verified word for word.  A benchmark over the bound is dealt into slices that are
-scanned in turn, so that no broadcast is larger than the bound.
+scanned one after the other, each scan written before the next, so that no task holds more than one set.  A set takes 24 bytes a window beside the words.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from delve.llm.common import spans_of_rows, table, utf8
+from delve.llm.common import materialise, spans_of_rows, table, utf8
 from delve.llm.wordhash import LOWER, window_hashes, word_bounds, word_hashes
 
 WINDOW = 13
@@ -27,49 +27,59 @@ SLICE_BYTES = 16 << 20
 
 
 class Windows:
-    """The windows of some items: a bit filter, sorted hashes, and for each the items and the words to verify against."""
+    """The windows of some items, in arrays: for each size a bit filter, sorted hashes, and for each window its item and where it stands
+    in the items' lower-cased words, which are kept once, joined by blanks."""
 
     def __init__(self, items: list[tuple[object, bytes]], n: int = WINDOW):
-        rows: dict[int, list] = {}
-        for item_id, raw in items:
+        self.items = [str(i) for i, _ in items]
+        kept: list[bytes] = []
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        at = 0
+        for k, (_, raw) in enumerate(items):
             raw = LOWER[np.frombuffer(raw, np.uint8)]
             starts, ends = word_bounds(raw)
             if not len(starts):
                 continue
             size = min(n, len(starts))
-            hashes = window_hashes(word_hashes(raw, starts, ends), size)
-            text = raw.tobytes()
-            for k, h in enumerate(hashes.tolist()):
-                words = tuple(text[starts[j] : ends[j]] for j in range(k, k + size))
-                rows.setdefault(size, []).append((h, words, item_id))
+            hashes = window_hashes(word_hashes(raw, starts, ends, fold=False), size)
+            length = ends - starts
+            first = at + np.cumsum(length + 1) - (length + 1)
+            kept.append(_joined_words(raw, starts, ends) + b" ")
+            at += len(kept[-1])
+            place = np.arange(len(hashes))
+            found.setdefault(size, []).append((hashes, np.full(len(hashes), k, np.int32), first[place], first[place + size - 1] + length[place + size - 1]))
+        self.text = b"".join(kept)
         self.by_size = {}
-        for size, found in rows.items():
-            owners: dict[tuple, tuple[int, set]] = {}
-            for h, words, item_id in found:
-                owners.setdefault(words, (h, set()))[1].add(item_id)
-            by_hash: dict[int, list] = {}
-            for words, (h, ids) in owners.items():
-                by_hash.setdefault(h, []).append((words, frozenset(ids)))
-            hashes = np.array(sorted(by_hash), np.uint64)
+        for size, parts in found.items():
+            hashes, owner, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
             bits = np.zeros(1 << 20, bool)
             bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.by_size[size] = (hashes, bits, by_hash)
+            self.by_size[size] = (bits, hashes[order], owner[order], begin[order], end[order])
 
-    def hits(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, frozenset]]:
+    def hits(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, words, items) of each verified window of lower-cased raw; owner: the document of each word."""
         words = word_hashes(raw, starts, ends, fold=False)
-        for size, (known, bits, by_hash) in self.by_size.items():
+        for size, (bits, known, items, begin, end) in self.by_size.items():
             hashes = window_hashes(words, size)
             at = np.flatnonzero(bits[(hashes >> np.uint64(44)).astype(np.int64)])
             at = at[owner[at] == owner[at + size - 1]]
             if not len(at):
                 continue
-            place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
-            for k in at[known[place] == hashes[at]].tolist():
-                text = tuple(raw[starts[j] : ends[j]].tobytes() for j in range(k, k + size))
-                for own, ids in by_hash[int(hashes[k])]:
-                    if own == text:
-                        yield k, size, ids
+            first, last = np.searchsorted(known, hashes[at]), np.searchsorted(known, hashes[at], side="right")
+            for k, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+                if a == b:
+                    continue
+                text = _joined_words(raw, starts[k : k + size], ends[k : k + size])
+                own = [self.items[items[x]] for x in range(a, b) if end[x] - begin[x] == len(text) and self.text[begin[x] : end[x]] == text]
+                if own:
+                    yield k, size, own
+
+
+def _joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    first = starts[0] if len(starts) else 0
+    text = raw[first : ends[-1] if len(ends) else 0].tobytes()
+    return b" ".join([text[a:b] for a, b in zip((starts - first).tolist(), (ends - first).tolist(), strict=True)])
 
 
 _FIELDS = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
@@ -144,7 +154,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slice_bytes: in
     new += [StructField(f"{prefix}hit_spans", ArrayType(LongType())), StructField(f"{prefix}items", ArrayType(StringType()))]
     fields = StructType([*docs.schema.fields, *new])
     scan_with = lambda df, w: df.mapInArrow(lambda batches: _scanner(w.value, prefix)(batches), fields)
-    for items in _slices(benchmark, slice_bytes):
+    for k, items in enumerate(_slices(benchmark, slice_bytes)):
+        if k:  # one set at a time: the scan of the slice before ends here
+            docs = materialise(docs, "scanned")
         docs = scan_with(docs, docs.sparkSession.sparkContext.broadcast(Windows(items, n)))
     return docs
 

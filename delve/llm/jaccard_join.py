@@ -5,8 +5,9 @@ similarity 0.8 or more.  In each run every set follows, from the run's root, the
 1 / threshold of them; sets that are alike follow the same tokens.  A node that more than `bucket` sets reach is split again by
 further tokens, up to `depth`; what is left is compared by brute force, in blocks.  The number of runs is what the target recall needs.
 
-A pair is compared at the least of the leaves that both sets reach, and there only.  So links are counted and joined inside the
-tasks: no pair is ever a row, and a large group of near copies costs rows in proportion to its size.
+A pair is compared at the least of the leaves that both sets reach, and there only: once by sketch, then by n-grams.  So links are counted
+and joined inside the tasks, and no pair is ever a row.  A group of g near copies makes, at one leaf, g / block rows of each of its sets, as
+the exact number of links needs every pair; at its other leaves only sets that have not met before do (see _dealt).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from delve.llm.common import materialise, mix, spans_of_rows, table, utf8
@@ -201,26 +202,45 @@ def _matrix(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _pairs(leaf: int, sketch: np.ndarray, leaves: list[np.ndarray], block: np.ndarray, cross: bool, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell whose sketches agree enough, and that meet at no lesser leaf."""
+def _owned(leaf: int, leaves: pa.Array, block: np.ndarray, cross: bool) -> np.ndarray | None:
+    """Which pairs of a cell meet at no lesser leaf, as an upper triangle; None if none does."""
+    m = len(block)
+    values, offsets = leaves.values.to_numpy(), leaves.offsets.to_numpy()
+    values, offsets = values[offsets[0] : offsets[-1]], offsets - offsets[0]
+    lesser = np.flatnonzero(values < leaf)
+    _, column, count = np.unique(values[lesser], return_inverse=True, return_counts=True)
+    if len(count) and count.max() == m:
+        return None
+    met = np.zeros((m, m), bool)
+    row = np.repeat(np.arange(m), np.diff(offsets))[lesser]
+    often = count > 1
+    number = np.cumsum(often) - 1
+    row, column = row[often[column]], number[column[often[column]]]
+    for first in range(0, int(often.sum()), 4096):
+        own = (column >= first) & (column < first + 4096)
+        holds = np.zeros((m, min(4096, int(often.sum()) - first)), np.float32)
+        holds[row[own], column[own] - first] = 1
+        met |= holds @ holds.T > 0
+    wanted = np.triu(~met, 1)
+    if cross:
+        wanted &= block[:, None] != block[None, :]
+    return wanted if wanted.any() else None
+
+
+def _pairs(leaf: int, sketch: np.ndarray, leaves: pa.Array, block: np.ndarray, cross: bool, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell that meet at no lesser leaf, and whose sketches agree enough."""
+    wanted = _owned(leaf, leaves, block, cross)
+    if wanted is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     m = len(sketch)
+    if wanted.sum() * 8 < m * m:
+        x, y = np.nonzero(wanted)
+        good = np.concatenate([(sketch[x[a : a + 65536]] == sketch[y[a : a + 65536]]).sum(axis=1) >= floor * SKETCH for a in range(0, len(x), 65536)])
+        return x[good], y[good]
     equal = np.zeros((m, m), np.uint8)
     for k in range(SKETCH):
         equal += sketch[:, k][:, None] == sketch[:, k][None, :]
-    wanted = np.triu(equal >= floor * SKETCH, 1)
-    if cross:
-        wanted &= block[:, None] != block[None, :]
-    x, y = np.nonzero(wanted)
-    if len(x):
-        width = max(map(len, leaves))
-        lesser = np.stack([np.concatenate([v[v < leaf], np.full(width - (v < leaf).sum(), leaf)]) for v in leaves])
-        own = np.ones(len(x), bool)
-        for a in range(0, len(x), 1 << 14):
-            left, right = lesser[x[a : a + (1 << 14)]], lesser[y[a : a + (1 << 14)]]
-            for j in range(width):
-                own[a : a + (1 << 14)] &= ~((left == right[:, j : j + 1]) & (left != leaf)).any(axis=1)
-        x, y = x[own], y[own]
-    return x, y
+    return np.nonzero(wanted & (equal >= floor * SKETCH))
 
 
 def _verified(tokens: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -268,26 +288,50 @@ def _cells(table_: pa.Table) -> Iterator[tuple[int, int]]:
     yield from zip(np.r_[0, at], np.r_[at, len(keys)], strict=True)
 
 
-def _compare(p: Params, verify: bool):
+LIVE = "set_id long, leaf long, i int, j int, place int, partners binary"
+
+
+def _compare(p: Params):
+    """The sets of each cell that have partners to verify there, each with a bit for every such set of the cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, CELL):
             ids, leaf = group["set_id"].to_numpy(), group["leaf"].to_numpy()
             i, j, block = (group[c].to_numpy() for c in ("i", "j", "block"))
-            sketch = _matrix(group["sketch"], SKETCH, np.uint8)
-            leaves = [np.asarray(v) for v in group["leaves"].to_pandas()]
-            kept: list[np.ndarray] = []
-            links: list[np.ndarray] = []
-            roots: list[np.ndarray] = []
+            sketch, leaves = _matrix(group["sketch"], SKETCH, np.uint8), group["leaves"].combine_chunks()
+            kept, places, partners = [], [], []
             for a, b in _cells(group):
-                x, y = _pairs(int(leaf[a]), sketch[a:b], leaves[a:b], block[a:b], i[a] != j[a], p.sketch_floor)
+                x, y = _pairs(int(leaf[a]), sketch[a:b], leaves.slice(a, b - a), block[a:b], i[a] != j[a], p.sketch_floor)
                 if not len(x):
                     continue
-                if not verify:
-                    kept.append(a + np.unique(np.concatenate([x, y])))
-                    continue
+                own, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                bits = np.zeros((len(own), len(own)), bool)
+                bits[at[: len(x)], at[len(x) :]] = True
+                kept.append(a + own)
+                places.append(np.arange(len(own), dtype=np.int32))
+                partners += [v.tobytes() for v in np.packbits(bits, axis=1)]
+            at = np.concatenate([*kept, np.zeros(0, np.int64)])
+            place = np.concatenate([*places, np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v[at]) for v in (ids, leaf, i, j)), pa.array(place), pa.array(partners, pa.binary())], ["set_id", *CELL, "place", "partners"])
+
+    return run
+
+
+def _verify(p: Params):
+    """links and the least linked set of each set, cell by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, CELL):
+            ids = group["set_id"].to_numpy()
+            kept, links, roots = [], [], []
+            for a, b in _cells(group):
+                bits = np.unpackbits(_matrix(group["partners"][a:b], -(-(b - a) // 8), np.uint8), axis=1, count=b - a)
+                x, y = np.nonzero(bits)
                 tokens = [np.frombuffer(t.as_buffer(), np.uint32) for t in group["tokens"][a:b]]
                 good = _verified(tokens, x, y, p.threshold)
                 x, y = x[good], y[good]
+                if not len(x):
+                    continue
                 order = np.argsort(ids[a:b], kind="stable")
                 place = np.empty_like(order)
                 place[order] = np.arange(b - a)
@@ -296,30 +340,57 @@ def _compare(p: Params, verify: bool):
                 links.append((np.bincount(x, minlength=b - a) + np.bincount(y, minlength=b - a))[own])
                 roots.append(ids[a:b][order][_least(b - a, place[x], place[y])[place]][own])
             at = np.concatenate([*kept, np.zeros(0, np.int64)])
-            if not verify:
-                yield pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (ids, leaf, i, j, block)], ["set_id", "leaf", "i", "j", "block"])
-            else:
-                rest = [np.concatenate([*v, np.zeros(0, np.int64)]) for v in (links, roots)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *map(pa.array, rest)], ["set_id", "links", "root"])
+            rest = [np.concatenate([*v, np.zeros(0, np.int64)]) for v in (links, roots)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *map(pa.array, rest)], ["set_id", "links", "root"])
 
     return run
 
 
+def _dealt(rows: DataFrame, p: Params) -> DataFrame:
+    """rows (leaf, set_id, size, leaves, sketch) dealt to the cells (leaf, i, j) of two blocks, or one.
+
+    A leaf of up to `block` sets is one cell.  In a larger one, sets whose least leaf is the same and is not this one have met there: those
+    of a least leaf that many have are blocks apart, and no cell is made of two such blocks of one least leaf.  So a group of near copies, which
+    meets in every run, makes all its cells at one leaf only.
+    """
+    first = F.element_at("leaves", 1)
+    small = rows.where(F.col("size") <= p.block).select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "set_id", "leaves", "sketch")
+    large = rows.where(F.col("size") > p.block).withColumn("least", first)
+    alike = large.groupBy("leaf", "least").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(F.col("n") >= p.block)  # at most a `block`th of the rows
+    alike = alike.withColumn("parts", F.ceil(F.col("n") / p.block).cast("int"))
+    before = Window.partitionBy("leaf").orderBy("least")
+    alike = materialise(alike.withColumn("base", (F.sum("parts").over(before) - F.col("parts")).cast("int")), "alike")
+    of_leaf = alike.groupBy("leaf").agg(F.sum("parts").cast("int").alias("held"), F.sum("n").alias("n_held"))
+    large = large.join(alike.select("leaf", "least", "base", "parts"), ["leaf", "least"], "left").join(of_leaf, "leaf", "left")
+    held = F.coalesce("held", F.lit(0))
+    others = F.ceil((F.col("size") - F.coalesce("n_held", F.lit(0))) / p.block).cast("int")
+    drawn = F.xxhash64("set_id")
+    block = F.when(F.col("base").isNotNull(), F.col("base") + F.pmod(drawn, "parts")).otherwise(held + F.pmod(drawn, others)).cast("int")
+    met = F.col("base").isNotNull() & (F.col("least") != F.col("leaf"))
+    every = F.sequence(F.lit(0), held + others - 1)
+    partners = F.when(met, F.filter(every, lambda x: (x < F.col("base")) | (x >= F.col("base") + F.col("parts")))).otherwise(every)
+    large = large.select("leaf", block.alias("block"), F.explode(partners).alias("other"), "set_id", "leaves", "sketch")
+    large = large.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "leaves", "sketch")
+    return small.unionByName(large).repartition(*CELL).sortWithinPartitions(*CELL)
+
+
 def join(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """A row for each row of docs: doc_id, class_id, n_links, n_copies.
 
     class_id is the least doc_id that links and copies lead to, n_links the number of other n-gram sets of at least the threshold's
-    similarity, n_copies the rows of equal set.  Null texts and texts without a word are alone, with no links and one copy; rows without
-    doc_id likewise, with a null class; other columns are left out; an empty table gives no rows.
+    similarity, n_copies the rows of equal set.  Where classes that nothing links have one least doc_id (which then stands for several texts), one
+    keeps it and the others have negative numbers of their own.  Null texts and texts without a word are alone, with no links and one
+    copy, under their doc_id; rows without doc_id likewise, with a null class; other columns are left out; an empty table gives no rows.
     """
     p = params
-    sets = materialise(_sets(docs, p), "sets")
+    sets = materialise(_sets(docs, p).withColumn("row", F.monotonically_increasing_id()), "sets")
     full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    same = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    # a set is numbered by one of its rows
+    same = full.groupBy("k1", "k2").agg(F.min("row").alias("set_id"), F.min("doc_id").alias("doc"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     classes = materialise(same, "classes")
     rows = materialise(_shared(classes.select(F.explode("paths").alias("leaf"), "set_id")), "rows")
     active = rows.select("set_id").distinct()
-    tokens = materialise(full.select(F.col("doc_id").alias("set_id"), "k1", "k2", "tokens").join(active, "set_id").dropDuplicates(["set_id", "k1", "k2"]).drop("k1", "k2"), "tokens")
+    tokens = materialise(full.select(F.col("row").alias("set_id"), "tokens").join(active, "set_id"), "tokens")
     leaves = rows.where(F.col("size") <= p.bucket) if p.depth > 1 else rows
     for depth in range(2, p.depth + 1):
         rows = materialise(_shared(_split(rows.where(F.col("size") > p.bucket).select("leaf", "set_id"), tokens, p)), "rows")
@@ -328,24 +399,29 @@ def join(docs: DataFrame, params: Params = Params()) -> DataFrame:
             break
     own = leaves.groupBy("set_id").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))  # as many as runs and depth allow
     about = own.join(classes.select("set_id", "sketch"), "set_id")
-    blocks = F.ceil(F.col("size") / p.block)
-    dealt = leaves.withColumn("block", F.when(F.col("size") <= p.block, 0).otherwise(F.pmod(F.xxhash64("set_id"), blocks)).cast("int"))
-    dealt = dealt.select("leaf", "set_id", "block", F.when(F.col("size") <= p.block, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("others"))
-    dealt = dealt.select("leaf", "set_id", "block", F.explode("others").alias("other"))
-    dealt = dealt.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id")
-    fields = "set_id long, leaf long, i int, j int, block int"
-    met = dealt.join(about, "set_id").repartition(*CELL).sortWithinPartitions(*CELL)
-    live = materialise(met.mapInArrow(_compare(p, verify=False), fields), "live")
-    met = live.join(about, "set_id").join(tokens, "set_id").repartition(*CELL).sortWithinPartitions(*CELL)
-    found = materialise(met.mapInArrow(_compare(p, verify=True), "set_id long, links long, root long"), "found")
+    live = materialise(_dealt(leaves.join(about, "set_id"), p).mapInArrow(_compare(p), LIVE), "live")
+    met = live.join(tokens, "set_id").repartition(*CELL).sortWithinPartitions(*CELL, "place")
+    found = materialise(met.mapInArrow(_verify(p), "set_id long, links long, root long"), "found")
     links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
-    known = classes.select("k1", "k2", "set_id", "n_copies").join(links, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    tied = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set_id")
+    tied = tied.join(classes.select("set_id", "doc", "k1"), "set_id")
+    named = tied.groupBy("root").agg(F.min("doc").alias("class_id"), F.min("k1").alias("name"))
+    tied = tied.select("set_id", "root").join(named, "root")
+    known = classes.select("k1", "k2", "set_id", "doc", "n_copies").join(links, "set_id", "left").join(tied, "set_id", "left")
+    known = known.withColumns({"class_id": F.coalesce("class_id", "doc"), "name": F.coalesce("name", "k1"), "root": F.coalesce("root", "set_id")})
+    known = materialise(known, "known")
+    heads = known.where(F.col("root") == F.col("set_id"))
+    clashes = heads.groupBy("class_id").agg(F.count("*").alias("heads"), F.min("name").alias("first")).where("heads > 1")
+    if not clashes.isEmpty():
+        mine = F.col("first").isNull() | (F.col("first") == F.col("name"))
+        apart = -1 - F.col("name").bitwiseAND(F.lit((1 << 63) - 1))
+        known = known.join(clashes, "class_id", "left").withColumn("class_id", F.when(mine, F.col("class_id")).otherwise(apart))
     out = sets.select("doc_id", "k1", "k2", "n").withColumns({k: F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(k)) for k in ("k1", "k2")})
     # keys that are null meet nothing: such rows are alone
-    return out.join(known, ["k1", "k2"], "left").select(
+    return out.join(known.select("k1", "k2", "class_id", "n_links", "n_copies"), ["k1", "k2"], "left").select(
         "doc_id",
-        F.coalesce("root", "set_id", "doc_id").alias("class_id"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )

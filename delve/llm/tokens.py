@@ -1,8 +1,9 @@
 """Whole-text token ids by a public tokenizer file, at the price of its distinct words.
 
 The tokenizer library does the encoding.  It sees each distinct white-space-free chunk once for as long as a worker
-remembers it: in this tokenizer no match of the pre-tokenizer holds white space and its normalisers act on
-single characters and their combining marks, so the ids of a text are those of its chunks, end to end.
+remembers it: in this tokenizer no match of the pre-tokenizer holds white space, its normalisers act on single characters and their
+combining marks, and its special tokens are cut out of the raw text wherever they stand, so the ids of a text are those of its chunks, end to
+end.  A text in which a special token occurs, in either case, is not lower-cased ahead: in capitals it is no special token.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ class BatchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        special = sorted(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(special) or "(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.cache_words = cache_words
@@ -65,7 +67,7 @@ class BatchEncoder:
             core, tail = m[1], m[2]
         else:
             return None
-        if not core.isascii() and (core != core.lower() or not is_normalized("NFC", core)):
+        if core != core.lower() or not (core.isascii() or is_normalized("NFC", core)):
             return None
         ids = self._letters_only(core)
         if tail:
@@ -97,9 +99,7 @@ class BatchEncoder:
         words: list[str] = []
         per_text = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if text.isascii():
-                text = text.lower()
-            elif is_normalized("NFC", text) and not _MARKS.search(text):
+            if (text.isascii() or is_normalized("NFC", text) and not _MARKS.search(text)) and not ("<" in text and self.special.search(text)):
                 text = text.lower()
             own = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
             words += own

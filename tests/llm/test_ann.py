@@ -40,11 +40,31 @@ def test_recall_on_the_table(spark):
             assert s == pytest.approx(float(np.dot(np.array(by_id[q], np.float64), np.array(by_id[i], np.float64))), abs=1e-12)
 
 
+@pytest.mark.parametrize("params", [A.Params(least_sample=300, sample=300, list_rows=64), A.Params(least_sample=600, sample=600, list_rows=25, coarse=12)])
+def test_recall_on_a_table_of_many_times_the_sample(spark, params):
+    """One codebook; and a coarse one with residuals, which has 144 lists."""
+    rng = np.random.default_rng(9)
+    middles = rng.standard_normal((40, 24)) * 2
+    x = (middles[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 24))).astype(np.float32)
+    vectors = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got, want = rows_of(A.search(df, df.where("vec_id % 20 = 0"), params)), brute(vectors, [v for v in vectors if v[0] % 20 == 0])
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert recall(got, want) >= 0.9
+
+
+def test_doubles_and_lengths(spark):
+    rows = [(0, [1.0, 1e-12]), (1, [1.0, 2e-12]), (2, [1.0]), (3, [0.5, 0.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rows_of(A.search(df, df))
+    assert got[0] == [(1, 1.0 + 2e-24), (2, 1.0), (3, 0.5)] and [i for i, _ in got[2]] == [0, 1, 3] and got[3] == [(0, 0.5), (1, 0.5), (2, 0.5)]
+
+
 def test_copies_norms_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, (rng.standard_normal(8) * rng.uniform(0.1, 9)).tolist()) for i in range(300)]
     vectors += [(1000 + i, vectors[0][1]) for i in range(200)]  # a hot vector
-    odd = [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [1.0] * 7 + [None]), (2080, [1.0] * 7), (2100, [float("inf")] + [0.0] * 7)]
+    odd = [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [1.0] * 7 + [None]), (2080, []), (2100, [float("inf")] + [0.0] * 7)]
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors + odd], "vec_id long, embedding array<float>, score string")
     exact = A.Params(list_rows=40, recall=1.0, epsilon=9.0, cell_rows=64)
     got = rows_of(A.search(df, df.where("vec_id % 20 = 0"), exact))
@@ -60,7 +80,7 @@ def test_every_query_has_its_rows(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.standard_normal(16).tolist()) for i in range(400)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    got = rows_of(A.search(df, df.where("vec_id % 20 = 0"), A.Params(list_rows=8, recall=0.01, sample=100)))
+    got = rows_of(A.search(df, df.where("vec_id % 20 = 0"), A.Params(list_rows=8, recall=0.01, sample=100, least_sample=100)))
     assert len(got) == 20 and all(len(v) == 20 and len({i for i, _ in v}) == 20 for v in got.values())
     assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) for v in got.values())
 

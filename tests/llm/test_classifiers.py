@@ -1,9 +1,11 @@
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 from delve.llm import labelled, langid, quality, toxicity
+from delve.llm.labelled import word_features
 
 TABLE = "/root/testdata/sf0.1"
 DOCS = "doc_id long, text string, lang string, score string"
@@ -91,6 +93,60 @@ def test_swaps_take_the_blame_from_group_mentions(spark):
     assert after[1] < before[1] and after[1] - after[3] < 0.1 and after[2] > 0.5
 
 
+def test_counterfactuals_are_sentences():
+    p = toxicity.Params()
+    text = "No group here. Muslim women and Muslims met! Une femmes chrétien\nmuslimisch."
+    got = list(toxicity.counterfactuals(text, p))
+    assert [a.strip() for a, _ in got[::2]] == ["Muslim women and Muslims met", "Une femmes chrétien", "muslimisch"]
+    assert [b.strip() for _, b in got[:3]] == ["christian men and christians met", "jewish girls and jews met", "Une hommes juif"]
+    assert list(toxicity.counterfactuals("nothing named", p)) == [] and len(list(toxicity.counterfactuals("men. " * 99, p))) == 32
+
+
+def plain_score(model, text):
+    """The score of a text, word by word."""
+    found = set()
+    for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+        raw = np.frombuffer(word, np.uint8)
+        found |= set(word_features(raw, np.array([0, len(raw)]), model.bits)[1].tolist())
+    x = model.constant + sum(float(model.weights[k]) for k in found)
+    return 1 / (1 + np.exp(-x))
+
+
+def test_penalty_and_gradient_by_brute_force():
+    """The objective of a table with identity terms, text by text and sentence by sentence, and its gradient by differences."""
+    p = toxicity.Params(bits=12)
+    data = [(SENTENCES[i % 6].format(("muslim", "christian", "hindu", "tall")[i % 4]) + ". Other words " + str(i % 5), int(i % 6 > 2)) for i in range(24)]
+    pairs = [pair for t, _ in data for pair in toxicity.counterfactuals(t, p)]
+    rng = np.random.default_rng(1)
+    w, b = rng.standard_normal(1 << 12) * 0.3, 0.2
+    rows = lambda xs: toxicity.Rows(*(np.concatenate(v) for v in zip(*[(np.full(len(f), i), f) for i, f in enumerate(toxicity.features_of(x, 12) for x in xs)])), len(xs))
+    labels, each = np.array([y for _, y in data]), rng.uniform(0.5, 1, len(data))
+    args = (rows([t for t, _ in data]), labels, each, rows([a for a, _ in pairs]), rows([b for _, b in pairs]), 3.0, 0.01)
+    value, grad, grad_b = toxicity.objective(w, b, *args)
+    model = toxicity.Model(w, b, 12)
+    want = sum(-e * np.log(s if y else 1 - s) for (t, y), e in zip(data, each) for s in [plain_score(model, t)]) + 0.005 * float(w @ w)
+    want += 3.0 * np.mean([(plain_score(model, y) - plain_score(model, x)) ** 2 for x, y in pairs])
+    assert len(pairs) == 36 and value == pytest.approx(want)
+    for k in [*toxicity.features_of("muslim hindu christian idiot", 12)[:12], None]:
+        e = np.zeros(1 << 12)
+        if k is not None:
+            e[k] = 1e-6
+        step = 1e-6 if k is None else 0
+        slope = (toxicity.objective(w + e, b + step, *args)[0] - toxicity.objective(w - e, b - step, *args)[0]) / 2e-6
+        assert slope == pytest.approx(grad_b if k is None else grad[k], abs=1e-6)
+
+
+def test_toxicity_scores_equal_a_plain_scorer(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = toxicity.op8_toxicity(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-9) and r.predicted == (r.score >= 0.5)
+
+
 @pytest.mark.parametrize("marks", [[], [(1, 1)], [(900, 1), (905, 0), (905, 1), (None, 1), (3, None), (7777, 0)]])
 def test_odd_rows_and_few_labels(spark, marks):
     docs = spark.createDataFrame(ODD, DOCS)

@@ -132,6 +132,27 @@ def test_odd_rows(spark):
     assert got == sorted([(None, None, 0, 1)] * 2 + [(7, 7, 0, 2)] * 2 + [(8, 8, 0, 1)], key=str)
 
 
+def test_texts_under_one_doc_id_are_sets_of_their_own(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(7, a), (7, b), (9, a), (11, b + " end"), (12, "other words of no one else at all")]
+    got = {(r.doc_id, r.n_copies, r.n_links): r.class_id for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of_a, of_b = got[9, 2, 0], got[11, 1, 1]
+    assert of_a != of_b and 7 in (of_a, of_b) and min(of_a, of_b) < 0
+    assert got == {(7, 2, 0): of_a, (9, 2, 0): of_a, (7, 1, 1): of_b, (11, 1, 1): of_b, (12, 1, 0): 12}
+
+
+def test_a_pair_belongs_to_the_least_leaf_it_shares():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        m = rng.integers(2, 30)
+        leaves = [sorted(set(rng.integers(0, 12, rng.integers(0, 4)).tolist()) | {6}) for _ in range(m)]
+        block = rng.integers(0, 2, m)
+        for cross in (False, True):
+            want = np.array([[x < y and not (set(leaves[x]) & set(leaves[y]) & set(range(6))) and not (cross and block[x] == block[y]) for y in range(m)] for x in range(m)])
+            got = J._owned(6, J.pa.array(leaves, J.pa.list_(J.pa.int64())), block, cross)
+            assert (np.zeros((m, m), bool) if got is None else got).tolist() == want.tolist()
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}

@@ -3,6 +3,7 @@ import pytest
 
 import corpus_pipeline
 from delve.llm import jaccard_join, secrets, toxicity
+from delve.llm.tokens import default_file
 from tests.llm.test_decontaminate import brute as contamination
 from tests.llm.test_jaccard_join import brute as classes
 from tests.llm.test_tokens import check_packing, ids
@@ -41,8 +42,7 @@ def test_each_stage_and_the_run(spark):
 
     texts = {}
     for i, r in kept.items():
-        base = secrets.base_spans(r.text)
-        texts[i] = secrets.mask(r.text, sorted(base + secrets.guess_spans(r.text, base)))
+        texts[i] = secrets.mask(r.text, secrets.all_spans(r.text, default_file()))
     df = stages["secrets"](spark, df, D)
     assert df.columns == docs.columns and {r.doc_id: r.text for r in df.collect()} == texts
 
