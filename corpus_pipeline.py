@@ -52,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = jaccard_join.join(nodes.select(F.col(node).alias("doc_id"), "text")).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(node)).distinct()
     kept = nodes.join(classes, node, "left_anti").select(*docs.columns)
     # what is left of one doc_id and one text are copies of each other
-    order = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
+    order = Window.partitionBy("doc_id", "text").orderBy(*(x for x in ("source", "lang", "n_chars") if x in docs.columns), F.lit(0))
     numbered = kept.where("doc_id is not null").withColumn(copy, F.row_number().over(order)).where(f"{copy} = 1").drop(copy)
     return numbered.unionByName(kept.where("doc_id is null"))
 
@@ -63,7 +63,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.masked(docs).withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")).select(*docs.columns)
+    found = secrets.masked(docs, default_file())
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return found.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
