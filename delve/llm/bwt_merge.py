@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 _SYMBOLS = 7  # of 9 bits in a sort key: a byte plus 1, or 0 past the end of the string
+_MORE = 4  # beside the number of a block of tied suffixes
 
 _KEEP = np.array([((1 << 9 * k) - 1) << 9 * (_SYMBOLS - k) for k in range(_SYMBOLS + 1)], np.uint64)
 
@@ -48,20 +49,24 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, shard: np.ndarray | None =
     sorted_key, sorted_own = key[order], own[order]
     new = np.r_[True, (sorted_key[1:] != sorted_key[:-1]) | (sorted_own[1:] != sorted_own[:-1])]
     open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # rows that are tied with another
-    block, done = np.cumsum(new)[open_], _SYMBOLS
+    block, done = (np.cumsum(new)[open_]).astype(np.uint64), _SYMBOLS
     while len(open_):
-        more = left[order[open_]] >= done
-        ends_here, tied = open_[~more], block[~more]  # equal suffixes: their strings' order
-        order[ends_here] = order[ends_here][np.lexsort((order[ends_here], tied))]
-        open_, block = open_[more], block[more]
         rest = order[open_]
-        ahead = np.where(left[rest] > done, key[np.minimum(rest + done, n - 1)], 0)
-        again = np.lexsort((ahead, block))
+        more = left[rest] >= done
+        if not more.all():  # equal suffixes: their strings' order
+            ends_here, tied = open_[~more], block[~more]
+            again = np.argsort(tied << np.uint64(32) | rest[~more].astype(np.uint64))
+            order[ends_here] = rest[~more][again]
+            open_, block, rest = open_[more], block[more], rest[more]
+        # the block and the next symbols are one number
+        ahead = np.where(left[rest] > done, key[np.minimum(rest + done, n - 1)], 0) >> np.uint64(9 * (_SYMBOLS - _MORE))
+        ahead |= block << np.uint64(9 * _MORE)
+        again = np.argsort(ahead)
         order[open_], ahead = rest[again], ahead[again]
-        new = np.r_[True, (block[1:] != block[:-1]) | (ahead[1:] != ahead[:-1])] if len(open_) else np.zeros(0, bool)
+        new = np.r_[True, ahead[1:] != ahead[:-1]] if len(open_) else np.zeros(0, bool)
         both = ~(new & np.r_[new[1:], True]) if len(open_) else new
-        open_, block = open_[both], np.cumsum(new)[both]
-        done += _SYMBOLS
+        open_, block = open_[both], np.cumsum(new).astype(np.uint64)[both]
+        done += _MORE
     return order
 
 

@@ -173,9 +173,13 @@ class Batch:
         size = np.where(differ, np.log2(np.diff(np.r_[first, len(v)])), 0).astype(np.uint32)
         return v[first], (h[first] >> np.uint64(40)).astype(np.uint32) << np.uint32(8) | several.astype(np.uint32) << np.uint32(7) | differ.astype(np.uint32) << np.uint32(6) | size
 
-    def keep(self, marks: np.ndarray) -> None:
-        """Go on with the runs of the anchors that marks (shared, alike and hot of each of values()) has as shared; hot ones are split."""
-        values = np.unique(self.anchor)
+    def distinct(self) -> np.ndarray:
+        """The distinct anchors in order."""
+        values = np.sort(self.anchor)
+        return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+    def keep(self, values: np.ndarray, marks: np.ndarray) -> None:
+        """Go on with the runs of the anchors (values: distinct()) that marks (shared, alike, hot of each) has as shared; hot ones are split."""
         shared, alike, hot = marks
         at = np.searchsorted(values, self.anchor)
         chosen = shared[at] if len(values) else np.zeros(0, bool)
@@ -299,8 +303,8 @@ def _marks(row: dict, kind: int, counts: Iterator[tuple[int, int]], planes: int
 
 def _candidates(row: dict, bits: int, length: int) -> Batch:
     own = Batch(row, length)
-    values = np.unique(own.anchor)
-    own.keep(_marks(row, 0, ((k, b - a) for k, a, b in _bounds(values, bits)), 3))
+    values = own.distinct()
+    own.keep(values, _marks(row, 0, ((k, b - a) for k, a, b in _bounds(values, bits)), 3))
     return own
 
 
@@ -447,17 +451,17 @@ def _finish(bits: int, length: int, with_kept: bool):
             for row in _rows(batch):
                 own = _candidates(row, bits, length)
                 cover = removed(own, row, bits)
-                total = np.concatenate([[0], np.cumsum(cover)])
+                total = np.concatenate([[0], np.cumsum(cover, dtype=np.int32)])
                 begins = cover & ~np.r_[False, cover[:-1]]
                 begins[own.offsets[:-1][own.lengths > 0]] = cover[own.offsets[:-1][own.lengths > 0]]
-                spans = np.concatenate([[0], np.cumsum(begins)])
+                spans = np.concatenate([[0], np.cumsum(begins, dtype=np.int32)])
                 a, b = own.offsets[:-1], own.offsets[1:]
                 kept = [own.data[i:j] if total[i] == total[j] else own.data[i:j][~cover[i:j]] for i, j in zip(a, b, strict=True)]
                 columns = {
                     "doc_id": pa.array(own.ids, mask=own.ids == NO_ID),
                     "n_bytes": pa.array(own.lengths),
-                    "n_removed": pa.array(total[b] - total[a]),
-                    "n_spans": pa.array(spans[b] - spans[a]),
+                    "n_removed": pa.array((total[b] - total[a]).astype(np.int64)),
+                    "n_spans": pa.array((spans[b] - spans[a]).astype(np.int64)),
                     "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
                 }
                 if with_kept:
@@ -478,8 +482,11 @@ def removed(own: Batch, row: dict, bits: int) -> np.ndarray:
     later = np.repeat(own.ids[own.doc] > owner[which] if len(n) else np.zeros(0, bool), n)
     gone = later | found[string + np.repeat(ends[:-1][which], n)]
     starts = (string + np.repeat(own.start, n))[gone]
-    edge = np.bincount(starts, minlength=len(own.data) + 1) - np.bincount(starts + own.length, minlength=len(own.data) + 1)
-    return np.cumsum(edge[:-1]) > 0
+    edge = np.zeros(len(own.data) + 1, np.int8)
+    if len(starts):  # each place is the start of one string at most
+        edge[starts] = 1
+        edge[starts + own.length] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def dedup(

@@ -69,8 +69,8 @@ def test_runs_of_one_hash_that_differ(monkeypatch):
     sent = []
     for i, t in enumerate(texts):
         own = D.Batch({"ids": np.array([i]).tobytes(), "lengths": np.array([len(t)]).tobytes(), "data": t}, 50)
-        n = len(np.unique(own.anchor))
-        own.keep(np.array([[True] * n, [True] * n, [False] * n]))
+        values = own.distinct()
+        own.keep(values, np.repeat([[True], [True], [False]], len(values), axis=1))
         sent += [(0, i, D.zstandard.ZstdCompressor().compress(x)) for _, x in D._payloads(own, 0 + 1, 1000)]
     table_ = D.pa.Table.from_batches([D._table(sent, *D._SENT_OF)])
     got = D._merge(50)(table_)
