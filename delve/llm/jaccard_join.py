@@ -346,32 +346,37 @@ def _verify(p: Params):
     return run
 
 
-def _dealt(rows: DataFrame, p: Params) -> DataFrame:
-    """rows (leaf, set_id, size, leaves, sketch) dealt to the cells (leaf, i, j) of two blocks, or one.
+def _dealt(leaves: DataFrame, about: DataFrame, p: Params) -> DataFrame:
+    """leaves (leaf, set_id, size) with about (set_id, leaves, sketch), dealt to the cells (leaf, i, j) of two blocks, or one.
 
     A leaf of up to `block` sets is one cell.  In a larger one, sets whose least leaf is the same and is not this one have met there: those
     of a least leaf that many have are blocks apart, and no cell is made of two such blocks of one least leaf.  So a group of near copies, which
-    meets in every run, makes all its cells at one leaf only.
+    meets in every run, makes all its cells at one leaf only.  A row carries the lesser ones of its set's leaves.
     """
-    first = F.element_at("leaves", 1)
-    small = rows.where(F.col("size") <= p.block).select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "set_id", "leaves", "sketch")
-    large = rows.where(F.col("size") > p.block).withColumn("least", first)
-    alike = large.groupBy("leaf", "least").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(F.col("n") >= p.block)  # at most a `block`th of the rows
-    alike = alike.withColumn("parts", F.ceil(F.col("n") / p.block).cast("int"))
-    before = Window.partitionBy("leaf").orderBy("least")
-    alike = materialise(alike.withColumn("base", (F.sum("parts").over(before) - F.col("parts")).cast("int")), "alike")
-    of_leaf = alike.groupBy("leaf").agg(F.sum("parts").cast("int").alias("held"), F.sum("n").alias("n_held"))
-    large = large.join(alike.select("leaf", "least", "base", "parts"), ["leaf", "least"], "left").join(of_leaf, "leaf", "left")
-    held = F.coalesce("held", F.lit(0))
-    others = F.ceil((F.col("size") - F.coalesce("n_held", F.lit(0))) / p.block).cast("int")
-    drawn = F.xxhash64("set_id")
-    block = F.when(F.col("base").isNotNull(), F.col("base") + F.pmod(drawn, "parts")).otherwise(held + F.pmod(drawn, others)).cast("int")
-    met = F.col("base").isNotNull() & (F.col("least") != F.col("leaf"))
-    every = F.sequence(F.lit(0), held + others - 1)
-    partners = F.when(met, F.filter(every, lambda x: (x < F.col("base")) | (x >= F.col("base") + F.col("parts")))).otherwise(every)
-    large = large.select("leaf", block.alias("block"), F.explode(partners).alias("other"), "set_id", "leaves", "sketch")
-    large = large.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "leaves", "sketch")
-    return small.unionByName(large).repartition(*CELL).sortWithinPartitions(*CELL)
+    lesser = F.filter("leaves", lambda x: x < F.col("leaf")).alias("leaves")
+    small = leaves.where(F.col("size") <= p.block).select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "set_id")
+    large = leaves.where(F.col("size") > p.block)
+    if large.isEmpty():
+        dealt = small
+    else:
+        large = large.join(leaves.groupBy("set_id").agg(F.min("leaf").alias("least")), "set_id")
+        alike = large.groupBy("leaf", "least").agg(F.count("*").alias("n")).where(F.col("n") >= p.block)  # at most a `block`th of the rows
+        alike = alike.withColumn("parts", F.ceil(F.col("n") / p.block).cast("int"))
+        before = Window.partitionBy("leaf").orderBy("least")
+        alike = materialise(alike.withColumn("base", (F.sum("parts").over(before) - F.col("parts")).cast("int")), "alike")
+        of_leaf = alike.groupBy("leaf").agg(F.sum("parts").cast("int").alias("held"), F.sum("n").alias("n_held"))
+        large = large.join(alike.select("leaf", "least", "base", "parts"), ["leaf", "least"], "left").join(of_leaf, "leaf", "left")
+        held = F.coalesce("held", F.lit(0))
+        others = F.ceil((F.col("size") - F.coalesce("n_held", F.lit(0))) / p.block).cast("int")
+        drawn = F.xxhash64("set_id")
+        block = F.when(F.col("base").isNotNull(), F.col("base") + F.pmod(drawn, "parts")).otherwise(held + F.pmod(drawn, others)).cast("int")
+        met = F.col("base").isNotNull() & (F.col("least") != F.col("leaf"))
+        every = F.sequence(F.lit(0), held + others - 1)
+        partners = F.when(met, F.filter(every, lambda x: (x < F.col("base")) | (x >= F.col("base") + F.col("parts")))).otherwise(every)
+        large = large.select("leaf", block.alias("block"), F.explode(partners).alias("other"), "set_id")
+        dealt = small.unionByName(large.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id"))
+    rows = dealt.join(about, "set_id").select(*CELL, "block", "set_id", lesser, "sketch")
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
 
 
 def join(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -399,7 +404,7 @@ def join(docs: DataFrame, params: Params = Params()) -> DataFrame:
             break
     own = leaves.groupBy("set_id").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))  # as many as runs and depth allow
     about = own.join(classes.select("set_id", "sketch"), "set_id")
-    live = materialise(_dealt(leaves.join(about, "set_id"), p).mapInArrow(_compare(p), LIVE), "live")
+    live = materialise(_dealt(leaves, about, p).mapInArrow(_compare(p), LIVE), "live")
     met = live.join(tokens, "set_id").repartition(*CELL).sortWithinPartitions(*CELL, "place")
     found = materialise(met.mapInArrow(_verify(p), "set_id long, links long, root long"), "found")
     links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
