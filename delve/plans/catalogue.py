@@ -9,26 +9,9 @@ from pyspark.sql import functions as F
 
 from delve.functions import text as T
 from delve.operators import graph, history, journal, mapping, metrics, search, selection, verify
+from delve.plans.registry import QUERIES, SQL, query, read
 from delve.streaming import ledger, windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # text ---------------------------------------------------------------------------------------------------------------------------------
 
 _TERMS = r"list_transform(regexp_extract_all(regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[A-Za-z0-9]+'), lambda x: lower(x))"
@@ -596,6 +579,9 @@ def tumbling_stream(spark, d):
     return windows.run_available(spark, _stream(spark, d), windows.tumbling)
 
 
+from delve.plans import code_queries, record_queries  # noqa: E402, F401  (they add theirs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
