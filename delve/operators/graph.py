@@ -71,7 +71,10 @@ def levels(edges: DataFrame, most: int = 64, src: str = "src", dst: str = "dst")
 def _order(nodes: Iterable[str], pairs: set[tuple[str, str]]) -> list[str]:
     """Dependencies first, level by level; when a cycle blocks all, the least node that can reach itself goes next."""
     key = lambda x: x.split("/")
-    needs = {n: {b for a, b in pairs if a == n and b != n} for n in nodes}
+    needs: dict[str, set[str]] = {n: set() for n in nodes}
+    for a, b in pairs:
+        if a in needs and a != b:
+            needs[a].add(b)
     out: list[str] = []
 
     def on_cycle(n: str) -> bool:
@@ -118,8 +121,9 @@ def structural_boost(ranking: DataFrame, edges: DataFrame, seeds: int = 5, near:
     """ranking (path, score) with scores raised near its first seeds.
 
     A neighbour of one of the first `seeds` gets near times the best score; every path hub times the best score times a tenth of its fan-in,
-    which counts to 10.
+    which counts to 10.  The ranking is computed once.
     """
+    ranking = cut(ranking.select("path", "score"))
     best = ranking.agg(F.max("score").alias("best"))
     first = ranking.where(F.col("score") > 0).orderBy(F.desc("score"), "path").limit(seeds).select(F.col("path").alias("start"))
     both = edges.where("kind = 'runtime'").select("src", "dst")
@@ -131,7 +135,9 @@ def structural_boost(ranking: DataFrame, edges: DataFrame, seeds: int = 5, near:
 
 
 def history_boost(ranking: DataFrame, partners: DataFrame, seeds: int = 3) -> DataFrame:
-    """ranking (path, score), raised by the best score times the greatest support among partners (path, partner, support) of its first seeds."""
+    """ranking (path, score), raised by the best score times the greatest support among partners (path, partner, support) of its first seeds.
+    The ranking is computed once."""
+    ranking = cut(ranking.select("path", "score"))
     best = ranking.agg(F.max("score").alias("best"))
     first = ranking.where(F.col("score") > 0).orderBy(F.desc("score"), "path").limit(seeds).select(F.col("path").alias("seed"))
     gain = partners.join(F.broadcast(first), partners["path"] == F.col("seed")).groupBy(F.col("partner").alias("path")).agg(F.max("support").alias("support"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from delve.sources.stage import cut, numbered
+
 METRICS = ("precision", "recall", "f1", "recall_at_5", "recall_at_10", "mrr")
 
 
@@ -66,21 +68,17 @@ def bootstrap_draws(clusters: DataFrame, samples: int, seed: int, cluster: str =
     """sample, cluster, times: as many draws a sample as there are clusters, with replacement.
 
     A draw is the first 8 hex digits of md5(seed:sample:draw), mod the number of clusters in their order: the same in any engine.  The
-    table has samples x clusters rows; clusters are groups such as repositories, and their number is checked.
+    table has samples x clusters rows; clusters are numbered range by range, and no name comes to the driver.
     """
-    names = clusters.select(cluster).distinct().orderBy(cluster).collect()
-    if len(names) > 100_000:
-        raise ValueError("too many clusters for a bootstrap; group them first")
-    n = len(names)
-    spark = clusters.sparkSession
+    names = cut(numbered(clusters.select(cluster).distinct(), "pick", cluster))
+    spark, n = clusters.sparkSession, names.count()
     if not n:
-        return spark.createDataFrame([], f"sample long, {cluster} string, times long")
-    numbered = spark.createDataFrame([(i, r[0]) for i, r in enumerate(names)], f"pick long, {cluster} {dict(clusters.dtypes)[cluster]}")
+        return spark.createDataFrame([], f"sample long, {cluster} {dict(clusters.dtypes)[cluster]}, times long")
     draws = spark.range(samples * n).select(F.expr(f"id div {n}").alias("sample"), (F.col("id") % n).alias("draw"))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), F.col("draw").cast("string"))
     pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
     picked = draws.select("sample", pick.alias("pick")).groupBy("sample", "pick").agg(F.count("*").alias("times"))
-    return picked.join(F.broadcast(numbered), "pick").select("sample", cluster, "times")
+    return picked.join(names, "pick").select("sample", cluster, "times")
 
 
 def cluster_bootstrap(rows: DataFrame, value: str, samples: int = 1000, seed: int = 1729, cluster: str = "cluster", by: list[str] | None = None) -> DataFrame:

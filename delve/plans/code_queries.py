@@ -81,7 +81,7 @@ def code_references(spark, d):
 )
 def code_facts(spark, d):
     rows = extract.extract_files(_code(spark, d))
-    return extract.facts(rows, "route").unionByName(extract.facts(rows, "setting")).select("path", "kind", "name", "detail")
+    return extract.facts(rows, "route", "/PARTS/").unionByName(extract.facts(rows, "setting")).select("path", "kind", "name", "detail")
 
 
 @query(f"with {_FILES} select path, p <> 0 and p < 100 as cosmetic from f where p < 100 union all select path, false from f where p >= 100")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from delve.sources.stage import stage_dir
+
 
 def event_time(events: DataFrame, ts: str = "ts") -> DataFrame:
     """events with ts as a timestamp of the session's zone; watermarks do not take timestamps without one."""
@@ -29,7 +31,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def run_available(spark: SparkSession, source: DataFrame, plan: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """Run plan over all that the stream source has now, and return its result table; for results that fit a report."""
-    name = f"delve_{uuid.uuid4().hex}"
-    plan(source).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """Run plan over all that the stream source has now, and return its result, a table in the shared folder: written anew by each batch in
+    complete mode, batch by batch in append mode (a batch that is run again replaces its part)."""
+    folder, result = stage_dir(spark), plan(source)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result" + ("" if mode == "complete" else f"/batch={number}"))
+
+    writer = result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    try:
+        return spark.read.schema(result.schema).parquet(f"{folder}/result")
+    except AnalysisException:  # no batch came
+        return spark.createDataFrame([], result.schema)
