@@ -54,6 +54,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[-1]
 
 
+def bucketed(df: DataFrame, parts: int, column: str) -> tuple[DataFrame, str, str]:
+    """Write df as a table of so many buckets by column in the shared folder, so that joins on it leave its rows where they are: (table, name, path)
+    for drop_bucketed()."""
+    spark = df.sparkSession
+    name, path = f"delve_{uuid.uuid4().hex}", f"{shared_dir(spark)}/buckets"
+    df.write.bucketBy(parts, column).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name), name, path
+
+
+def drop_bucketed(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"DROP TABLE {name}")
+    delete_folder(spark, path)
+
+
 def materialise(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors cost no rework."""
     spark = df.sparkSession

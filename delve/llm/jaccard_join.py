@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from delve.llm.common import materialise, mix, spans_of_rows, table, utf8
+from delve.llm.common import bucketed, drop_bucketed, materialise, mix, spans_of_rows, table, utf8
 from delve.llm.components import components
 from delve.llm.wordhash import LOWER, window_hashes, word_bounds, word_hashes
 
 SKETCH = 64
+#: Bytes of the tokens of a bucket.
+PART_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,7 @@ def _split(rows: DataFrame, tokens: DataFrame, p: Params) -> DataFrame:
             own, path = children(np.concatenate([*sets, np.zeros(0, np.uint32)]), node, np.array([len(x) for x in sets], np.int64), p.threshold)
             yield pa.RecordBatch.from_arrays([pa.array(path), batch.column("set_id").take(pa.array(own))], ["leaf", "set_id"])
 
-    joined = rows.join(tokens, "set_id").select("leaf", "set_id", "tokens")
+    joined = tokens.join(rows.hint("shuffle_hash"), "set_id").select("leaf", "set_id", "tokens")
     return joined.mapInArrow(run, "leaf long, set_id long").distinct()
 
 
@@ -395,7 +397,11 @@ def join(docs: DataFrame, params: Params = Params()) -> DataFrame:
     classes = materialise(same, "classes")
     rows = materialise(_shared(classes.select(F.explode("paths").alias("leaf"), "set_id")), "rows")
     active = rows.select("set_id").distinct()
-    tokens = materialise(full.select(F.col("row").alias("set_id"), "tokens").join(active, "set_id"), "tokens")
+    # the tokens of sets that meet others are dealt once; the joins to come leave them where they are
+    size = 4 * (sets.agg(F.sum("n")).first()[0] or 0)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    dealt = full.select(F.col("row").alias("set_id"), "tokens").repartition(parts, "set_id")
+    tokens, *written = bucketed(dealt.join(active.repartition(parts, "set_id"), "set_id"), parts, "set_id")
     leaves = rows.where(F.col("size") <= p.bucket) if p.depth > 1 else rows
     for depth in range(2, p.depth + 1):
         rows = materialise(_shared(_split(rows.where(F.col("size") > p.bucket).select("leaf", "set_id"), tokens, p)), "rows")
@@ -405,8 +411,9 @@ def join(docs: DataFrame, params: Params = Params()) -> DataFrame:
     own = leaves.groupBy("set_id").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))  # as many as runs and depth allow
     about = own.join(classes.select("set_id", "sketch"), "set_id")
     live = materialise(_dealt(leaves, about, p).mapInArrow(_compare(p), LIVE), "live")
-    met = live.join(tokens, "set_id").repartition(*CELL).sortWithinPartitions(*CELL, "place")
+    met = tokens.join(live.hint("shuffle_hash"), "set_id").repartition(*CELL).sortWithinPartitions(*CELL, "place")
     found = materialise(met.mapInArrow(_verify(p), "set_id long, links long, root long"), "found")
+    drop_bucketed(docs.sparkSession, *written)
     links = found.groupBy("set_id").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     tied = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set_id")

@@ -18,7 +18,6 @@ of its strings becomes a run of its own, dealt by a hash of all its bytes.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delve.llm.bwt_merge import load, repeats, transform
-from delve.llm.common import delete_folder, materialise, mix, shared_dir, spans_of_rows, table, utf8
+from delve.llm.common import bucketed, drop_bucketed, materialise, mix, spans_of_rows, table, utf8
 
 LENGTH = 50
 #: Bytes of a gram; a string of 50 bytes has 35 of them.
@@ -508,10 +507,7 @@ def dedup(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    name, path = f"delve_batches_{uuid.uuid4().hex}", f"{shared_dir(spark)}/batches"
-    batches = rows.mapInArrow(lambda x: _batches(x, batch_bytes), _BATCH)
-    batches.write.bucketBy(parts, "batch").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
-    batches = spark.table(name)
+    batches, name, path = bucketed(rows.mapInArrow(lambda x: _batches(x, batch_bytes), _BATCH), parts, "batch")
     bits = max(5, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
     anchors_sent = batches.mapInArrow(_send_anchors(bits, length), _SENT)
     marks = materialise(anchors_sent.groupBy("bucket").applyInArrow(_count_anchors(hot_runs), _MARK), "anchors")
@@ -524,8 +520,7 @@ def dedup(
     found = materialise(sent.groupBy("bucket").applyInArrow(_merge(length), _MARK), "strings")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
     out = materialise(marked(marks.unionByName(found)).mapInArrow(_finish(bits, length, with_kept), fields), "kept")
-    spark.sql(f"DROP TABLE {name}")
-    delete_folder(spark, path)
+    drop_bucketed(spark, name, path)
     return out
 
 

@@ -8,6 +8,7 @@ against a text.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,8 +54,8 @@ class Params:
     l2: float = 1e-3
     least_weight: float = 0.01  # a smaller one is none
     swap: float = 1.0  # weight of the mean squared change of score
-    swaps: int = 2  # counterfactuals of a sentence
-    sentences: int = 16  # of a labelled text that counterfactuals are made of, the first that name a group
+    swaps: int = 3  # counterfactuals of a sentence; which others its terms are swapped for depends on a hash of it
+    sentences: int = 8  # of a labelled text that counterfactuals are made of, the first that name a group
     identity: tuple = tuple(tuple(x.split()) for lists in IDENTITY.values() for x in lists)
 
 
@@ -80,11 +81,12 @@ def counterfactuals(text: str, params: Params) -> Iterator[tuple[str, str]]:
         if not any(w in place for w in _WORD.findall(sentence.lower())):
             continue
         found += 1
-        for k in range(1, params.swaps + 1):
+        begin = zlib.crc32(sentence.encode())
+        for k in range(begin, begin + params.swaps):
 
             def other(word: re.Match, k: int = k) -> str:
                 group, i = place.get(word[0].lower(), ((word[0],), 0))
-                return group[(i + k) % len(group)]
+                return group[(i + 1 + k % max(len(group) - 1, 1)) % len(group)]
 
             swapped = _WORD.sub(other, sentence)
             if swapped.lower() != sentence.lower():
@@ -113,16 +115,16 @@ class Rows:
 
 
 def objective(w: np.ndarray, b: float, own: Rows, labels: np.ndarray, each: np.ndarray, before: Rows, after: Rows, swap: float, l2: float) -> tuple[float, np.ndarray, float]:
-    """(value, gradient by w, gradient by b) of: weighted log loss of the texts, l2 / 2 times the squared weights, and swap times the mean
-    squared change of score between the sentences before and after their terms are swapped."""
+    """(value, gradient by w, gradient by b) of: weighted log loss of the texts, l2 / 2 times the squared weights, and 16 swap times the mean
+    squared change of score between the sentences before and after their terms are swapped (about a score of 0.5 that is the logit's change)."""
     score = sigmoid(own.logits(w, b))
     value = -(each * np.log(np.where(labels == 1, score, 1 - score) + 1e-300)).sum() + l2 / 2 * (w @ w)
     error = (score - labels) * each
     grad, grad_b = own.gradient(error, len(w)) + l2 * w, error.sum()
     if before.n:
         s, t = sigmoid(before.logits(w, b)), sigmoid(after.logits(w, b))
-        value += swap * ((t - s) ** 2).mean()
-        pull = 2 * swap / before.n * (t - s)
+        value += 16 * swap * ((t - s) ** 2).mean()
+        pull = 32 * swap / before.n * (t - s)
         up, down = pull * t * (1 - t), pull * s * (1 - s)
         grad += after.gradient(up, len(w)) - before.gradient(down, len(w))
         grad_b += (up - down).sum()

@@ -97,9 +97,12 @@ def test_counterfactuals_are_sentences():
     p = toxicity.Params()
     text = "No group here. Muslim women and Muslims met! Une femmes chrétien\nmuslimisch."
     got = list(toxicity.counterfactuals(text, p))
-    assert [a.strip() for a, _ in got[::2]] == ["Muslim women and Muslims met", "Une femmes chrétien", "muslimisch"]
-    assert [b.strip() for _, b in got[:3]] == ["christian men and christians met", "jewish girls and jews met", "Une hommes juif"]
-    assert list(toxicity.counterfactuals("nothing named", p)) == [] and len(list(toxicity.counterfactuals("men. " * 99, p))) == 32
+    assert [a.strip() for a, _ in got[::3]] == ["Muslim women and Muslims met", "Une femmes chrétien", "muslimisch"] and len(set(got)) == 9
+    group = {w: g for g in p.identity for w in g}
+    for a, b in got:
+        for x, y in zip(a.lower().split(), b.lower().split(), strict=True):
+            assert x == y if x not in group else x != y and y in group[x]
+    assert list(toxicity.counterfactuals("nothing named", p)) == [] and len(list(toxicity.counterfactuals("men. " * 99, p))) == 24
 
 
 def plain_score(model, text):
@@ -125,8 +128,8 @@ def test_penalty_and_gradient_by_brute_force():
     value, grad, grad_b = toxicity.objective(w, b, *args)
     model = toxicity.Model(w, b, 12)
     want = sum(-e * np.log(s if y else 1 - s) for (t, y), e in zip(data, each) for s in [plain_score(model, t)]) + 0.005 * float(w @ w)
-    want += 3.0 * np.mean([(plain_score(model, y) - plain_score(model, x)) ** 2 for x, y in pairs])
-    assert len(pairs) == 36 and value == pytest.approx(want)
+    want += 16 * 3.0 * np.mean([(plain_score(model, y) - plain_score(model, x)) ** 2 for x, y in pairs])
+    assert len(pairs) == 54 and value == pytest.approx(want)
     for k in [*toxicity.features_of("muslim hindu christian idiot", 12)[:12], None]:
         e = np.zeros(1 << 12)
         if k is not None:

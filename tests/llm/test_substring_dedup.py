@@ -52,7 +52,7 @@ def test_equals_brute_force(spark, batch, bucket, shard, hot):
     data = rows()
     df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, n_bytes string").repartition(3)
     assert sorted(map(tuple, D.dedup(df, batch_bytes=batch, bucket_bytes=bucket, shard_bytes=shard, hot_runs=hot).collect())) == brute(data)
-    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("delve_batches")]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("delve_")]
 
 
 def test_pieces_of_a_long_document(spark, monkeypatch):
