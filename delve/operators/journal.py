@@ -65,39 +65,66 @@ def first_calls(calls: DataFrame, by: str, key: str, seq: str, limit: str | None
     return calls.withColumn("served_by", F.coalesce(whole, F.when(enough, most)))
 
 
+# Stops that say nothing about the task's result.
+CENSORED = (
+    "token_limit", "request_limit", "time_boundary", "context_or_output_limit", "context_budget", "provider_rate_limit", "response_schema_invalid", "local_request_rate_limit",
+    "local_reserved_token_rate_limit",
+)
+
+
 def accounting(events: DataFrame) -> DataFrame:
-    """One row for each task of events (task, attempt, sequence, kind, tokens): attempts, reserved, observed, charged, conflicts, unknown, status.
+    """One row for each task of events (task, attempt, sequence, kind, tokens, and if there: reason, consistent): attempts, reserved, observed,
+    charged, conflicts, unknown, status, reason.
 
-    An attempt is charged the most that was observed, or its reservation if usage is unknown; differing observations conflict.  A task
-    is COMPLETED if a finish says so and all its attempts are settled, FAILED if it says failed, INTERRUPTED at a stop, else UNFINISHED.
+    An attempt is charged the most that was observed, or its reservation if usage is unknown; differing observations conflict.  The last
+    of completed, failed and stopped is the task's end.  A stop is CENSORED or INTERRUPTED by its reason, else FAILED; a task without an end is
+    UNFINISHED.  Conflicting usage makes any task FAILED; unknown usage, observations that do not add up (consistent is false) or attempts that were not
+    settled make a COMPLETED one FAILED.
     """
+    for name, kind_ in (("reason", "string"), ("consistent", "boolean")):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast(kind_))
     kind = lambda k: F.col("kind") == k
     attempts = events.where("attempt is not null").groupBy("task", "attempt").agg(
         F.max(F.when(kind("reserved"), F.col("tokens"))).alias("reserved"),
         F.max(F.when(kind("observed"), F.col("tokens"))).alias("observed"),
         (F.countDistinct(F.when(kind("observed"), F.col("tokens"))) > 1).alias("conflict"),
+        F.coalesce(F.bool_and(F.when(kind("observed"), F.col("consistent"))), F.lit(True)).alias("adds_up"),
         F.bool_or(kind("settled")).alias("settled"),
     )
-    charged = F.greatest(F.coalesce("observed", "reserved", F.lit(0)), F.coalesce("observed", F.lit(0)))
     sums = attempts.groupBy("task").agg(
         F.count("*").alias("attempts"),
         F.sum(F.coalesce("reserved", F.lit(0))).alias("reserved"),
         F.sum(F.coalesce("observed", F.lit(0))).alias("observed"),
-        F.sum(charged).alias("charged"),
+        F.sum(F.coalesce("observed", "reserved", F.lit(0))).alias("charged"),
         F.count_if("conflict").alias("conflicts"),
         F.count_if(F.col("observed").isNull()).alias("unknown"),
         F.bool_and("settled").alias("all_settled"),
+        F.bool_and(F.col("adds_up") & F.col("observed").isNotNull()).alias("known"),
     )
-    ends = events.groupBy("task").agg(F.max_by("kind", F.when(F.col("kind").isin("completed", "failed", "stopped"), F.col("sequence"))).alias("end"))
+    last = F.when(F.col("kind").isin("completed", "failed", "stopped"), F.col("sequence"))
+    ends = events.groupBy("task").agg(F.max_by(F.struct("kind", "reason"), last).alias("end")).select("task", F.col("end.kind").alias("end"), F.col("end.reason").alias("why"))
+    conflicted = F.coalesce("conflicts", F.lit(0)) > 0
+    complete = F.col("end") == "completed"
+    unsettled, uncertain = complete & ~F.coalesce("all_settled", F.lit(True)), complete & ~F.coalesce("known", F.lit(True))
     status = (
-        F.when((F.col("end") == "completed") & F.coalesce("all_settled", F.lit(True)), "COMPLETED")
-        .when(F.col("end").isin("failed", "completed"), "FAILED")
-        .when(F.col("end") == "stopped", "INTERRUPTED")
+        F.when(conflicted | unsettled | uncertain | (F.col("end") == "failed"), "FAILED")
+        .when(complete, "COMPLETED")
+        .when((F.col("end") == "stopped") & F.col("why").isin(*CENSORED), "CENSORED")
+        .when((F.col("end") == "stopped") & F.coalesce(F.col("why") == "execution_interrupted", F.lit(False)), "INTERRUPTED")
+        .when(F.col("end") == "stopped", "FAILED")
         .otherwise("UNFINISHED")
     )
-    out = ends.join(sums, "task", "left").withColumn("status", status)
+    reason = (
+        F.when(conflicted, "usage_observation_mismatch")
+        .when(unsettled, "unsettled_attempts")
+        .when(uncertain, "usage_unknown_or_inconsistent")
+        .when(complete, "task_finished")
+        .otherwise(F.col("why"))
+    )
+    out = ends.join(sums, "task", "left").withColumns({"status": status, "reason": reason})
     counts = ("attempts", "reserved", "observed", "charged", "conflicts", "unknown")
-    return out.select("task", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), "status")
+    return out.select("task", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), "status", "reason")
 
 
 def admission(requests: DataFrame, budget_tokens: int, budget_requests: int, per_minute: int, by: str = "task") -> DataFrame:

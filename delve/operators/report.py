@@ -78,16 +78,84 @@ def proof_steps(suspects: DataFrame, done: DataFrame, most: int = 8) -> DataFram
     return left.withColumn("n", n).where(F.col("n") <= most)
 
 
-def stop_reasons(steps: DataFrame, tools: int = 25, idle: int = 4) -> DataFrame:
-    """run, seq, stop_reason where a run (run, seq, tool_call, progress) first meets a bound: its tool calls, or steps without progress in a row."""
+def stop_reasons(steps: DataFrame, tools: int = 25, idle: int = 4, stall: int = 8, checkpoints: int = 8, candidates: int = 30, tokens: int | None = None) -> DataFrame:
+    """run, seq, stop_reason where a run first meets a bound, the first of: tool_budget, no_progress, no_ledger_progress, review_exhausted,
+    candidate_cap, token_ceiling.
+
+    steps: run, seq, tool_call, progress, and if there: ledger_change, checkpoint (booleans), candidates and tokens (numbers of the step).  Idle and
+    stall are steps in a row without progress and without a change of the ledger.
+    """
     own = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.withColumns({"calls": F.sum(F.col("tool_call").cast("int")).over(own), "streak": F.sum(F.col("progress").cast("int")).over(own)})
-    rows = rows.withColumn("since", F.row_number().over(Window.partitionBy("run", "streak").orderBy("seq")) - F.when(F.col("streak") > 0, 1).otherwise(0))
+
+    def since(rows: DataFrame, flag: str, name: str) -> DataFrame:
+        """Steps since the flag was last set."""
+        rows = rows.withColumn("_streak", F.sum(F.col(flag).cast("int")).over(own))
+        place = F.row_number().over(Window.partitionBy("run", "_streak").orderBy("seq"))
+        return rows.withColumn(name, place - F.when(F.col("_streak") > 0, 1).otherwise(0)).drop("_streak")
+
+    rows = since(steps.withColumn("calls", F.sum(F.col("tool_call").cast("int")).over(own)), "progress", "since")
     reason = F.when(F.col("calls") >= tools, "tool_budget").when(F.col("since") >= idle, "no_progress")
+    if "ledger_change" in steps.columns:
+        rows = since(rows, "ledger_change", "stalled")
+        reason = reason.when(F.col("stalled") >= stall, "no_ledger_progress")
+    if "checkpoint" in steps.columns:
+        rows = rows.withColumn("reviews", F.sum(F.col("checkpoint").cast("int")).over(own))
+        reason = reason.when(F.col("reviews") > checkpoints, "review_exhausted")
+    if "candidates" in steps.columns:
+        reason = reason.when(F.col("candidates") > candidates, "candidate_cap")
+    if "tokens" in steps.columns and tokens is not None:
+        rows = rows.withColumn("used", F.sum("tokens").over(own))
+        reason = reason.when(F.col("used") >= tokens, "token_ceiling")
     met = rows.withColumn("stop_reason", reason).where("stop_reason is not null")
     return met.groupBy("run").agg(F.min(F.struct("seq", "stop_reason")).alias("x")).select("run", "x.seq", "x.stop_reason")
 
 
+# Tools whose evidence is about what they were aimed at.
+DIRECT_TOOLS = ("inspect_symbol", "find_references", "find_tests")
+
+
+def direct_citations(citations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """run, target, direct of citations (run, target, evidence_id): a cited result (run, evidence_id, ok, strong, tool, touched, aimed) of a direct
+    tool is strong, touched the target, and was aimed at the target's own file."""
+    path = lambda c: F.substring_index(c, "::", 1)
+    both = citations.join(evidence, ["run", "evidence_id"], "left")
+    good = F.col("ok") & F.col("strong") & F.col("tool").isin(*DIRECT_TOOLS) & F.array_contains("touched", F.col("target")) & (path("aimed") == path("target"))
+    return both.groupBy("run", "target").agg(F.coalesce(F.bool_or(good), F.lit(False)).alias("direct"))
+
+
+def candidate_needs(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
+    """run, target, needs: the calls that a candidate (run, target, status, strong, checked_refs, checked_tests) still requires, in order; symbols: path, id.
+
+    A suspect without strong evidence is inspected; references are asked of the target or of its file's first three symbols; a rejected one needs nothing.
+    """
+    n = F.row_number().over(Window.partitionBy("path").orderBy("id"))
+    first = symbols.select("path", "id").withColumn("n", n).where("n <= 3").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    rows = candidates.join(first, candidates["target"] == first["path"], "left")
+    asked = F.when(F.contains("target", F.lit("::")), F.array("target")).otherwise(F.coalesce("ids", F.array().cast("array<string>")))
+    calls = F.array(
+        F.when((F.col("status") == "suspected") & ~F.col("strong"), F.concat(F.lit("inspect_symbol "), "target")),
+        F.when((F.col("status") != "rejected") & ~F.col("checked_refs") & (F.size(asked) > 0), F.concat(F.lit("find_references "), F.array_join(asked, " | "))),
+        F.when((F.col("status") != "rejected") & ~F.col("checked_tests"), F.concat(F.lit("find_tests "), "target")),
+    )
+    return rows.select("run", "target", F.filter(calls, lambda c: c.isNotNull()).alias("needs"))
+
+
+def bounded_batch(candidates: DataFrame, budget: int) -> DataFrame:
+    """candidates (run, position, size, least_size) with decision: shown, reduced or deferred.
+
+    The last candidates go until the batch fits the budget; one that does not fit alone is reduced to its last strong record if that fits.
+    """
+    own = Window.partitionBy("run").orderBy("position")
+    total, first = F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(own) == 1
+    return candidates.withColumn("decision", F.when(total <= budget, "shown").when(first & (F.col("least_size") <= budget), "reduced").otherwise("deferred"))
+
+
+def repairable_drafts(drafts: DataFrame, ledger: DataFrame, existing: DataFrame) -> DataFrame:
+    """Drafts (run, target, change_type) that call a confirmed target a new file although it exists (target), with the error."""
+    wrong = drafts.where("change_type = 'new_file'").join(ledger.where("status = 'confirmed'").select("run", "target"), ["run", "target"], "left_semi")
+    return wrong.join(existing.select("target"), "target", "left_semi").select("run", "target", F.lit("existing_target_classified_new_file").alias("error"))
+
+
 def wasted_choices(choices: DataFrame) -> DataFrame:
     """choices with waste: disabled, invalid_arguments, invalid_target, duplicate, stalled, for the first that holds."""
     earlier = F.count("*").over(Window.partitionBy("run", "tool", "arguments").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))

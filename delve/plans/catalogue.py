@@ -502,16 +502,35 @@ def rate_window(spark, d):
     return journal.trailing_window(rows, "user_id", "ts", 3600, "cents").select("event_id", "window_count", "window_sum")
 
 
+_ENDS = "case o_orderpriority when '1-URGENT' then 'token_limit' when '2-HIGH' then 'execution_interrupted' else 'provider_error' end"
+
+
 @query(
-    """with ev as (select conv_id as task, turn, (turn // 3)::bigint as attempt, case turn % 3 when 0 then 'reserved' when 1 then 'observed' else 'settled' end as kind, length(text) as tokens, role from conversations),
-    a as (select task, attempt, max(tokens) filter (where kind = 'reserved') as reserved, max(tokens) filter (where kind = 'observed') as observed from ev group by task, attempt)
-    select task, count(*) as attempts, sum(coalesce(reserved, 0))::bigint as reserved, sum(coalesce(observed, 0))::bigint as observed, sum(coalesce(observed, reserved, 0))::bigint as charged, 0::bigint as conflicts, count(*) filter (where observed is null) as unknown, 'UNFINISHED' as status from a group by task"""
+    f"""with a as (select l_orderkey as task, l_linenumber as attempt, max(cast(l_quantity as bigint)) as reserved, max(case when l_discount > 0.005 then cast(l_quantity as bigint) - 1 end) as o1,
+      max(case when l_tax > 0.075 and l_discount > 0.085 then cast(l_quantity as bigint) + 5 end) as o2, count(distinct o) as n, bool_or(l_returnflag <> 'R' or l_quantity > 10) as settled, bool_and(case when o is not null then l_quantity < 50 end) as fits
+      from (select *, unnest([case when l_discount > 0.005 then cast(l_quantity as bigint) - 1 end, case when l_tax > 0.075 and l_discount > 0.085 then cast(l_quantity as bigint) + 5 end]) as o from lineitem) group by 1, 2),
+    s as (select task, count(*) as attempts, sum(reserved)::bigint as reserved, sum(coalesce(greatest(o1, o2), 0))::bigint as observed, sum(coalesce(greatest(o1, o2), reserved))::bigint as charged,
+      count(*) filter (where n > 1) as conflicts, count(*) filter (where n = 0) as unknown, bool_and(settled) as settled, bool_and(coalesce(fits, true) and n > 0) as known from a group by task),
+    e as (select s.*, case o_orderstatus when 'F' then 'completed' when 'O' then 'stopped' end as kind, {_ENDS} as why from s left join orders on o_orderkey = task)
+    select task, attempts, reserved, observed, charged, conflicts, unknown,
+    case when conflicts > 0 then 'FAILED' when kind = 'completed' then case when settled and known then 'COMPLETED' else 'FAILED' end when kind is null then 'UNFINISHED' when why = 'token_limit' then 'CENSORED' when why = 'execution_interrupted' then 'INTERRUPTED' else 'FAILED' end as status,
+    case when conflicts > 0 then 'usage_observation_mismatch' when kind = 'completed' then case when not settled then 'unsettled_attempts' when not known then 'usage_unknown_or_inconsistent' else 'task_finished' end when kind = 'stopped' then why end as reason from e"""
 )
 def accounting(spark, d):
-    turn = F.col("turn")
-    kind = F.when(turn % 3 == 0, "reserved").when(turn % 3 == 1, "observed").otherwise("settled")
-    events = read(spark, d, "conversations").select(F.col("conv_id").alias("task"), F.floor(turn / 3).alias("attempt"), turn.alias("sequence"), kind.alias("kind"), F.length("text").cast("long").alias("tokens"))
-    return journal.accounting(events)
+    """Orders are tasks and their lines attempts; usage that is unknown, conflicts or does not add up, and ends of each kind."""
+    lines, n = read(spark, d, "lineitem"), F.col("l_quantity").cast("long")
+    own = [F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("attempt")]
+
+    def event(kind, tokens, where=None):
+        rows = lines.where(where) if where else lines
+        return rows.select(*own, F.lit(0).alias("sequence"), F.lit(kind).alias("kind"), tokens.cast("long").alias("tokens"), F.lit(None).cast("string").alias("reason"), (F.col("l_quantity") < 50).alias("consistent"))
+
+    events = event("reserved", n).unionByName(event("observed", n - 1, "l_discount > 0.005")).unionByName(event("observed", n + 5, "l_tax > 0.075 and l_discount > 0.085"))
+    events = events.unionByName(event("settled", F.lit(None), "l_returnflag <> 'R' or l_quantity > 10"))
+    why = F.when(F.col("o_orderpriority") == "1-URGENT", "token_limit").when(F.col("o_orderpriority") == "2-HIGH", "execution_interrupted").otherwise("provider_error")
+    ends = read(spark, d, "orders").where("o_orderstatus in ('F', 'O')").join(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    ends = ends.select(F.col("o_orderkey").alias("task"), F.lit(None).cast("int").alias("attempt"), F.lit(1).alias("sequence"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("stopped").alias("kind"), F.lit(None).cast("long").alias("tokens"), F.when(F.col("o_orderstatus") == "O", why).alias("reason"), F.lit(None).cast("boolean").alias("consistent"))
+    return journal.accounting(events.unionByName(ends))
 
 
 @query("select event_id, min(event_id) over (partition by user_id, event_type order by event_id rows between unbounded preceding and 1 preceding) as served_by from events")

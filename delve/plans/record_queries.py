@@ -353,15 +353,74 @@ def proof_steps(spark, d):
 
 
 @query(
-    """with e as (select user_id as run, event_id as seq, event_type <> 'view' as call, value > 60 as progress from events),
-    a as (select *, sum(call::int) over w as calls, sum(progress::int) over w as streak from e window w as (partition by run order by seq rows unbounded preceding)),
-    b as (select *, row_number() over (partition by run, streak order by seq) - case when streak > 0 then 1 else 0 end as since from a),
-    m as (select run, seq, case when calls >= 25 then 'tool_budget' when since >= 4 then 'no_progress' end as stop_reason from b)
+    """with e as (select user_id as run, event_id as seq, event_type <> 'view' as call, value > 60 as progress, value > 90 as change, event_type = 'view' as checkpoint, cast(regexp_extract(props, '(\\d+)', 1) as bigint) as candidates, cast(round(value) as bigint) as tokens from events),
+    a as (select *, sum(call::int) over w as calls, sum(progress::int) over w as streak, sum(change::int) over w as changes, sum(checkpoint::int) over w as reviews, sum(tokens) over w as used from e window w as (partition by run order by seq rows unbounded preceding)),
+    b as (select *, row_number() over (partition by run, streak order by seq) - case when streak > 0 then 1 else 0 end as since, row_number() over (partition by run, changes order by seq) - case when changes > 0 then 1 else 0 end as stalled from a),
+    m as (select run, seq, case when calls >= 25 then 'tool_budget' when since >= 4 then 'no_progress' when stalled >= 8 then 'no_ledger_progress' when reviews > 8 then 'review_exhausted' when candidates > 95 then 'candidate_cap' when used >= 900 then 'token_ceiling' end as stop_reason from b)
     select run, min(seq) as seq, arg_min(stop_reason, seq) as stop_reason from m where stop_reason is not null group by run"""
 )
 def stop_reasons(spark, d):
-    steps = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), (F.col("event_type") != "view").alias("tool_call"), (F.col("value") > 60).alias("progress"))
-    return report.stop_reasons(steps)
+    view = F.col("event_type") == "view"
+    steps = read(spark, d, "events").select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("seq"), (~view).alias("tool_call"), (F.col("value") > 60).alias("progress"), (F.col("value") > 90).alias("ledger_change"), view.alias("checkpoint"), F.regexp_extract("props", r"(\d+)", 1).cast("long").alias("candidates"), F.round("value").cast("long").alias("tokens")
+    )
+    return report.stop_reasons(steps, candidates=95, tokens=900)
+
+
+@query(
+    """select user_id as run, event_type as target, bool_or(value > 20 and value > 80 and user_id % 3 <> 0 and event_type <> 'view') as direct from events group by 1, 2"""
+)
+def direct_citations(spark, d):
+    e = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("target"), F.col("event_id").alias("evidence_id"), "value")
+    tool = F.when(F.col("target") == "view", "search_code").otherwise("find_references")
+    aimed = F.when(F.col("run") % 3 == 0, "other").otherwise(F.concat("target", F.lit("::f")))
+    evidence = e.select("run", "evidence_id", (F.col("value") > 20).alias("ok"), (F.col("value") > 80).alias("strong"), tool.alias("tool"), F.array("target").alias("touched"), aimed.alias("aimed"))
+    return report.direct_citations(e.select("run", "target", "evidence_id"), evidence)
+
+
+@query(
+    """with c as (select o_orderkey as run, 'p' || o_custkey as target, case o_orderstatus when 'F' then 'rejected' when 'O' then 'suspected' else 'confirmed' end as status, o_totalprice > 150000 as strong, o_totalprice > 200000 as refs, o_totalprice > 100000 as tests from orders),
+    s as (select 'p' || user_id as path, event_type || user_id as id, row_number() over (partition by user_id order by event_type) as n from (select distinct user_id, event_type from events)), f as (select path, string_agg(id, ' | ' order by id) as ids from s where n <= 3 group by path)
+    select run, target, concat_ws(';', case when status = 'suspected' and not strong then 'inspect_symbol ' || target end, case when status <> 'rejected' and not refs and ids is not null then 'find_references ' || ids end, case when status <> 'rejected' and not tests then 'find_tests ' || target end) as needs
+    from c left join f on f.path = c.target"""
+)
+def candidate_needs(spark, d):
+    price, status = F.col("o_totalprice"), F.when(F.col("o_orderstatus") == "F", "rejected").when(F.col("o_orderstatus") == "O", "suspected").otherwise("confirmed")
+    candidates = read(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("target"), status.alias("status"), (price > 150000).alias("strong"), (price > 200000).alias("checked_refs"), (price > 100000).alias("checked_tests"))
+    user = F.col("user_id").cast("string")
+    symbols = read(spark, d, "events").select(F.concat(F.lit("p"), user).alias("path"), F.concat("event_type", user).alias("id")).distinct()
+    return report.candidate_needs(candidates, symbols).withColumn("needs", F.array_join("needs", ";"))
+
+
+@query(
+    """with c as (select conv_id as run, turn as position, length(text) as size, length(text) // 3 as least, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) as total, row_number() over (partition by conv_id order by turn) = 1 as first from conversations)
+    select run, position, case when total <= 300 then 'shown' when first and least <= 300 then 'reduced' else 'deferred' end as decision from c"""
+)
+def bounded_batch(spark, d):
+    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("run"), F.col("turn").alias("position"), F.length("text").alias("size"), F.floor(F.length("text") / 3).alias("least_size"))
+    return report.bounded_batch(rows, 300).select("run", "position", "decision")
+
+
+@query(
+    """select distinct user_id as run, cast(user_id as varchar) || event_type as target, 'existing_target_classified_new_file' as error from events where value > 60 and value < 120 and (user_id, event_type) in (select (user_id, event_type) from events where value > 150) and user_id in (select c_custkey from customer where c_acctbal > 0)"""
+)
+def repairable_drafts(spark, d):
+    user = F.col("user_id")
+    e = read(spark, d, "events").select(user.alias("run"), F.concat(user.cast("string"), "event_type").alias("target"), "value")
+    drafts = e.select("run", "target", F.when((F.col("value") > 60) & (F.col("value") < 120), "new_file").otherwise("modified").alias("change_type")).distinct()
+    ledger = e.where("value > 150").select("run", "target", F.lit("confirmed").alias("status")).distinct()
+    existing = e.join(read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("run")), "run", "left_semi").select("target").distinct()
+    return report.repairable_drafts(drafts, ledger, existing)
+
+
+@query(
+    """with s as (select user_id as run, event_type as target, min(event_id) as seq from events group by 1, 2), t as (select s.*, i.tier, ['inspect_symbol', 'find_references', 'find_tests'][i.tier + 1] as tool from s cross join (select unnest([0, 1, 2]) as tier) i),
+    n as (select *, row_number() over (partition by run order by tier, seq, target) as n from t) select run, target, tool, n from n where n <= 6"""
+)
+def presubmit_proof(spark, d):
+    """Before an accepted submission at most six planned calls are waited for."""
+    e = read(spark, d, "events").groupBy(F.col("user_id").alias("run"), F.col("event_type").alias("target")).agg(F.min("event_id").alias("seq"))
+    return report.proof_steps(e, e.select("run", F.lit("").alias("tool"), "target"), most=6).select("run", "target", "tool", "n")
 
 
 @query(

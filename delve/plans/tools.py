@@ -7,16 +7,21 @@ from __future__ import annotations
 
 import difflib
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delve.functions.text import one_line
-from delve.operators import extract, graph, history, mapping, search
+from delve.operators import extract, graph, history, mapping, records, search, verify
+from delve.sources.files import IndexCache
+from delve.sources.stage import cut
 
 LIMITS = {"search_code": 15, "find_references": 40, "get_dependencies": 100, "find_tests": 50, "repo_facts": 200, "co_changed": 10}
-FACTS = ("route", "model", "setting", "entry_point")
+FACTS = ("route", "model", "setting", "entry_point", "migration")
+#: Lines and characters of source that inspect_symbol shows.
+SOURCE_LINES, SOURCE_CHARACTERS = 120, 12_000
 
 
 @dataclass(frozen=True)
@@ -35,23 +40,25 @@ class ToolError(Exception):
 
 
 class Tools:
-    """Tools over files (path, content) and commits (seq, path)."""
-
-    def __init__(self, files: DataFrame, commits: DataFrame | None = None):
-        self.files, self.commits = files, commits
-        self.rows = extract.extract_files(files).cache()
-        self.records = extract.file_records(files, self.rows).cache()
-        self.symbols = extract.symbols(self.rows).cache()
-        self.imports = extract.resolve_imports(self.rows, files).cache()
-        self.edges = graph.dependency_edges(self.imports, files).cache()
-        self._references: DataFrame | None = None
+    """Tools over files (path, content), commits (seq, path) and the difference of two commits (as git_diff gives it).
+
+    The index's tables are written once: into index, an IndexCache with the commit (and digest of a dirty tree) they belong to, or else into the
+    session's shared folder.
+    """
+
+    def __init__(self, files: DataFrame, commits: DataFrame | None = None, diff: DataFrame | None = None, index: IndexCache | None = None, commit: str = "", dirty: str = ""):
+        self.files, self.commits, self.diff = files, commits, diff
+        self._keep = (lambda name, build: index.get(name, commit, build, dirty)) if index else (lambda name, build: cut(build()))
+        self.rows = self._keep("rows", lambda: extract.extract_files(files))
+        self.records = self._keep("records", lambda: extract.file_records(files, self.rows))
+        self.symbols = extract.symbols(self.rows)
+        self.imports = self._keep("imports", lambda: extract.resolve_imports(self.rows, files))
+        self.edges = self._keep("edges", lambda: graph.dependency_edges(self.imports, files))
         self.calls = 0
 
-    @property
+    @cached_property
     def references(self) -> DataFrame:
-        if self._references is None:
-            self._references = extract.resolve_references(self.rows, self.files).cache()
-        return self._references
+        return self._keep("references", lambda: extract.resolve_references(self.rows, self.files))
 
     def invoke(self, name: str, **args: Any) -> Result:
         self.calls += 1
@@ -68,7 +75,8 @@ class Tools:
             except TypeError as e:
                 raise ToolError("invalid_arguments", str(e)) from None
             rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
-            return Result(True, rows[:limit], None, evidence, len(rows) > limit)
+            was_cut = any(r.pop("cut", False) for r in rows)
+            return Result(True, rows[:limit], None, evidence, len(rows) > limit or was_cut)
         except ToolError as e:
             return Result(False, [], e.error, evidence)
 
@@ -117,21 +125,52 @@ class Tools:
         return hits.withColumnRenamed("score", "raw").orderBy(*order).select("path", "symbol", "line", "kind", F.round("raw", 6).alias("score"), one_line(F.col("snippet")).alias("snippet")), limit
 
     def _inspect_symbol(self, target: str):
+        """One symbol with its signature and source, or the outline of a file."""
+        described = self.rows.where("kind = 'described'").select(F.concat_ws("::", "path", "qualname").alias("id"), F.get("names", F.lit(0)).alias("signature")).dropDuplicates(["id"])
+        known = self.symbols.join(described, "id", "left")
         if "::" in target:
             own = self._symbol(target)
-            return self.symbols.where(F.col("id") == own["id"]), 1
+            content = self.files.where(F.col("path") == own["path"]).select("path", F.col("content").cast("string").alias("text"))
+            lines = F.split("text", "\r\n|\r|\n")
+            found = known.where(F.col("id") == own["id"]).join(content, "path").withColumn("lines", F.slice(lines, F.col("first"), F.col("last") - F.col("first") + 1))
+            source = F.array_join(F.slice("lines", 1, SOURCE_LINES), "\n")
+            found = found.withColumns({"source": F.substring(source, 1, SOURCE_CHARACTERS), "cut": (F.size("lines") > SOURCE_LINES) | (F.length(source) > SOURCE_CHARACTERS)})
+            return found.drop("text", "lines"), 1
         self._checked(target)
         error = self.records.where(F.col("path") == target).first().parse_error
         if error:
             raise ToolError("parse_error", error)
-        return self.symbols.where(F.col("path") == target).orderBy("first", "id"), 100
+        return known.where(F.col("path") == target).orderBy("first", "id"), 100
+
+    def _file_diff(self, path: str):
+        """What a file's change is: status, old path, changed lines on both sides, symbols they touch, and the first hunks as text."""
+        if path.startswith("/") or ".." in path.split("/"):
+            raise ToolError("invalid_arguments", "file_diff takes a path inside the repository")
+        if self.diff is None:
+            raise ToolError("not_in_diff", "there is no difference to look into")
+        own = self.diff.where((F.col("path") == path) | (F.col("old_path") == path))
+        found = own.select("path", "old_path", "status", "binary").limit(1).collect()
+        if not found:
+            raise ToolError("not_found" if self.records.where(F.col("path") == path).isEmpty() else "not_in_diff", path)
+        if found[0].binary:
+            raise ToolError("binary_file", path)
+        new = self.symbols.select("path", F.col("qualname").alias("symbol"), "first", "last")
+        flat = own.select("path", F.explode("hunks").alias("h")).select("path", "h.*")
+        touched = new.join(flat, "path").where(verify.overlaps(F.col("new_start"), F.col("new_count"), F.col("first"), F.col("last")))
+        changed = touched.groupBy("path").agg(F.array_sort(F.collect_set("symbol")).alias("changed_symbols"))
+        ranges = lambda side: F.transform("hunks", lambda h: F.struct(h[f"{side}_start"].alias("start"), h[f"{side}_count"].alias("count")))
+        rows = own.select("path", "old_path", "status", ranges("old").alias("old_ranges"), ranges("new").alias("new_ranges"), "snippets", F.col("truncated").alias("cut"))
+        return rows.join(changed, "path", "left").withColumn("changed_symbols", F.coalesce("changed_symbols", F.array().cast("array<string>"))), 1
 
     def _find_references(self, symbol: str, limit: int = 40):
         own = self._symbol(symbol)
         uses = self.references.where(F.col("target") == own["id"]).select("path", "line", "kind", "enclosing", "confidence")
         named = self.imports.where((F.col("dst") == own["path"]) & F.exists("names", lambda n: F.substring_index(n, "=", 1) == own["name"]))
-        uses = uses.unionByName(named.select(F.col("src").alias("path"), "line", F.lit("import").alias("kind"), F.lit(None).cast("string").alias("enclosing"), F.lit("high").alias("confidence")))
-        return uses.distinct().orderBy("path", "line", "kind", F.coalesce("enclosing", F.lit(""))), limit
+        named = named.select(F.col("src").alias("path"), "line", F.lit("import").alias("kind"), F.lit(None).cast("string").alias("enclosing"), F.lit("high").alias("confidence"))
+        both = uses.withColumn("n", F.lit(0)).unionByName(named.withColumn("n", F.lit(1)))
+        # of several on one line, in one place and of one kind, the last stands
+        last = records.last_wins(both.withColumn("n", F.struct("n", "confidence")), ["path", "line", "enclosing", "kind"], "n")
+        return last.select("path", "line", "kind", "enclosing", "confidence").orderBy("path", "line", "kind", F.coalesce("enclosing", F.lit(""))), limit
 
     def _get_dependencies(self, path: str, direction: str = "imports", depth: int = 1, limit: int = 100):
         if direction not in ("imports", "imported_by") or depth not in (1, 2):
@@ -152,9 +191,15 @@ class Tools:
         return found.orderBy("test_path").select("test_path", "reasons"), limit
 
     def _repo_facts(self, kind: str, contains: str | None = None, limit: int = 200):
+        kind = kind.removesuffix("s")
         if kind not in FACTS:
             raise ToolError("unsupported_kind", kind, ", ".join(FACTS))
-        found = extract.facts(self.rows, kind, contains)
+        if kind == "migration":
+            found = records.migration_groups(self.files).select(F.col("folder").alias("path"), F.lit(kind).alias("kind"), F.col("framework").alias("name"), F.lit(None).cast("string").alias("detail"), F.col("files").alias("names"), F.lit(1).alias("line"))
+            if contains:
+                found = found.where(F.contains(F.lower(F.to_json(F.struct("path", "name", "names"))), F.lit(contains.lower())))
+        else:
+            found = extract.facts(self.rows, kind, contains)
         if found.isEmpty():
             raise ToolError("none_detected", kind)
         return found.orderBy("path", "line", "name"), limit

@@ -193,7 +193,7 @@ def test_journal(spark):
     assert found == {"altered": [(1, "altered_event")], "broken": [(2, "broken_link")], "gap": [(2, "sequence_gap")], "twice": [(2, "duplicate_sequence")]}
     events = [("t", None, 0, "started", None), ("t", 1, 1, "reserved", 100), ("t", 1, 2, "observed", 60), ("t", 1, 3, "settled", None), ("t", 2, 4, "reserved", 50), ("t", 2, 5, "settled", None), ("t", None, 6, "completed", None), ("u", 1, 0, "reserved", 9), ("u", 1, 1, "observed", 5), ("u", 1, 2, "observed", 7), ("u", None, 3, "completed", None)]
     got = {r.task: r for r in journal.accounting(spark.createDataFrame(events, "task string, attempt int, sequence int, kind string, tokens long")).collect()}
-    assert (got["t"].charged, got["t"].unknown, got["t"].status) == (110, 1, "COMPLETED") and (got["u"].charged, got["u"].conflicts, got["u"].status) == (7, 1, "FAILED")
+    assert (got["t"].charged, got["t"].unknown, got["t"].status, got["t"].reason) == (110, 1, "FAILED", "usage_unknown_or_inconsistent") and (got["u"].charged, got["u"].conflicts, got["u"].status) == (7, 1, "FAILED")
     calls = spark.createDataFrame([("r", "k", 1, 5, True), ("r", "k", 2, 3, False), ("r", "k", 3, 9, False), ("r", "j", 4, 1, False)], "run string, key string, seq int, lim int, cut boolean")
     assert {r.seq: r.served_by for r in journal.first_calls(calls, "run", "key", "seq", "lim", "cut").collect()} == {1: None, 2: 1, 3: 2, 4: None}
     asked = spark.createDataFrame([("t", i, f"2024-01-01 00:00:{i:02}", 10) for i in range(6)], "task string, seq int, ts string, tokens int").withColumn("ts", F.to_timestamp("ts"))
@@ -293,7 +293,45 @@ def test_git_sources(spark, repo):
 def tools(spark, repo):
     G.register(spark)
     files = spark.read.format("git_tree").option("repo", repo).option("rev", "HEAD~2").load()
-    return Tools(files, spark.read.format("git_log").option("repo", repo).load().select("seq", "path"))
+    diff = spark.read.format("git_diff").option("repo", repo).option("base", "HEAD~2").option("head", "HEAD").load()
+    return Tools(files, spark.read.format("git_log").option("repo", repo).load().select("seq", "path"), diff)
+
+
+def test_working_tree(spark, repo, tmp_path):
+    clone = str(tmp_path / "clone")
+    subprocess.run(["git", "clone", "-q", repo, clone], check=True)
+    assert not G.state(clone).dirty and G.clean_state(clone).commit == G.state(repo).commit
+    (tmp_path / "clone/app/web.py").write_text("z = 1\n")
+    (tmp_path / "clone/tests/test_models.py").unlink()
+    (tmp_path / "clone/app/link.py").symlink_to("web.py")
+    subprocess.run(["git", "-C", clone, "add", "app/link.py"], check=True)
+    G.register(spark)
+    found = {r.path: r.content and bytes(r.content).decode() for r in spark.read.format("git_tree").option("repo", clone).option("rev", "WORKTREE").option("exclude", "app/sub").load().collect()}
+    assert found["app/web.py"] == "z = 1\n" and found["app/link.py"] is None and found["tests/test_models.py"] is None
+    assert G.state(clone).dirty and not G.state(clone, exclude="nothing").root.endswith("nothing")
+    with pytest.raises(G.DirtyRepository):
+        G.clean_state(clone)
+    assert G.clean_state(clone, allow_dirty=True).dirty
+
+
+def test_file_diff_and_source(spark, repo, tools):
+    found = tools.invoke("file_diff", path="app/models.py").data[0]
+    assert (found["status"], found["new_ranges"], found["old_ranges"]) == ("M", [{"start": 10, "count": 2}], [{"start": 9, "count": 0}])
+    assert found["snippets"][0].startswith("@@ -9,0 +10,2 @@") and found["snippets"][0].endswith("+X = 1")
+    assert tools.invoke("file_diff", path="app/blob.py").error["code"] == "binary_file" and tools.invoke("file_diff", path="/x").error["code"] == "invalid_arguments"
+    assert tools.invoke("file_diff", path="tests/test_models.py").error["code"] == "not_in_diff" and tools.invoke("file_diff", path="no.py").error["code"] == "not_found"
+    own = tools.invoke("inspect_symbol", target="tests/test_models.py::test_make").data[0]
+    assert own["signature"].startswith("test_make()") and own["source"] == "def test_make():\n    assert make()"
+
+
+def test_long_source_is_cut(spark):
+    text = "def f():\n" + "".join(f"    x{i} = {i}\n" for i in range(200)) + "\ndef create_app():\n    pass\n\napp = create_app()\n"
+    files = spark.createDataFrame([("a/m.py", text.encode()), ("a/__main__.py", b"pass\n"), ("a/migrations/0001.py", b""), ("a/migrations/__init__.py", b"")], "path string, content binary")
+    tools = Tools(files)
+    found = tools.invoke("inspect_symbol", target="a/m.py::f")
+    assert found.truncated and found.data[0]["source"].count("\n") == 119
+    assert sorted((r["path"], r["name"]) for r in tools.invoke("repo_facts", kind="entry_points").data) == [("a/__main__.py", "main_module"), ("a/m.py", "app_factory"), ("a/m.py", "app_object")]
+    assert [(r["path"], r["name"], r["names"]) for r in tools.invoke("repo_facts", kind="migrations").data] == [("a/migrations", "django", ["a/migrations/0001.py"])]
 
 
 def test_extraction(tools):
