@@ -25,7 +25,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Params:
-    most_per_language: int = 400  # documents learned from, of each language
+    most_per_language: int = 400  # documents learned from, of each language; fewer, where that would be more than most_documents in all
+    most_documents: int = 8_000
+    most_bytes: int = 65_536  # of a document that is learned from; with most_documents this bounds what the driver holds
     words_per_language: int = 60_000  # and words of them
     languages: int = 200  # the driver holds a weight for each bucket and language; the commonest are learned
     bits: int = 16
@@ -221,9 +223,10 @@ def learn(docs: DataFrame, params: Params = Params()) -> Model:
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
     common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(params.languages).collect()
-    chosen = least_hashed(rows.where(F.col("label").isin([r.label for r in common])), {r.label: r["count"] for r in common}, params.most_per_language)
+    most = min(params.most_per_language, max(1, params.most_documents // max(len(common), 1)))
+    chosen = least_hashed(rows.where(F.col("label").isin([r.label for r in common])), {r.label: r["count"] for r in common}, most)
     chosen = chosen.dropDuplicates(["doc_id", "label"])
-    found = with_texts(docs, chosen).select("doc_id", "label", F.encode("text", "UTF-8").alias("raw")).where(F.col("raw").isNotNull())
+    found = with_texts(docs, chosen).select("doc_id", "label", F.encode("text", "UTF-8").alias("raw")).where(F.octet_length("raw") <= params.most_bytes)
     texts = sorted((r.doc_id, r.label, bytes(r.raw)) for r in found.collect())
     rng = np.random.default_rng(params.seed)
     return fit([texts[i][1:] for i in rng.permutation(len(texts))], params)
