@@ -54,12 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[-1]
 
 
+#: Spark's own bound (spark.sql.sources.bucketing.maxBuckets); beyond it buckets grow, and are streamed all the same.
+MOST_BUCKETS = 100_000
+
+
 def bucketed(df: DataFrame, parts: int, column: str) -> tuple[DataFrame, str, str]:
     """Write df as a table of so many buckets by column in the shared folder, so that joins on it leave its rows where they are: (table, name, path)
     for drop_bucketed()."""
     spark = df.sparkSession
     name, path = f"delve_{uuid.uuid4().hex}", f"{shared_dir(spark)}/buckets"
-    df.write.bucketBy(parts, column).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    df.write.bucketBy(min(parts, MOST_BUCKETS), column).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name), name, path
 
 
