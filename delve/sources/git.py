@@ -7,6 +7,7 @@ The repository must be at the same path on the executors, as a mirror or a share
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import subprocess
@@ -171,7 +172,7 @@ SNIPPETS, SNIPPET_LINES = 20, 40
 def snippets(patch: str) -> tuple[list[str], bool]:
     """The first hunks of a patch as text, and whether any was cut or left out."""
     starts = [m.start() for m in _HUNK.finditer(patch)]
-    parts = [patch[a:b].rstrip("\n").split("\n") for a, b in zip(starts, [*starts[1:], len(patch)], strict=True)]
+    parts = [patch[a:b].rstrip("\n").split("\n") for a, b in itertools.pairwise([*starts, len(patch)])]
     shown = parts[:SNIPPETS]
     return ["\n".join(x[: SNIPPET_LINES + 1]) for x in shown], len(parts) > SNIPPETS or any(len(x) > SNIPPET_LINES + 1 for x in shown)
 

@@ -41,6 +41,6 @@ def run_available(spark: SparkSession, source: DataFrame, plan: Callable[[DataFr
     writer = result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
     try:
-        return spark.read.schema(result.schema).parquet(f"{folder}/result")
+        return spark.read.schema(result.schema).parquet(f"{folder}/result").select(*result.columns)
     except AnalysisException:  # no batch came
         return spark.createDataFrame([], result.schema)
