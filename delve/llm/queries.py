@@ -14,6 +14,7 @@ from delve.llm.packing import op3_packing
 from delve.llm.quality import op6_quality
 from delve.llm.secrets import op1_secret_scan
 from delve.llm.substring_dedup import op4_substring_dedup
+from delve.llm.token_counts import op13_token_counts
 from delve.llm.token_store import op2_token_store
 from delve.llm.toxicity import op8_toxicity
 
@@ -25,7 +26,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_token_store, op3_packing, op4_substring_dedup, op5_decontaminate, op6_quality, op7_langid, op8_toxicity, op9_ann, op10_jaccard_join, pipeline]
+    found = [op1_secret_scan, op2_token_store, op3_packing, op4_substring_dedup, op5_decontaminate, op6_quality, op7_langid, op8_toxicity, op9_ann, op10_jaccard_join, op13_token_counts, pipeline]
     return {f.__name__: f for f in found}
 
 
