@@ -21,6 +21,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,7 +161,15 @@ def frequent_table(docs: DataFrame, file: str, rows: int = TABLE_ROWS) -> tuple[
     return tuple(bytes(packed[n]) for n in names) if packed else (b"", b"", b"")
 
 
-_workers: dict[tuple[str, str], TokenCounter] = {}
+_held: dict[tuple[str, str], TokenCounter] = {}
+
+
+def _counter(file: str, name: str, packed: Broadcast) -> TokenCounter:
+    """The worker's own, which keeps its misses from task to task."""
+    if (file, name) not in _held:
+        _held.clear()
+        _held[file, name] = TokenCounter(file, unpack_table(packed.value))
+    return _held[file, name]
 
 
 def count_tokens(docs: DataFrame, file: str, limit: int = LIMIT, table_rows: int = TABLE_ROWS) -> DataFrame:
@@ -174,11 +183,9 @@ def count_tokens(docs: DataFrame, file: str, limit: int = LIMIT, table_rows: int
     packed, name = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, file, table_rows)), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (file, name) not in _workers:  # a worker keeps its misses from task to task
-            _workers.clear()
-            _workers[file, name] = TokenCounter(file, unpack_table(packed.value))
+        counter = _counter(file, name, packed)
         for batch in batches:
-            n = pa.array(_workers[file, name].count(texts(batch.column("text"))), pa.int64())
+            n = pa.array(counter.count(texts(batch.column("text"))), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
