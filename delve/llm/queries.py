@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from delve.llm.ann import op9_ann
+from delve.llm.conversations import op11_conversation_repair
 from delve.llm.decontaminate import op5_decontaminate
 from delve.llm.jaccard_join import op10_jaccard_join
 from delve.llm.langid import op7_langid
@@ -27,7 +28,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_token_store, op3_packing, op4_substring_dedup, op5_decontaminate, op6_quality, op7_langid, op8_toxicity, op9_ann, op10_jaccard_join, op12_lexical_search, op13_token_counts, pipeline]
+    found = [op1_secret_scan, op2_token_store, op3_packing, op4_substring_dedup, op5_decontaminate, op6_quality, op7_langid, op8_toxicity, op9_ann, op10_jaccard_join, op11_conversation_repair, op12_lexical_search, op13_token_counts, pipeline]
     return {f.__name__: f for f in found}
 
 
