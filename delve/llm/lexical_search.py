@@ -3,13 +3,16 @@
 A posting is a document and what one of its terms adds to a score, a whole number; a term's list is sorted by that, cut into blocks and, where
 it is long, dealt into slices by document, so that no term is a task's alone.  Lists hold the terms of the items, of all documents.
 
-1. The heads of the lists, k postings of each slice, give partial scores; an item's k-th greatest bounds its k-th score from below.
-2. A document that is to reach that bound has one posting of at least an m-th of it, m being the item's lists.  Every list sends its
-   postings from that threshold on; blocks whose greatest is less are not opened.  The sums seen raise the bound, and a document
-   whose unseen lists, at less than the threshold each, can't lift it to the bound goes.
+1. The heads of the lists, k postings each, give partial scores.  The documents of the greatest are looked up: an item's k-th greatest exact score
+   among them is its bar, which bounds its k-th score from below.
+2. One threshold for all lists of an item: the greatest for which a document with less in every list stays under the bar, a list adding no more than its
+   greatest posting.  Every list sends its postings from the threshold on (the least of the items that use it); blocks whose greatest
+   is less are not opened.  What arrives is summed for each item, and a document goes whose unseen lists cannot lift it to the bar.
 3. What is left is looked up: its exact scores from its own terms.
 
-Documents meet in shuffles of ids and numbers; a text is read once, where it lies.  Everything the phases share is written to the shared folder.
+Postings are sent to cells of consecutive documents, where the documents' terms are for the third phase; a cell is a task's group of bounded size, and
+all items are summed there, so that no pair of an item and a document is ever shuffled but for those that reach the bar.  A text is read once, where
+it lies.  Everything the phases share is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +31,12 @@ from pyspark.sql import functions as F
 from delve.llm.common import materialise, table
 
 K = 10
-#: Postings of a block, and of a slice of a list on average.
-BLOCK_ROWS, SLICE_ROWS = 1024, 1 << 16
-#: A table of so many rows at most is broadcast, after they have been counted: terms, items' thresholds, candidates.  Larger ones are shuffled.
-BROADCAST_ROWS = 200_000
-#: Terms that workers hold for picking the items' terms out of texts; where items have more, all terms of a text are kept and joined.
-HELD_TERMS = 1 << 20
+#: Documents of an item that the heads name and that are looked up for its bar, as a multiple of k.
+PROBES = 10
+#: Postings of a block, and of a slice of a list on average; documents of a cell are 2 ** CELL_BITS at most.
+BLOCK_ROWS, SLICE_ROWS, CELL_BITS = 1024, 1 << 16, 12
+#: Items are searched so many terms at a time, on average: that bounds what workers and the driver hold of them.
+PAIRS = 200_000
 #: Bytes of text whose terms are found at a time, about.
 PIECE_BYTES = 1 << 22
 
@@ -55,74 +60,252 @@ def text_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(TERM), F.lit(0))
 
 
-def counted(docs: DataFrame, vocabulary: set[str] | None) -> DataFrame:
-    """doc_id, n (terms with repeats), terms, tfs: each document's terms among the vocabulary, or all, and how often each comes."""
-    held = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast({x.encode() for x in vocabulary})
+@dataclass(frozen=True)
+class Items:
+    """The items of one search: ids, and the codes of item i's terms at codes[starts[i]:starts[i + 1]]; a code is a term's place in terms."""
+
+    ids: list[int | None]
+    starts: np.ndarray
+    codes: np.ndarray
+    terms: list[str]
+
+    @classmethod
+    def of(cls, pairs: list[tuple[int | None, str]]) -> Items:
+        own: dict[int | None, set[str]] = {}
+        for item, term in pairs:
+            own.setdefault(item, set()).add(term)
+        ids, terms = sorted(own, key=lambda x: (x is not None, x or 0)), sorted(set().union(*own.values()))
+        code = {t: i for i, t in enumerate(terms)}
+        codes = [sorted(code[t] for t in own[i]) for i in ids]
+        return cls(ids, np.cumsum([0, *map(len, codes)]), np.array([c for x in codes for c in x], np.int64), terms)
+
+    def of_item(self, i: int) -> np.ndarray:
+        return self.codes[self.starts[i] : self.starts[i + 1]]
+
+
+@dataclass(frozen=True)
+class Weights:
+    """What makes an impact of a posting: each code's weight, the number of documents and of all terms."""
+
+    w: np.ndarray
+    docs: int
+    terms: int
+
+    def impacts(self, n: list[int], counts: np.ndarray, codes: np.ndarray, tfs: np.ndarray) -> np.ndarray:
+        """Of documents of n terms one after the other, with so many codes each."""
+        m = np.repeat(np.array([10 + 90 * x * self.docs // self.terms for x in n], np.int64), counts)
+        return self.w[codes] * (1_000_000_000 * tfs // (1000 * tfs + 8 * m))
+
+
+def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, n (terms with repeats), codes, tfs: which of the terms each document has, and how often."""
+    held = docs.sparkSession.sparkContext.broadcast({x.encode(): i for i, x in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if held is None else held.value.__contains__
+        code = held.value
         for batch in batches:
-            sizes, terms, tfs = [], [], []
+            sizes, codes, tfs = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 n, own = 0, Counter()
                 for piece in _pieces(text):
                     words = _FIND(piece.lower())
                     n += len(words)
-                    own.update(filter(wanted, words))  # None keeps all: no word is empty
+                    own.update(filter(code.__contains__, words))
                 sizes.append(n)
-                terms.append(list(own))
+                codes.append([*map(code.__getitem__, own)])
                 tfs.append(list(own.values()))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "terms", "tfs"])
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(codes, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "codes", "tfs"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return plain.mapInArrow(count, "doc_id long, n long, terms array<string>, tfs array<long>")
+    return plain.mapInArrow(count, "doc_id long, n long, codes array<int>, tfs array<int>")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by term, slice and falling impact as blocks; only the list at hand is open."""
-    open_key, number, rows, impacts = None, 0, [], []
+def _flat(rows: pa.Table | pa.RecordBatch, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all codes of the rows (n, codes, tfs): how many each row has, the codes, and their impacts."""
+    column = lambda name: rows.column(name).combine_chunks() if isinstance(rows, pa.Table) else rows.column(name)
+    codes, tfs = column("codes"), column("tfs")
+    counts = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return counts, flat, weights.impacts(rows.column("n").to_pylist(), counts, flat, tfs.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+
 
-    def block(n: int) -> dict:
-        nonlocal number
-        out = {"term": open_key[0], "slice": open_key[1], "block": number, "top": int(impacts[0]), "rows": rows[:n], "impacts": impacts[:n]}
-        number += 1
+def _postings(weights: Weights, slices: np.ndarray):
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, codes, impacts = _flat(batch, weights)
+            rows = np.repeat(batch.column("row").to_numpy(), counts)
+            part = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % slices[codes]
+            on = impacts > 0
+            yield pa.RecordBatch.from_arrays([pa.array(codes[on], pa.int32()), pa.array(part[on], pa.int32()), pa.array(rows[on]), pa.array(impacts[on])], ["code", "slice", "row", "impact"])
+
+    return post
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by code, slice and falling impact as blocks; only the list at hand is open."""
+    names = ["code", "slice", "block", "top", "rows", "impacts"]
+    schema = pa.schema([("code", pa.int32()), ("slice", pa.int32()), ("block", pa.int32()), ("top", pa.int64()), ("rows", pa.list_(pa.int64())), ("impacts", pa.list_(pa.int64()))])
+    key, number, rows, impacts, made = None, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def close(n: int) -> None:
+        nonlocal number, rows, impacts
+        made.append((*key, number, int(impacts[0]), rows[:n], impacts[:n]))
+        number, rows, impacts = number + 1, rows[n:], impacts[n:]
+
+    def sent() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(x, schema.field(n).type) for n, x in zip(names, zip(*made, strict=True), strict=True)], schema=schema)
+        made.clear()
         return out
 
-    names = ["term", "slice", "block", "top", "rows", "impacts"]
-    schema = pa.schema([("term", pa.string()), ("slice", pa.int32()), ("block", pa.int32()), ("top", pa.int64()), ("rows", pa.list_(pa.int64())), ("impacts", pa.list_(pa.int64()))])
-    send = lambda made: pa.RecordBatch.from_arrays([pa.array([x[n] for x in made], schema.field(n).type) for n in names], schema=schema)
     for batch in batches:
-        made = []
-        term, part = batch.column("term"), batch.column("slice").to_numpy()
-        codes = term.dictionary_encode().indices.to_numpy()
-        own_rows, own_impacts = batch.column("row").to_numpy(), batch.column("impact").to_numpy()
-        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (part[1:] != part[:-1])]) if len(codes) else []
-        for a, b in zip(starts, [*starts[1:], len(codes)], strict=True):
-            key = (term[int(a)].as_py(), int(part[a]))
-            if key != open_key:
+        code, part, own_rows, own_impacts = (batch.column(n).to_numpy() for n in ("code", "slice", "row", "impact"))
+        for a, b in _runs(code, part):
+            if key != (code[a], part[a]):
                 if len(rows):
-                    made.append(block(len(rows)))
-                open_key, number, rows, impacts = key, 0, own_rows[:0], own_impacts[:0]
+                    close(len(rows))
+                key, number = (code[a], part[a]), 0
             rows, impacts = np.concatenate([rows, own_rows[a:b]]), np.concatenate([impacts, own_impacts[a:b]])
             while len(rows) >= BLOCK_ROWS:
-                made.append(block(BLOCK_ROWS))
-                rows, impacts = rows[BLOCK_ROWS:], impacts[BLOCK_ROWS:]
+                close(BLOCK_ROWS)
         if made:
-            yield send(made)
+            yield sent()
     if len(rows):
-        yield send([block(len(rows))])
-
-
-def _joined(left: DataFrame, right: DataFrame, on: str, rows: int) -> DataFrame:
-    """left with right, which holds so many rows."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on)
-
-
-def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
-    """The k-th greatest partial score of each item that has so many."""
-    own = Window.partitionBy("item").orderBy(F.desc("score"))
-    return sums.select("item", "score", F.row_number().over(own).alias("n")).where(F.col("n") <= k).where(F.col("n") == k).select("item", F.col("score").alias(name))
+        close(len(rows))
+        yield sent()
+
+
+def threshold(bar: int, tops: np.ndarray) -> int:
+    """The greatest t for which less than t in every list, and no more than its top, adds up to less than bar; 1 at least."""
+    low, high = 0, int(tops.max(initial=0))
+    while low < high:  # the greatest t - 1 of which the sum stays under bar
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if int(np.minimum(middle, tops).sum()) < bar else (low, middle - 1)
+    return low + 1
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What cells judge by: the items, weights, and for each item its bar, its threshold, and what each of its lists adds at most unseen."""
+
+    items: Items
+    weights: Weights
+    bars: list[int]
+    thresholds: list[int]
+    caps: list[np.ndarray]
+    k: int
+
+
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Beginnings and ends of the runs of equal keys."""
+    n = len(keys[0])
+    starts = np.flatnonzero(np.r_[True, reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])]).tolist() if n else []
+    return list(zip(starts, [*starts[1:], n], strict=False))
+
+
+def _by_code(codes: np.ndarray, at: np.ndarray, impacts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    order = np.argsort(codes, kind="stable")
+    codes, at, impacts = codes[order], at[order], impacts[order]
+    return {int(codes[a]): (at[a:b], impacts[a:b]) for a, b in _runs(codes)}
+
+
+def judged(plan: Plan, sent: pa.Table, own: pa.Table) -> pa.Table:
+    """The second and third phase in one cell: sent (code, row, impact) are the postings that arrived, own (row, doc_id, n, codes, tfs) its documents."""
+    rows, doc_ids = own.column("row").to_numpy(), own.column("doc_id")
+    first, out = (int(rows.min()) if len(rows) else 0), []
+    width = int(rows.max()) - first + 1 if len(rows) else 0
+    place = np.zeros(width, np.int64)
+    place[rows - first] = np.arange(len(rows))
+    arrived = _by_code(sent.column("code").to_numpy(), sent.column("row").to_numpy() - first, sent.column("impact").to_numpy())
+    held = None
+    for i in range(len(plan.items.ids)):
+        codes, least = plan.items.of_item(i), plan.thresholds[i]
+        reach = np.full(width, int(plan.caps[i].sum()))
+        touched = np.zeros(width, bool)
+        for code, cap in zip(codes.tolist(), plan.caps[i].tolist(), strict=True):
+            if code in arrived:
+                at, impacts = arrived[code]
+                n = int(np.searchsorted(-impacts, -least, side="right"))  # they come in falling order
+                reach[at[:n]] += impacts[:n] - cap
+                touched[at[:n]] = True
+        left = np.flatnonzero(touched & (reach >= plan.bars[i]))
+        if not len(left):
+            continue
+        if held is None:
+            counts, flat, impacts = _flat(own, plan.weights)
+            held = _by_code(flat, np.repeat(rows - first, counts), impacts)
+        exact = np.zeros(width, np.int64)
+        for code in codes.tolist():
+            if code in held:
+                exact[held[code][0]] += held[code][1]
+        left = left[exact[left] >= max(plan.bars[i], 1)]
+        ids = [doc_ids[int(x)].as_py() for x in place[left]]
+        best = sorted(zip((-exact[left]).tolist(), [(x is not None, x or 0) for x in ids], ids, (left + first).tolist(), strict=True))[: plan.k]
+        out += [(i, row, doc_id, -score) for score, _, doc_id, row in best]
+    names, types = ["item", "row", "doc_id", "score"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
+
+
+def _first(sums: DataFrame, k: int) -> DataFrame:
+    """The k rows of greatest score of each item, with their place n."""
+    own = Window.partitionBy("item").orderBy(F.desc("score"), "row")
+    return sums.withColumn("n", F.row_number().over(own)).where(F.col("n") <= k)
+
+
+def _search(docs: DataFrame, items: Items, k: int) -> DataFrame:
+    spark = docs.sparkSession
+    forward = materialise(counted(docs, items.terms).where("n > 0").withColumn("row", F.monotonically_increasing_id()), "forward")
+    total = forward.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(1)).alias("terms")).first()
+    df = np.zeros(len(items.terms), np.int64)
+    for r in forward.select(F.explode("codes").alias("code")).groupBy("code").count().collect():  # a row for each of the items' terms
+        df[r.code] = r["count"]
+    weights = Weights(np.floor(1000 * np.log((2 * total.docs + 2) / (2 * df + 1))).astype(np.int64), total.docs, total.terms)
+    slices = np.maximum(1, -(-df // SLICE_ROWS))
+    dealt = forward.select("row", "n", "codes", "tfs").mapInArrow(_postings(weights, slices), "code int, slice int, row long, impact long").repartition("code", "slice")
+    blocks = materialise(dealt.sortWithinPartitions("code", "slice", F.desc("impact")).mapInArrow(_blocks, "code int, slice int, block int, top long, rows array<long>, impacts array<long>"), "blocks")
+
+    query = F.broadcast(spark.createDataFrame([(i, int(c)) for i in range(len(items.ids)) for c in items.of_item(i)], "item int, code int"))
+    heads = blocks.where("block = 0").select("code", F.explode(F.arrays_zip(F.slice("rows", 1, k).alias("row"), F.slice("impacts", 1, k).alias("impact"))).alias("x")).select("code", "x.*")
+    heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("impact"), "row"))).where(F.col("n") <= k)
+    sums = heads.join(query, "code").groupBy("item", "row").agg(F.sum("impact").alias("score"))
+    probes = materialise(_first(sums, PROBES * k).select("item", "row"), "probes")  # PROBES * k an item at most
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, codes, impacts = _flat(batch, weights)
+            ends = np.cumsum(counts)
+            wanted = batch.column("item").to_pylist()
+            scores = [int(impacts[e - n : e][np.isin(codes[e - n : e], items.of_item(i))].sum()) for i, e, n in zip(wanted, ends, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("row"), pa.array(scores, pa.int64())], ["item", "row", "score"])
+
+    known = forward.join(F.broadcast(probes), "row").select("item", "row", "n", "codes", "tfs").mapInArrow(look_up, "item int, row long, score long")
+    bars = {r["item"]: r.score for r in _first(known, k).where(F.col("n") == k).collect()}
+    tops = np.zeros(len(items.terms), np.int64)
+    for r in blocks.groupBy("code").agg(F.max("top").alias("top")).collect():
+        tops[r.code] = r.top
+    bar = [bars.get(i, 0) for i in range(len(items.ids))]
+    least = [threshold(bar[i], tops[items.of_item(i)]) for i in range(len(items.ids))]
+    plan = Plan(items, weights, bar, least, [np.minimum(least[i] - 1, tops[items.of_item(i)]) for i in range(len(items.ids))], k)
+    start = np.full(len(items.terms), np.iinfo(np.int64).max)
+    for i, t in enumerate(least):
+        np.minimum.at(start, items.of_item(i), t)
+
+    cut = F.broadcast(spark.createDataFrame([(c, int(t)) for c, t in enumerate(start)], "code int, from long"))
+    opened = blocks.join(cut, "code").where(F.col("top") >= F.col("from")).select("code", "from", F.explode(F.arrays_zip("rows", "impacts")).alias("x"))
+    cell = lambda row: F.shiftright(row, CELL_BITS).alias("cell")
+    sent = opened.where(F.col("x.impacts") >= F.col("from")).select("code", F.col("x.rows").alias("row"), F.col("x.impacts").alias("impact"), cell(F.col("x.rows")))
+    held = spark.sparkContext.broadcast(plan)
+    own = forward.select("row", "doc_id", "n", "codes", "tfs", cell(F.col("row")))
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        # in falling order of impact within a code, as the lists have it
+        return judged(held.value, left.sort_by([("code", "ascending"), ("impact", "descending")]), right)
+
+    found = sent.groupBy("cell").cogroup(own.groupBy("cell")).applyInArrow(judge, "item int, row long, doc_id long, score long")
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"), "row")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    names = F.broadcast(spark.createDataFrame(list(enumerate(items.ids)), "item int, item_id long"))
+    return ranked.join(names, "item").select("item_id", "rank", "doc_id", "score")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
@@ -134,55 +317,13 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     Null and empty texts have no terms: such items have no rows and such documents are in none.  Rows of one item_id (null too) are one item with the terms
     of all; rows of one doc_id (null too) are documents of their own, null before others in ties.  Columns other than these are left out.
     """
-    query = materialise(items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(text_terms(F.col("text").cast("string"))).alias("term")).distinct(), "terms")
-    names = materialise(query.select("item_id").distinct().coalesce(1).select(F.monotonically_increasing_id().alias("item"), "item_id"), "items")
-    named = names.withColumnRenamed("item_id", "own")
-    query = query.join(named, F.col("item_id").eqNullSafe(F.col("own"))).select("item", "term")
-    vocabulary = query.select("term").distinct()
-    rows = vocabulary.limit(HELD_TERMS + 1).count()
-    known = {r.term for r in vocabulary.toLocalIterator()} if rows <= HELD_TERMS else None
-
-    forward = materialise(counted(docs, known).where("n > 0").withColumn("row", F.monotonically_increasing_id()), "forward")
-    total = forward.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(1)).alias("terms")).first()
-    each = forward.select("row", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("row", "n", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-    if known is None:
-        each = each.join(vocabulary, "term", "left_semi")
-    weight = F.floor(1000 * F.log((2.0 * total.docs + 2) / (2 * F.col("df") + 1)))
-    weights = materialise(each.groupBy("term").agg(F.count("*").alias("df")).select("term", weight.cast("long").alias("w"), F.ceil(F.col("df") / SLICE_ROWS).alias("slices")), "weights")
-    m = F.expr(f"10 + ((90 * n * {total.docs}L) div {total.terms}L)")
-    impact = F.col("w") * F.expr("(1000000000 * tf) div (1000 * tf + 8 * m)")
-    adding = _joined(each, weights, "term", rows).withColumn("m", m).withColumn("impact", impact).where("impact > 0")
-
-    dealt = adding.select("term", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int").alias("slice"), "row", "impact").repartition("term", "slice")
-    blocks = materialise(dealt.sortWithinPartitions("term", "slice", F.desc("impact")).mapInArrow(_blocks, "term string, slice int, block int, top long, rows array<long>, impacts array<long>"), "blocks")
-    postings = lambda b, *own: b.select("term", *own, F.explode(F.arrays_zip("rows", "impacts")).alias("x")).select("term", *own, F.col("x.rows").alias("row"), F.col("x.impacts").alias("impact"))
-
-    query = materialise(_joined(query, weights.select("term"), "term", rows), "query")
-    pairs = query.count()
-    lists = query.groupBy("item").agg(F.count("*").alias("lists"))
-
-    heads = blocks.where("block = 0").select("term", F.slice("rows", 1, k).alias("rows"), F.slice("impacts", 1, k).alias("impacts"))
-    first = _joined(postings(heads), query, "term", pairs).groupBy("item", "row").agg(F.sum("impact").alias("score"))
-    bounds = lists.join(_kth(first, k, "bound"), "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
-    bounds = materialise(bounds.withColumn("least", F.greatest(F.lit(1), F.expr("(bound + lists - 1) div lists"))), "bounds")
-    n_items = names.count()
-
-    wanted = materialise(_joined(query, bounds.select("item", "least"), "item", n_items), "thresholds")
-    cut = wanted.groupBy("term").agg(F.min("least").alias("from"))
-    opened = _joined(blocks, cut, "term", rows).where(F.col("top") >= F.col("from"))
-    sent = _joined(postings(opened, "from").where("impact >= from").drop("from"), wanted, "term", pairs).where("impact >= least")
-    seen = materialise(sent.groupBy("item", "row").agg(F.sum("impact").alias("score"), F.count("*").alias("seen")), "seen")
-    limits = bounds.join(_kth(seen, k, "raised"), "item", "left").select("item", "lists", "least", F.greatest("bound", F.coalesce("raised", F.lit(0))).alias("bound"))
-    reach = F.col("score") + (F.col("lists") - F.col("seen")) * (F.col("least") - 1)
-    left = materialise(_joined(seen, limits, "item", n_items).where(reach >= F.col("bound")).select("item", "row"), "candidates")
-
-    looked_up = _joined(forward, left, "row", left.count()).select("item", "row", "doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
-    looked_up = looked_up.select("item", "row", "doc_id", "n", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-    own = query.select(F.col("item").alias("its"), F.col("term").alias("word"))
-    looked_up = looked_up.join(F.broadcast(own) if pairs <= BROADCAST_ROWS else own, (F.col("item") == F.col("its")) & (F.col("term") == F.col("word")))
-    exact = _joined(looked_up, weights, "term", rows).withColumn("m", m).groupBy("item", "row", "doc_id").agg(F.sum(impact).alias("score")).where("score > 0")
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))).cast("int")).where(F.col("rank") <= k)
-    return _joined(ranked, names, "item", n_items).select("item_id", "rank", "doc_id", "score")
+    terms = F.explode(text_terms(F.col("text").cast("string"))).alias("term")
+    query = materialise(items.select(F.col("item_id").cast("long").alias("item_id"), terms).distinct(), "terms")
+    parts = max(1, -(-query.count() // PAIRS))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    own = [Items.of([(r.item_id, r.term) for r in query.where(part == i).collect()]) for i in range(parts)]
+    found = [_search(docs, x, k) for x in own if x.ids]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

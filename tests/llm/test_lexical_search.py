@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ DOCS = [(1, "Alpha beta"), (2, "alpha ALPHA gamma"), (2, "alpha alpha gamma"), (
 ITEMS = [(1, "alpha BETA alpha"), (2, "über 12"), (3, None), (4, "nowhere"), (5, ""), (1, "delta"), (None, "gamma é"), (6, "delta beta alpha gamma straße")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"BLOCK_ROWS": 2, "SLICE_ROWS": 2, "PIECE_BYTES": 64}, {"HELD_TERMS": 1, "BROADCAST_ROWS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_ROWS": 2, "SLICE_ROWS": 2, "PIECE_BYTES": 64, "CELL_BITS": 1}, {"PAIRS": 3}])
 @pytest.mark.parametrize("k", [1, 3])
 def test_edges_against_brute_force(spark, monkeypatch, limits, k):
     for name, value in limits.items():
@@ -56,6 +58,7 @@ def test_edges_against_brute_force(spark, monkeypatch, limits, k):
 def test_random_tables_with_hot_terms_and_ties(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK_ROWS", 16)
     monkeypatch.setattr(L, "SLICE_ROWS", 64)
+    monkeypatch.setattr(L, "CELL_BITS", 6)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
     weights = [1 / (1 + i) for i in range(60)]
@@ -64,15 +67,29 @@ def test_random_tables_with_hot_terms_and_ties(spark, monkeypatch):
     assert found(spark, docs, items) == brute(docs, items)
 
 
-def test_thresholds_keep_most_postings_unsent(spark, monkeypatch):
-    """What the second phase sends for an item whose passage stands in documents is far less than its lists."""
-    kept = {}
-    whole = L.materialise
-    monkeypatch.setattr(L, "materialise", lambda df, name: kept.setdefault(name, whole(df, name)))
-    docs = [(i, "common words everywhere " * (1 + i % 3) + f"rare{i % 200} other{i % 37}") for i in range(2000)] + [(5000 + i, "a very special passage of common words") for i in range(12)]
-    items = [(1, "a very special passage of common words everywhere")]
-    assert found(spark, docs, items) == brute(docs, items)
-    assert kept["seen"].agg(F.sum("seen")).first()[0] < 100 and kept["candidates"].count() == 12
+def test_thresholds(spark):
+    """Under the threshold in every list a document stays under the bar, and no greater one has that."""
+    rng = random.Random(1)
+    for _ in range(200):
+        tops = np.array([rng.randint(1, 50) for _ in range(rng.randint(1, 6))])
+        bar = rng.randint(0, int(tops.sum()))
+        t = L.threshold(bar, tops)
+        assert t == 1 or np.minimum(t - 1, tops).sum() < bar
+        assert np.minimum(t, tops).sum() >= bar or t > tops.max()
+
+
+def test_only_what_reaches_the_bar_is_looked_up():
+    items = L.Items.of([(1, "a"), (1, "b")])
+    weights = L.Weights(np.array([1000, 10]), 10, 100)
+    plan = L.Plan(items, weights, [10**8], [6 * 10**7], [np.array([6 * 10**7 - 1, 10**7])], 2)
+    own = pa.table({"row": [5, 6, 7], "doc_id": [50, None, 70], "n": [10, 10, 10], "codes": pa.array([[0, 1], [1], [0]], pa.list_(pa.int32())), "tfs": pa.array([[3, 1], [9], [1]], pa.list_(pa.int32()))})
+    counts, codes, impacts = L._flat(own, weights)
+    assert impacts.tolist() == [1000 * (3 * 10**9 // (3000 + 8 * 100)), 10 * (10**9 // 1800), 10 * (9 * 10**9 // 9800), 1000 * (10**9 // 1800)]
+    sent = pa.table({"code": [0, 0], "row": [5, 7], "impact": [int(impacts[0]), int(impacts[3])]})
+    got = L.judged(plan, sent, own).to_pylist()
+    assert [(r["doc_id"], r["score"]) for r in got] == [(50, int(impacts[0] + impacts[1])), (70, int(impacts[3]))]
+    none = L.judged(plan, sent.slice(0, 0), own)
+    assert none.num_rows == 0
 
 
 def test_empty_tables(spark):
