@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delve.functions.text import one_line
-from delve.operators import extract, graph, history, mapping, records, search, verify
+from delve.operators import extract, graph, history, mapping, records, search_index, verify
 from delve.sources.files import IndexCache
 from delve.sources.stage import cut
 
@@ -60,6 +60,12 @@ class Tools:
     def references(self) -> DataFrame:
         return self._keep("references", lambda: extract.resolve_references(self.rows, self.files))
 
+    @cached_property
+    def search_index(self) -> search_index.SearchIndex:
+        """Files, symbols and string literals by their terms, built when something is first searched."""
+        key = F.concat_ws("|", "kind", "path", F.coalesce("symbol", F.lit("")), F.coalesce(F.col("line").cast("string"), F.lit("")), F.col("n").cast("string"))
+        return search_index.build(self.documents().withColumn("key", key), "key", by="kind", keep=("path", "symbol", "line", "kind", "n", "snippet"))
+
     def invoke(self, name: str, **args: Any) -> Result:
         self.calls += 1
         evidence = f"e{self.calls}"
@@ -116,13 +122,12 @@ class Tools:
             raise ToolError("unsupported_kind", kind)
         if not query.strip():
             raise ToolError("empty_query", "no terms")
-        key = F.concat_ws("|", "kind", "path", F.coalesce("symbol", F.lit("")), F.coalesce(F.col("line").cast("string"), F.lit("")), F.col("n").cast("string"))
-        docs = self.documents(kind).withColumn("key", key)
-        hits = search.bm25_scores(docs, query, key="key").join(docs, "key")
+        found = search_index.search(self.search_index, self.files.sparkSession.createDataFrame([(0, query)], "q int, text string"), limit, None if kind == "any" else kind, ("path", "symbol", "line", "kind", "n"))
+        hits = cut(found.hits)
         if hits.isEmpty():
             raise ToolError("no_results", query)
-        order = [F.desc("raw"), "path", F.coalesce("symbol", F.lit("")), F.coalesce("line", F.lit(-1)), "kind", "n"]
-        return hits.withColumnRenamed("score", "raw").orderBy(*order).select("path", "symbol", "line", "kind", F.round("raw", 6).alias("score"), one_line(F.col("snippet")).alias("snippet")), limit
+        shown = hits.orderBy("rank").select("path", "symbol", "line", "kind", "score", one_line(F.col("snippet")).alias("snippet"), F.col("truncated").alias("cut"))
+        return shown, limit
 
     def _inspect_symbol(self, target: str):
         """One symbol with its signature and source, or the outline of a file."""
