@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delve.operators.scan import key_at, key_starts, previous
+
 START = "0" * 64
 
 
@@ -16,31 +19,43 @@ def record_hash(previous: Column, payload: Column) -> Column:
 
 
 def chained(records: DataFrame, by: str = "journal") -> DataFrame:
-    """records (by, sequence, payload) with previous and sha256: each log folded whole in order of sequence.  A log is bounded, as in ledger.replay; null payloads count as empty."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sequence")
-        rows["payload"] = rows["payload"].fillna("")
-        links = [START]
-        for payload in rows["payload"]:
-            links.append(hashlib.sha256(f"{links[-1]}\n{payload}".encode()).hexdigest())
-        return rows.assign(previous=links[:-1], sha256=links[1:])
+    """records (by, sequence, payload) with previous and sha256, each log in order of sequence; null payloads count as empty.
 
+    A hash needs the one before, so a log is one task's from first to last; it goes by in sorted batches and none of it is held but the last hash.
+    """
     kind = records.schema[by].dataType.simpleString()
-    return records.select(by, F.col("sequence").cast("long"), "payload").groupBy(by).applyInPandas(fold, f"{by} {kind}, sequence long, payload string, previous string, sha256 string")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, START
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            previous, hashes = [], []
+            for new, payload in zip(key_starts(batch, [by], key).tolist(), batch.column("payload").to_pylist(), strict=True):
+                if new:
+                    last = START
+                previous.append(last)
+                last = hashlib.sha256(f"{last}\n{payload}".encode()).hexdigest()
+                hashes.append(last)
+            key = key_at(batch, [by], batch.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(previous, pa.string()), pa.array(hashes, pa.string())], [*batch.schema.names, "previous", "sha256"])
+
+    rows = records.select(by, F.col("sequence").cast("long"), F.coalesce("payload", F.lit("")).alias("payload"))
+    return rows.repartition(by).sortWithinPartitions(by, "sequence").mapInArrow(link, f"{by} {kind}, sequence long, payload string, previous string, sha256 string")
 
 
 def check_chain(records: DataFrame, by: str = "journal") -> DataFrame:
     """records (by, sequence, previous, payload, sha256) with problem: sequence_gap, duplicate_sequence, broken_link, altered_event or null; the first that holds."""
-    own = Window.partitionBy(by).orderBy("sequence", "sha256")
-    before, number = F.lag("sha256").over(own), F.lag("sequence").over(own)
+    # the row before is looked up by ranges of the order, so a long log is checked by many tasks
+    own = previous(records.withColumnRenamed("previous", "_named"), [by], ["sequence", "sha256"], ["sha256", "sequence"])
+    before, number = F.col("previous_sha256"), F.col("previous_sequence")
     problem = (
         F.when(F.col("sequence") == number, "duplicate_sequence")
         .when(F.col("sequence") != F.coalesce(number + 1, F.lit(0)), "sequence_gap")
-        .when(F.col("previous") != F.coalesce(before, F.lit(START)), "broken_link")
-        .when(F.col("sha256") != record_hash(F.col("previous"), F.col("payload")), "altered_event")
+        .when(F.col("_named") != F.coalesce(before, F.lit(START)), "broken_link")
+        .when(F.col("sha256") != record_hash(F.col("_named"), F.col("payload")), "altered_event")
     )
-    return records.withColumn("problem", problem)
+    return own.withColumn("problem", problem).withColumnRenamed("_named", "previous").select(*records.columns, "problem")
 
 
 def trailing_window(rows: DataFrame, by: str, ts: str, seconds: int, value: str) -> DataFrame:
