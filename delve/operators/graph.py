@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delve.functions.text import path_parts
-from delve.sources.stage import cut
+from delve.sources.stage import cut, numbered
 
 
 def dependency_edges(imports: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
@@ -54,28 +55,115 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 2, src: str = "
 def levels(edges: DataFrame, most: int = 64, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, level: 0 for nodes that depend on none, else one more than the highest of those they depend on.
 
-    A cycle never settles; it is an error after `most` rounds, as a longer chain is.  Use dependency_order for graphs with cycles.
+    Each round takes the nodes whose needs have all been met and lowers the counts of those that need them; edges are written once.  A cycle is an error, as
+    a chain of more than `most` levels is.  Use layered_order for graphs with cycles.
     """
     step = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    left = cut(step.select(F.col("src").alias("node")).union(step.select("dst")).distinct())
-    out = left.limit(0).withColumn("level", F.lit(0))
+    needs = step.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("needs"))
+    nodes = step.select(F.col("dst").alias("node")).distinct()
+    left = cut(nodes.join(needs, "node", "full").select("node", F.coalesce("needs", F.lit(0)).alias("needs")))
+    out = left.limit(0).select("node", F.lit(0).alias("level"))
     for n in range(most):
-        ready = left.join(step.select(F.col("src").alias("node")), "node", "left_anti")
-        left, step = cut(left.join(step.select(F.col("src").alias("node")), "node", "left_semi")), cut(step.join(ready.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-        out = out.unionByName(cut(ready.withColumn("level", F.lit(n))))
+        ready = cut(left.where("needs = 0").select("node", F.lit(n).alias("level")))
+        if ready.isEmpty():
+            break
+        out = out.unionByName(ready)
+        met = step.join(ready.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("met"))
+        left = cut(left.where("needs > 0").join(met, "node", "left").select("node", (F.col("needs") - F.coalesce("met", F.lit(0))).alias("needs")))
         if left.isEmpty():
             return out
+    if left.isEmpty():
+        return out
     raise ValueError(f"no order within {most} levels: the graph has a cycle, or a longer chain")
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges (a, b) that are left when nodes without edges in, or without edges out, go again and again: all cycles are in them."""
+    size = edges.count()
+    while size:
+        kept = cut(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        n = kept.count()
+        edges, before, size = kept, size, n
+        if n == before:
+            break
+    return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component of edges (a, b: long): the nodes that stand on cycles, with the least node of all that reach each other.
+
+    Colours go forward: a node takes the greatest node that reaches it.  Back from that node, within its colour, all that is met is one component.  Components
+    go, what is left is coloured anew.  Each round is written; rounds grow with the longest shortest path.
+    """
+    left, found = _trimmed(cut(edges.where("a <> b").select("a", "b").distinct())), None
+    while not left.isEmpty():
+        colours = cut(left.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))  # after trimming every node has an edge out
+        moved = colours
+        while not moved.isEmpty():
+            offers = left.join(moved.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("offer"))
+            moved = cut(offers.join(colours, "node").where("offer > colour").select("node", F.col("offer").alias("colour")))
+            colours = cut(colours.join(moved.withColumnRenamed("colour", "new"), "node", "left").select("node", F.coalesce("new", "colour").alias("colour")))
+        own = left.join(colours.select(F.col("node").alias("a"), "colour"), "a").join(colours.select(F.col("node").alias("b"), F.col("colour").alias("other")), "b")
+        own = cut(own.where("colour = other").select("a", "b"))
+        met = front = cut(colours.where("node = colour"))
+        while not front.isEmpty():
+            back = own.join(front.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "colour").distinct()
+            front = cut(back.join(met, "node", "left_anti"))
+            met = cut(met.unionByName(front))
+        found = met if found is None else found.unionByName(met)
+        gone = met.select("node")
+        left = _trimmed(cut(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")))
+    if found is None:
+        return edges.limit(0).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    least = found.groupBy("colour").agg(F.min("node").alias("component"))
+    return cut(found.join(least, "colour").select("node", "component"))
+
+
+def layered_order(groups: DataFrame, edges: DataFrame, most: int = 256) -> DataFrame:
+    """group, position, node, level, component: each group's nodes (group, node), dependencies before dependents, over its induced subgraph, of any size.
+
+    Nodes that need each other are one component, named by its least node in path order.  Components have levels as in levels(); the order goes by
+    level, component and path, so that it depends on nothing else.  edges: src needs dst.
+    """
+    parts = path_parts(F.col("node"))
+    placed = numbered(groups.select("group", "node").distinct().withColumn("_parts", parts), "id", "group", "_parts").drop("_parts")
+    known = cut(placed.select("group", "node", "id"))
+    inner = edges.select("src", "dst").distinct().join(known.select("group", F.col("node").alias("src"), F.col("id").alias("a")), "src")
+    target = known.select(F.col("group").alias("other"), F.col("node").alias("target"), F.col("id").alias("b"))
+    inner = inner.join(target, F.col("group").eqNullSafe(F.col("other")) & (F.col("dst") == F.col("target"))).select("a", "b").where("a <> b")
+    inner = cut(inner)
+    strong = strong_components(inner)
+    name = lambda c: strong.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    condensed = inner.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_component", "a").alias("src"), F.coalesce("b_component", "b").alias("dst")).where("src <> dst")
+    level = levels(condensed, most).withColumnRenamed("node", "component")
+    own = known.join(strong.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(level, "component", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    ordered = cut(numbered(own, "place", "group", "level", "component", "id"))
+    first = ordered.groupBy(F.col("group").alias("_group")).agg(F.min("place").alias("first"))
+    named = known.select(F.col("id").alias("component"), F.col("node").alias("component_node"))
+    out = ordered.join(first, F.col("group").eqNullSafe(F.col("_group"))).join(named, "component")
+    return out.select("group", (F.col("place") - F.col("first")).alias("position"), "node", "level", F.col("component_node").alias("component"))
+
+
 def _order(nodes: Iterable[str], pairs: set[tuple[str, str]]) -> list[str]:
     """Dependencies first, level by level; when a cycle blocks all, the least node that can reach itself goes next."""
     key = lambda x: x.split("/")
     needs: dict[str, set[str]] = {n: set() for n in nodes}
+    users: dict[str, list[str]] = {n: [] for n in needs}
     for a, b in pairs:
-        if a in needs and a != b:
+        if a in needs and b in needs and a != b:
             needs[a].add(b)
-    out: list[str] = []
+            users[b].append(a)
+
+    def take(n: str) -> list[str]:
+        """n is done: those that wait for nothing more."""
+        del needs[n]
+        free = []
+        for user in users[n]:
+            if user in needs:
+                needs[user].discard(n)
+                if not needs[user]:
+                    free.append(user)
+        return free
 
     def on_cycle(n: str) -> bool:
         stack, seen = list(needs[n]), set()
@@ -83,20 +171,27 @@ def _order(nodes: Iterable[str], pairs: set[tuple[str, str]]) -> list[str]:
             x = stack.pop()
             if x == n:
                 return True
-            if x not in seen:
+            if x in needs and x not in seen:
                 seen.add(x)
-                stack += needs.get(x, ())
+                stack += needs[x]
         return False
 
-    cyclic = any(map(on_cycle, needs))
+    out: list[str] = []
+    layers, ready = [], sorted((n for n, d in needs.items() if not d), key=key)
+    whole = {n: set(d) for n, d in needs.items()}
+    while ready:  # level by level, as long as nothing is blocked
+        layers += ready
+        ready = sorted((x for n in ready for x in take(n)), key=key)
+    if not needs:
+        return layers
+    needs = whole
+    heap = [(key(n), n) for n, d in needs.items() if not d]
+    heapify(heap)
     while needs:
-        ready = sorted((n for n, d in needs.items() if not d), key=key)
-        batch = ready[:1] if cyclic and ready else ready or [min(filter(on_cycle, needs), key=key)]
-        out += batch
-        for n in batch:
-            del needs[n]
-        for d in needs.values():
-            d.difference_update(batch)
+        n = heappop(heap)[1] if heap else next(filter(on_cycle, sorted(needs, key=key)))
+        out.append(n)
+        for x in take(n):
+            heappush(heap, (key(x), x))
     return out
 
 

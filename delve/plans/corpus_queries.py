@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from delve.operators import renames, search_index
+from delve.operators import graph, renames, search_index
 from delve.plans.registry import query, read
 
 _TERMS = r"list_transform(regexp_extract_all(regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[A-Za-z0-9]+'), lambda x: lower(x))".format("text")
@@ -63,3 +64,21 @@ def renamed_files(spark, d):
     late = F.expr("substr(text, length(text) div 3 + 1)")
     content = F.when(moved == 5, F.regexp_replace("text", r"^[^\n]*\n", "")).when(moved == 15, late).when(n == 6, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
     return renames.renamed(base, docs.where(n != 4).select(path.alias("path"), content.alias("content")))
+
+
+@query(
+    """with recursive nodes as (select p_brand || '/' || p_size % 2 as g, 'p' || p_partkey as node from part), steps as (select 'p' || l_partkey as src, 'p' || lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem),
+    e as (select distinct a.g, src, dst from steps join nodes a on a.node = src join nodes b on b.node = dst and b.g = a.g where src <> dst),
+    reach as (select src as a, dst as b from e union select reach.a, e.dst from reach join e on e.src = reach.b),
+    comp as (select n.g, n.node, coalesce(least(n.node, min(r.b)), n.node) as component from nodes n left join (select x.a, x.b from reach x join reach y on x.a = y.b and x.b = y.a) r on r.a = n.node group by n.g, n.node),
+    ce as (select distinct x.component as src, y.component as dst from e join comp x on x.node = e.src join comp y on y.node = e.dst where x.component <> y.component),
+    depth as (select distinct component, 0 as d from comp union select ce.src, depth.d + 1 from depth join ce on ce.dst = depth.component),
+    lv as (select component, max(d) as level from depth group by component)
+    select g as "group", row_number() over (partition by g order by level, component, node) - 1 as position, node, cast(level as int) as level, component from comp join lv using (component)"""
+)
+def component_order(spark, d):
+    """Parts of a brand and of even or odd size, each needing the part that follows it in an order: components of parts that need each other, and the levels between them."""
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    part = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    steps = read(spark, d, "lineitem").select(part(F.col("l_partkey")).alias("src"), part(F.lead("l_partkey").over(own)).alias("dst")).where("dst is not null")
+    return graph.layered_order(read(spark, d, "part").select(F.concat_ws("/", "p_brand", (F.col("p_size") % 2).cast("string")).alias("group"), part(F.col("p_partkey")).alias("node")), steps)
