@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from delve.operators import graph, renames, search_index
+from delve.operators import graph, journal, renames, search_index
 from delve.plans.registry import query, read
+from delve.sources import journal as journal_source
+from delve.sources.stage import numbered, stage_dir
 
 _TERMS = r"list_transform(regexp_extract_all(regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[A-Za-z0-9]+'), lambda x: lower(x))".format("text")
 
@@ -82,3 +84,15 @@ def component_order(spark, d):
     part = lambda c: F.concat(F.lit("p"), c.cast("string"))
     steps = read(spark, d, "lineitem").select(part(F.col("l_partkey")).alias("src"), part(F.lead("l_partkey").over(own)).alias("dst")).where("dst is not null")
     return graph.layered_order(read(spark, d, "part").select(F.concat_ws("/", "p_brand", (F.col("p_size") % 2).cast("string")).alias("group"), part(F.col("p_partkey")).alias("node")), steps)
+
+
+@query("select row_number() over (order by event_id) - 1 as sequence, props as payload, (row_number() over (order by event_id) - 1) // 4000 as append, null::varchar as problem from events")
+def journal_sink(spark, d):
+    """All events appended to one journal in batches of 4,000, each going on from the tail of the one before; read back and checked."""
+    path = f"{stage_dir(spark)}/journal"
+    rows = numbered(read(spark, d, "events").select("event_id", F.col("props").alias("payload")), "sequence", "event_id")
+    for first in range(0, rows.count(), 4000):
+        journal_source.append(rows.where(F.col("sequence").between(first, first + 3999)), path)
+    log = journal_source.load(spark, path).withColumn("journal", F.lit(0))
+    checked = journal.check_chain(log.select("journal", "sequence", "previous", "payload", "sha256", "segment"))
+    return checked.select("sequence", "payload", F.expr("cast(regexp_extract(segment, '([0-9]+)', 1) as long) div 4000").alias("append"), "problem")
