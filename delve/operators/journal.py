@@ -100,25 +100,29 @@ def accounting(events: DataFrame) -> DataFrame:
         if name not in events.columns:
             events = events.withColumn(name, F.lit(None).cast(kind_))
     kind = lambda k: F.col("kind") == k
-    attempts = events.where("attempt is not null").groupBy("task", "attempt").agg(
+    last = F.when(F.col("kind").isin("completed", "failed", "stopped"), F.col("sequence"))
+    # one pass: what events say of their attempt, or of their task where they name none
+    attempts = events.groupBy("task", "attempt").agg(
         F.max(F.when(kind("reserved"), F.col("tokens"))).alias("reserved"),
         F.max(F.when(kind("observed"), F.col("tokens"))).alias("observed"),
-        (F.countDistinct(F.when(kind("observed"), F.col("tokens"))) > 1).alias("conflict"),
+        (F.max(F.when(kind("observed"), F.col("tokens"))) != F.min(F.when(kind("observed"), F.col("tokens")))).alias("conflict"),
         F.coalesce(F.bool_and(F.when(kind("observed"), F.col("consistent"))), F.lit(True)).alias("adds_up"),
         F.bool_or(kind("settled")).alias("settled"),
+        F.max(F.when(last.isNotNull(), F.struct("sequence", "kind", "reason"))).alias("end"),
     )
-    sums = attempts.groupBy("task").agg(
-        F.count("*").alias("attempts"),
-        F.sum(F.coalesce("reserved", F.lit(0))).alias("reserved"),
-        F.sum(F.coalesce("observed", F.lit(0))).alias("observed"),
-        F.sum(F.coalesce("observed", "reserved", F.lit(0))).alias("charged"),
-        F.count_if("conflict").alias("conflicts"),
-        F.count_if(F.col("observed").isNull()).alias("unknown"),
-        F.bool_and("settled").alias("all_settled"),
-        F.bool_and(F.col("adds_up") & F.col("observed").isNotNull()).alias("known"),
-    )
-    last = F.when(F.col("kind").isin("completed", "failed", "stopped"), F.col("sequence"))
-    ends = events.groupBy("task").agg(F.max_by(F.struct("kind", "reason"), last).alias("end")).select("task", F.col("end.kind").alias("end"), F.col("end.reason").alias("why"))
+    own = F.col("attempt").isNotNull()
+    total = lambda x: F.sum(F.when(own, x))
+    ends = attempts.groupBy("task").agg(
+        F.count_if(own).alias("attempts"),
+        total(F.coalesce("reserved", F.lit(0))).alias("reserved"),
+        total(F.coalesce("observed", F.lit(0))).alias("observed"),
+        total(F.coalesce("observed", "reserved", F.lit(0))).alias("charged"),
+        F.count_if(own & F.coalesce("conflict", F.lit(False))).alias("conflicts"),
+        F.count_if(own & F.col("observed").isNull()).alias("unknown"),
+        F.bool_and(F.when(own, F.col("settled"))).alias("all_settled"),
+        F.bool_and(F.when(own, F.col("adds_up") & F.col("observed").isNotNull())).alias("known"),
+        F.max("end").alias("last"),
+    ).withColumns({"end": F.col("last.kind"), "why": F.col("last.reason")})
     conflicted = F.coalesce("conflicts", F.lit(0)) > 0
     complete = F.col("end") == "completed"
     unsettled, uncertain = complete & ~F.coalesce("all_settled", F.lit(True)), complete & ~F.coalesce("known", F.lit(True))
@@ -137,7 +141,7 @@ def accounting(events: DataFrame) -> DataFrame:
         .when(complete, "task_finished")
         .otherwise(F.col("why"))
     )
-    out = ends.join(sums, "task", "left").withColumns({"status": status, "reason": reason})
+    out = ends.withColumns({"status": status, "reason": reason})
     counts = ("attempts", "reserved", "observed", "charged", "conflicts", "unknown")
     return out.select("task", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), "status", "reason")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from delve.operators.metrics import ratio
+from delve.sources.stage import numbered
 
 # ingest and constraints
 
@@ -273,8 +274,9 @@ CATEGORY_ORDER = ("missing_predicted", "missing_test", "stale_caller", "unexpect
 
 
 def finding_cards(findings: DataFrame) -> DataFrame:
-    """findings (path, category) in the order of the view."""
-    return findings.orderBy(F.coalesce(F.array_position(F.array(*map(F.lit, CATEGORY_ORDER)), F.col("category")), F.lit(99)), "path")
+    """findings (path, category) in the order of the view, with rank, from 1 on."""
+    placed = findings.withColumn("_place", F.coalesce(F.array_position(F.array(*map(F.lit, CATEGORY_ORDER)), F.col("category")), F.lit(99)))
+    return numbered(placed, "rank", "_place", "path").withColumn("rank", F.col("rank") + 1).drop("_place").orderBy("rank")
 
 
 def ledger_columns(ledger: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from delve.functions import text as T
-from delve.operators import graph, history, journal, mapping, metrics, search, selection, verify
+from delve.operators import graph, history, journal, mapping, metrics, search, search_index, selection, verify
 from delve.plans.registry import QUERIES, SQL, query, read
 from delve.streaming import ledger, windows
 
@@ -19,8 +19,8 @@ _TERMS = r"list_transform(regexp_extract_all(regexp_replace(regexp_replace({0},
 
 @query(f"select doc_id, term, count(*) as tf from (select doc_id, unnest({_TERMS.format('text')}) as term from documents) group by doc_id, term")
 def tokenize_terms(spark, d):
-    docs = read(spark, d, "documents")
-    return docs.select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    docs = read(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("terms"))
+    return search_index.term_counts(docs, "terms", "counts").select("doc_id", F.inline("counts")).withColumn("tf", F.col("tf").cast("long"))
 
 
 def _bm25_sql(by: str = "") -> str:
@@ -143,7 +143,7 @@ def fan_in(spark, d):
 
 @query(
     """with e as (select distinct 's' || l_suppkey as s, 'p' || l_partkey as p from lineitem),
-    b as (select s as a, p as b from e union select p, s from e), st as (select distinct s as start from e),
+    b as (select s as a, p as b from e union select p, s from e), st as (select distinct 's' || l_suppkey as start from lineitem where l_suppkey % 100 = 0),
     d1 as (select distinct st.start, b.b as node, 1 as depth from st join b on b.a = st.start),
     d2 as (select distinct d1.start, b.b as node, 2 as depth from d1 join b on b.a = d1.node)
     select start, node, min(depth) as depth from (select * from d1 union all select * from d2) where node <> start group by start, node"""
@@ -152,7 +152,8 @@ def neighbours(spark, d):
     items = read(spark, d, "lineitem")
     edges = items.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.neighbours(both, edges.select(F.col("src").alias("start")).distinct(), 2)
+    starts = items.where("l_suppkey % 100 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("start"))  # the searches, each against all edges
+    return graph.neighbours(both, starts, 2)
 
 
 def _keys(spark, d) -> DataFrame:
@@ -277,7 +278,7 @@ def _rankings(spark, d) -> tuple[DataFrame, DataFrame]:
 _RANK_SQL = """with r as (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) as n from documents), k as (select source, {k} as k from documents group by source),
     g as (select d.source, d.doc_id from documents d join labels l using (doc_id) where l.quality = 1), gn as (select source, count(*) as gold from g group by source),
     h as (select r.source, k.k, count(*) filter (where r.n <= k.k) as predicted, count(g.doc_id) filter (where r.n <= k.k) as hit, count(g.doc_id) filter (where r.n <= 5) as h5, count(g.doc_id) filter (where r.n <= 10) as h10, min(r.n) filter (where g.doc_id is not null) as first
-      from r join k using (source) left join g on g.doc_id = r.doc_id where r.n <= 50 group by r.source, k.k),
+      from r join k using (source) left join g on g.doc_id = r.doc_id group by r.source, k.k),
     m as (select h.*, coalesce(hit / nullif(predicted, 0), 0) as p, coalesce(hit / nullif(gold, 0), 0) as rc, gold from h left join gn using (source))
     select source, round(p, 6) as precision, round(rc, 6) as recall, round(coalesce(2 * p * rc / nullif(p + rc, 0), 0), 6) as f1, round(coalesce(h5 / nullif(gold, 0), 0), 6) as recall_at_5, round(coalesce(h10 / nullif(gold, 0), 0), 6) as recall_at_10,
     round(coalesce(1 / first, 0), 6) as mrr, predicted - hit as false_positives"""
@@ -520,11 +521,12 @@ def accounting(spark, d):
     own = [F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("attempt")]
 
     def event(kind, tokens, where=None):
-        rows = lines.where(where) if where else lines
-        return rows.select(*own, F.lit(0).alias("sequence"), F.lit(kind).alias("kind"), tokens.cast("long").alias("tokens"), F.lit(None).cast("string").alias("reason"), (F.col("l_quantity") < 50).alias("consistent"))
+        made = F.struct(F.lit(kind).alias("kind"), tokens.cast("long").alias("tokens"))
+        return F.when(F.expr(where), made) if where else made
 
-    events = event("reserved", n).unionByName(event("observed", n - 1, "l_discount > 0.005")).unionByName(event("observed", n + 5, "l_tax > 0.075 and l_discount > 0.085"))
-    events = events.unionByName(event("settled", F.lit(None), "l_returnflag <> 'R' or l_quantity > 10"))
+    told = F.array_compact(F.array(event("reserved", n), event("observed", n - 1, "l_discount > 0.005"), event("observed", n + 5, "l_tax > 0.075 and l_discount > 0.085"), event("settled", F.lit(None), "l_returnflag <> 'R' or l_quantity > 10")))
+    events = lines.select(*own, F.lit(0).alias("sequence"), F.explode(told).alias("e"), (F.col("l_quantity") < 50).alias("consistent"))
+    events = events.select("task", "attempt", "sequence", "e.kind", "e.tokens", F.lit(None).cast("string").alias("reason"), "consistent")
     why = F.when(F.col("o_orderpriority") == "1-URGENT", "token_limit").when(F.col("o_orderpriority") == "2-HIGH", "execution_interrupted").otherwise("provider_error")
     ends = read(spark, d, "orders").where("o_orderstatus in ('F', 'O')").join(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
     ends = ends.select(F.col("o_orderkey").alias("task"), F.lit(None).cast("int").alias("attempt"), F.lit(1).alias("sequence"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("stopped").alias("kind"), F.lit(None).cast("long").alias("tokens"), F.when(F.col("o_orderstatus") == "O", why).alias("reason"), F.lit(None).cast("boolean").alias("consistent"))

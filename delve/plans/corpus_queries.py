@@ -9,6 +9,7 @@ from delve.operators import graph, journal, renames, search_index
 from delve.plans.registry import query, read
 from delve.sources import journal as journal_source
 from delve.sources.stage import numbered, stage_dir
+from delve.streaming import accounting, windows
 
 _TERMS = r"list_transform(regexp_extract_all(regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[A-Za-z0-9]+'), lambda x: lower(x))".format("text")
 
@@ -96,3 +97,44 @@ def journal_sink(spark, d):
     log = journal_source.load(spark, path).withColumn("journal", F.lit(0))
     checked = journal.check_chain(log.select("journal", "sequence", "previous", "payload", "sha256", "segment"))
     return checked.select("sequence", "payload", F.expr("cast(regexp_extract(segment, '([0-9]+)', 1) as long) div 4000").alias("append"), "problem")
+
+
+# Ten kinds of event of small tasks: a user's events of a thousand, dealt to two attempts.
+_ACCOUNTS = """with kinds as (select ['started', 'request', 'reserved', 'observed', 'metadata', 'settled', 'unknown', 'response', 'stopped', 'finished'] as names),
+    e as (select user_id * 1000000 + event_id // 1000 as task, list_extract(names, cast((event_id // 7 + user_id) % 10 + 1 as int)) as kind, event_id, event_type, value from events cross join kinds),
+    x as (select *, case when kind in ('reserved', 'observed', 'metadata', 'settled', 'unknown') then event_id % 2 + 1 end as attempt, case when kind = 'started' then 40 when kind = 'reserved' then cast(floor(value) as bigint) % 30 when event_id % 9 = 0 then null when event_id % 11 = 0 then 9 else 5 end as tokens,
+      kind in ('observed', 'metadata', 'settled') and event_id % 9 <> 0 and event_id % 13 <> 0 as usable from e),
+    a as (select task, attempt, coalesce(max(tokens) filter (where kind = 'reserved'), 0) as reserved, min(tokens) filter (where usable) as low, max(tokens) filter (where usable) as high,
+      bool_or(kind = 'unknown' or kind in ('observed', 'metadata', 'settled') and not usable or kind = 'settled' and event_id % 17 = 0) as doubt, count(*) filter (where kind = 'settled') as settlements from x where attempt is not null group by task, attempt),
+    s as (select task, count(*) as attempts, sum(reserved) as reserved, sum(coalesce(high, 0)) as observed, sum(case when settlements > 0 and not doubt and low = high then high else greatest(reserved, coalesce(high, 0)) end) as charged,
+      count(*) filter (where low <> high) as conflicts, count(*) filter (where doubt or high is null) as uncertain, count(*) filter (where settlements = 0) as unresolved, count(*) filter (where settlements > 1) as repeated from a group by task),
+    t as (select task, count(*) as events, max(case when kind = 'started' then 40 end) as allocation, count(*) filter (where kind = 'request') - count(*) filter (where kind = 'response') as unanswered,
+      arg_max(kind, event_id) filter (where kind in ('finished', 'stopped')) as end_kind, arg_max(event_type, event_id) filter (where kind in ('finished', 'stopped')) as why from x group by task),
+    j as (select t.*, coalesce(attempts, 0) as attempts, coalesce(reserved, 0) as reserved, coalesce(observed, 0) as observed, coalesce(charged, 0) as charged, coalesce(conflicts, 0) as conflicts, coalesce(uncertain, 0) as uncertain, coalesce(unresolved, 0) as unresolved, coalesce(repeated, 0) as repeated from t left join s using (task))
+    select task, events, cast(allocation as bigint) as allocation, attempts, cast(reserved as bigint) as reserved, cast(observed as bigint) as observed, cast(charged as bigint) as charged, conflicts, uncertain, unresolved, repeated, unanswered, coalesce(charged > allocation, false) as over,
+    case when conflicts > 0 or end_kind = 'finished' and (unresolved > 0 or uncertain > 0 or unanswered <> 0) then 'FAILED' when end_kind = 'finished' then 'COMPLETED' when end_kind is null then 'UNFINISHED' when why = 'view' then 'CENSORED' when why = 'click' then 'INTERRUPTED' else 'FAILED' end as status,
+    case when conflicts > 0 then 'usage_observation_mismatch' when end_kind = 'finished' then case when unresolved > 0 then 'unsettled_attempts' when uncertain > 0 then 'usage_unknown_or_inconsistent' when unanswered <> 0 then 'unanswered_request' else 'task_finished' end
+      when end_kind = 'stopped' then case why when 'view' then 'token_limit' when 'click' then 'execution_interrupted' else why end end as reason from j"""
+
+
+def _account_events(e):
+    kinds = F.array(*map(F.lit, ("started", "request", "reserved", "observed", "metadata", "settled", "unknown", "response", "stopped", "finished")))
+    rows = e.select("event_id", "event_type", "value", F.expr("user_id * 1000000 + event_id div 1000").alias("task"), F.get(kinds, F.expr("cast((event_id div 7 + user_id) % 10 as int)")).alias("kind"))
+    attempt = F.when(F.col("kind").isin("reserved", *accounting.USAGE, "unknown"), (F.col("event_id") % 2 + 1).cast("int"))
+    told = F.when(F.col("event_id") % 9 == 0, None).when(F.col("event_id") % 11 == 0, 9).otherwise(5)
+    tokens = F.when(F.col("kind") == "started", 40).when(F.col("kind") == "reserved", F.floor("value") % 30).otherwise(told)
+    why = F.when(F.col("event_type") == "view", "token_limit").when(F.col("event_type") == "click", "execution_interrupted").otherwise(F.col("event_type"))
+    return rows.select("task", attempt.alias("attempt"), F.col("event_id").alias("sequence"), "kind", tokens.cast("long").alias("tokens"), why.alias("reason"), (F.col("event_id") % 13 != 0).alias("consistent"), (F.col("event_id") % 17 != 0).alias("complete"))
+
+
+@query(_ACCOUNTS)
+def accounts(spark, d):
+    return accounting.accounts(_account_events(read(spark, d, "events")))
+
+
+@query(_ACCOUNTS)
+def accounts_stream(spark, d):
+    """The same as a stream with typed state; of each task the last row stands."""
+    source = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    told = windows.run_available(spark, source, lambda e: accounting.accounts_stream(_account_events(e)), "update")
+    return accounting.latest(told).drop("expired")

@@ -27,9 +27,9 @@ def ingest_tasks(spark, d):
     return kept.select("task_id", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("task_id", "reason"))
 
 
-@query("select c_custkey as task_id from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey as task_id from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def fresh_tasks(spark, d):
-    taken = read(spark, d, "orders").select(F.col("o_custkey").alias("task_id"))
+    taken = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("task_id"))
     return records.without(read(spark, d, "customer").select(F.col("c_custkey").alias("task_id")), taken)
 
 
@@ -282,8 +282,7 @@ def finding_cards(spark, d):
     region = F.col("n_regionkey")
     category = F.when(region == 0, "expected").when(region == 1, "stale_caller").when(region == 2, "adjacent").when(region == 3, "unexpected").otherwise("missing_test")
     cards = records.finding_cards(read(spark, d, "nation").select(F.col("n_name").alias("path"), category.alias("category")))
-    rows = [(i + 1, r.path, r.category) for i, r in enumerate(cards.collect())]  # a view: 25 cards, in their order
-    return spark.createDataFrame(rows, "rank long, path string, category string")
+    return cards.select(F.col("rank").cast("long").alias("rank"), "path", "category")
 
 
 # claims and decisions
