@@ -32,7 +32,7 @@ def _bm25_sql(by: str = "") -> str:
     stats as (select {grp}count(*) as n, avg(len(terms)) as ml from toks group by {by or 'true'}),
     tf as (select doc_id, {grp}len, term, count(*) as tf from (select doc_id, {grp}len(terms) as len, unnest(terms) as term from toks) where term in (select term from q) group by doc_id, {grp}len, term),
     df as (select {grp}term, count(*) as df from tf group by {grp}term),
-    scored as (select c.doc_id, {own}sum(q.times * ln(1 + (s.n - df.df + 0.5) / (df.df + 0.5)) * c.tf * 2.5 / (c.tf + 1.5 * (1 - 0.75 + 0.75 * c.len / s.ml))) as score
+    scored as (select c.doc_id, {own}sum(q.times * ln(1 + (s.n - df.df + 0.5) / (df.df + 0.5)) * c.tf * 2.5 / (c.tf + 1.5 * (1 - 0.75 + 0.75 * c.len / s.ml)) order by term) as score
       from tf c join q using (term) join df using (term{using}) join stats s on true{on} group by c.doc_id, {own[:-2] or 'true'})"""
 
 
