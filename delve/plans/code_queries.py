@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delve.functions import text as T
-from delve.operators import extract, graph, mapping, records, verify
+from delve.operators import extract, graph, mapping, records, table_functions, verify
 from delve.plans.registry import query, read
 from delve.sources import files as sources
 
@@ -59,6 +59,17 @@ def code_symbols(spark, d):
     return extract.symbols(extract.extract_files(_code(spark, d))).select("id", "kind", "first", "last")
 
 
+@query(
+    f"""with {_FILES} select path || '::' || qualname as id, kind, first, last from (select path, 'C' || p as qualname, 'class' as kind, 4 as first, 6 as last from f union all select path, 'C' || p || '.run', 'method', 5, 6 from f
+    union all select path, 'f' || p, 'function', 8, 9 from f union all select path, 'show' || p, 'function', 14, 15 from f where large union all select path, 'helper', 'function', 1, 2 from c)"""
+)
+def code_symbols_sql(spark, d):
+    """The same from SQL text, by a table function."""
+    table_functions.register(spark)
+    _code(spark, d).createOrReplaceTempView("code_files")
+    return spark.sql("SELECT s.id, s.kind, s.first, s.last FROM code_files f, LATERAL python_source(f.path, f.content, 'symbols') s")
+
+
 @query(f"with {_FILES} select path as src, null as dst, 'os' as module, 1 as line from f union all select path, '{COMMON}', 'shop.common', 2 from f")
 def code_imports(spark, d):
     files = _code(spark, d)
