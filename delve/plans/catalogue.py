@@ -590,7 +590,7 @@ def tumbling_stream(spark, d):
     return windows.run_available(spark, _stream(spark, d), windows.tumbling)
 
 
-from delve.plans import code_queries, corpus_queries, record_queries  # noqa: E402, F401  (they add theirs)
+from delve.plans import code_queries, corpus_queries, record_queries, tool_queries  # noqa: E402, F401  (they add theirs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -227,11 +227,17 @@ def repository_map(spark, d):
     return records.repository_map(files, graph.fan_in(edges), imports)
 
 
-@query("select doc_id as task_id, 'y' || doc_id || '.py' as path, 0 as position from documents")
+@query(
+    f"""with {_PATHS}, w as (select page_id, path, len(path) as n, contains(path, '/') and path like '%1%' as two from p)
+    select page_id as task_id, path, 0 as position from w union all select page_id, 'old/' || path, 5 from w where two"""
+)
 def patch_paths(spark, d):
-    i = F.col("doc_id").cast("string")
-    patch = F.concat(F.lit("diff --git a/x"), i, F.lit(".py b/y"), i, F.lit(".py\n--- a/x"), i, F.lit(".py\n+++ b/y"), i, F.lit(".py\n@@ -1 +1 @@\n-a\n+b\n"))
-    return sources.changed_files(read(spark, d, "documents").select(F.col("doc_id").alias("task_id"), patch.alias("patch")))
+    """A patch of each page's path; some have a second file, then the first again, and a quoted name."""
+    path = F.col("path")
+    head = lambda x: F.concat(F.lit("diff --git a/"), x, F.lit(" b/"), x, F.lit("\n--- a/"), x, F.lit("\n+++ b/"), x, F.lit("\n@@ -1 +1 @@\n-a"))
+    more = F.concat(F.lit("\n"), head(F.concat(F.lit("old/"), path)), F.lit("\n"), head(path), F.lit('\ndiff --git "a/q" "b/q"'))
+    both = F.concat(head(path), F.when(F.contains(path, F.lit("/")) & F.contains(path, F.lit("1")), more).otherwise(""))
+    return sources.changed_files(_paths(spark, d).select(F.col("page_id").alias("task_id"), both.alias("patch")))
 
 
 # tests

@@ -27,9 +27,9 @@ def ingest_tasks(spark, d):
     return kept.select("task_id", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("task_id", "reason"))
 
 
-@query("select c_custkey as task_id from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
+@query("select c_custkey as task_id from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F')")
 def fresh_tasks(spark, d):
-    taken = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("task_id"))
+    taken = read(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("task_id"))
     return records.without(read(spark, d, "customer").select(F.col("c_custkey").alias("task_id")), taken)
 
 

@@ -66,20 +66,28 @@ class Tools:
         key = F.concat_ws("|", "kind", "path", F.coalesce("symbol", F.lit("")), F.coalesce(F.col("line").cast("string"), F.lit("")), F.col("n").cast("string"))
         return search_index.build(self.documents().withColumn("key", key), "key", by="kind", keep=("path", "symbol", "line", "kind", "n", "snippet"))
 
+    def _answer(self, name: str, args: dict[str, Any]) -> tuple[DataFrame, int]:
+        tool = getattr(self, f"_{name}", None)
+        if tool is None or name not in (*LIMITS, "inspect_symbol", "file_diff"):
+            raise ToolError("unknown_tool", f"no tool {name}", ", ".join(LIMITS))
+        limit = args.get("limit", LIMITS.get(name, 1))
+        if not isinstance(limit, int) or not 1 <= limit <= LIMITS.get(name, limit):
+            raise ToolError("invalid_arguments", f"limit must be 1 to {LIMITS.get(name)}")
+        try:
+            return tool(**args)
+        except TypeError as e:
+            raise ToolError("invalid_arguments", str(e)) from None
+
+    def frame(self, name: str, **args: Any) -> DataFrame:
+        """A tool's rows, at most its limit, as a DataFrame to go on with; what invoke() tells as an error is raised."""
+        df, limit = self._answer(name, args)
+        return df.limit(limit)
+
     def invoke(self, name: str, **args: Any) -> Result:
         self.calls += 1
         evidence = f"e{self.calls}"
-        tool = getattr(self, f"_{name}", None)
         try:
-            if tool is None or name.startswith("_"):
-                raise ToolError("unknown_tool", f"no tool {name}", ", ".join(LIMITS))
-            limit = args.get("limit", LIMITS.get(name, 1))
-            if not isinstance(limit, int) or not 1 <= limit <= LIMITS.get(name, limit):
-                raise ToolError("invalid_arguments", f"limit must be 1 to {LIMITS.get(name)}")
-            try:
-                df, limit = tool(**args)
-            except TypeError as e:
-                raise ToolError("invalid_arguments", str(e)) from None
+            df, limit = self._answer(name, args)
             rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
             was_cut = any(r.pop("cut", False) for r in rows)
             return Result(True, rows[:limit], None, evidence, len(rows) > limit or was_cut)
