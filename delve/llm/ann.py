@@ -7,7 +7,8 @@ what a vector still needs to be among the nearest, and abandons it early.  Survi
 Bounds: the quantiser, the number of probed lists and a query's first threshold come from at most `sample` vectors, an eighth of a
 small table; every vector is indexed, and a result comes from a scanned list alone.  Lists grow with the vectors: beyond `coarse` of them a
 list is a coarse centroid and one of a codebook of residuals, so that codebooks stay small.  Lists and queries meet in cells of
-bounded size, so a hot list is many cells.  A query whose lists hold fewer than k scans all lists, without the test.  Of equal vectors the
+bounded size, by the numbers of each list: one that holds many vectors, or that many queries probe, is many cells.  A query whose lists hold fewer
+than k goes on with four times as many lists, and again, until it has k or has scanned all, at last without the test.  Of equal vectors the
 index keeps the k + 1 smallest ids: no other one can be among anyone's k nearest.
 """
 
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from delve.llm.common import materialise, table
 
 
+#: A query whose lists hold too few goes on with this many times as many of them.
+WIDER = 4
+
+
 @dataclass(frozen=True)
 class Params:
     k: int = 20
@@ -34,7 +39,7 @@ class Params:
     recall: float = 0.97  # on the sample, for the number of probed lists
     epsilon: float = 2.1  # of the hypothesis test: larger abandons later
     columns: int = 16  # of a column block
-    cell_rows: int = 4096  # vectors, and queries, of a cell at most on average
+    cell_rows: int = 4096  # vectors, and queries, of a cell on average, whatever list it is of
     seed: int = 7
 
 
@@ -241,25 +246,24 @@ def _distinct(vectors: DataFrame, k: int) -> DataFrame:
 _HITS = "key long, vec_id long, score double"
 
 
-def _probed(wanted: DataFrame, hot: DataFrame, index, chunks: int, every: bool) -> DataFrame:
-    """A row for each cell that a query's vector is held against: key, embedding, floor, list, block, chunk."""
+def _probed(wanted: DataFrame, index, probes: int) -> DataFrame:
+    """key, floor, list for each list that a query's vector is held against; vectors stay where they are."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
+        every = probes >= own.lists
         for batch in batches:
             x = matrix(batch.column("embedding"))
-            for a in range(0, len(x), 256 if not every else 1):
-                part = x[a : a + (256 if not every else 1)]
+            step = max(1, min(256, (1 << 20) // probes))
+            for a in range(0, len(x), step):
+                part = x[a : a + step]
                 q = np.hstack([part.astype(np.float64), np.zeros((len(part), 1))])
-                lists = np.arange(own.lists)[None, :] if every else nearest_lists(q, own, own.probes)
+                lists = np.tile(np.arange(own.lists), (len(part), 1)) if every else nearest_lists(q, own, probes)
                 at = pa.array(a + np.repeat(np.arange(len(part)), lists.shape[1]))
                 floor = np.repeat(first_threshold(own, part), lists.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("embedding").take(at), pa.array(floor), pa.array(lists.ravel())], ["key", "embedding", "floor", "list"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), pa.array(floor), pa.array(lists.ravel().astype(np.int64))], ["key", "floor", "list"])
 
-    kind = wanted.schema["embedding"].dataType.simpleString()
-    rows = wanted.mapInArrow(probe, f"key long, embedding {kind}, floor double, list long").join(hot, "list", "left")
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(chunks)).cast("int"))
+    return wanted.mapInArrow(probe, "key long, floor double, list long")
 
 
 def _scanned(left: DataFrame, right: DataFrame, index, epsilon: float) -> DataFrame:
@@ -320,28 +324,36 @@ def search(vectors: DataFrame, queries: DataFrame, params: Params = Params()) ->
             yield batch.append_column("list", pa.array(lists.astype(np.int64)))
 
     listed = materialise(distinct.mapInArrow(assign, f"key long, ids array<long>, embedding {kind}, list long"), "lists")
-    blocks = F.ceil(F.col("size") / p.cell_rows).cast("int").alias("blocks")
-    hot = materialise(listed.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > p.cell_rows).select("list", blocks), "hot")  # a cell_rows-th of the vectors at most
+    sizes = materialise(listed.groupBy("list").agg(F.count("*").alias("size")), "sizes")
 
     asked = queries.join(distinct.select("key", "embedding"), "embedding").select("vec_id", "key")
     asked = materialise(asked, "asked")
     wanted = materialise(distinct.join(asked.select("key").distinct(), "key", "left_semi").select("key", "embedding"), "queries")
-    cells = listed.join(hot, "list", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    parts = lambda n: F.ceil(F.col(n) / p.cell_rows).cast("int")
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     def nearest(wanted: DataFrame, probes: int, epsilon: float) -> DataFrame:
-        """key and its near vectors, best first.  As lists grow with the vectors, chunks do not."""
-        chunks = max(1, -(-wanted.count() * probes // (index.value.lists * p.cell_rows)))
-        right = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        hits = _scanned(_probed(wanted, hot, index, chunks, every=probes == index.value.lists), right, index, epsilon)
+        """key and its near vectors, best first.  Each list's vectors are dealt to blocks and its queries to chunks, as many as its own numbers ask for."""
+        probed = materialise(_probed(wanted, index, probes), "probed")
+        asking = probed.groupBy("list").agg(F.count("*").alias("queries"))
+        cells = materialise(sizes.join(asking, "list").select("list", parts("size").alias("blocks"), parts("queries").alias("chunks")), "cells")
+        left = probed.join(cells, "list").select("key", "floor", "list", F.pmod(F.xxhash64("key", F.lit(1)), "chunks").cast("int").alias("chunk"), places("blocks").alias("block"))
+        right = listed.join(cells, "list").select("key", "ids", "embedding", "list", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), places("chunks").alias("chunk"))
+        hits = _scanned(left.join(wanted, "key"), right, index, epsilon)
         ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k + 1)
         return materialise(ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near")), "near")
 
-    near = nearest(wanted, index.value.probes, p.epsilon)
-    enough = near.where(F.size("near") >= min(p.k + 1, facts.ids))
-    few = materialise(wanted.join(enough, "key", "left_anti"), "few")
-    if not few.isEmpty():
-        near = enough.unionByName(nearest(few, index.value.lists, float("inf")))
+    probes, near, left = index.value.probes, None, wanted
+    while True:
+        last = probes >= index.value.lists
+        found = nearest(left, probes, float("inf") if last and near is not None else p.epsilon)
+        enough = found if last and near is not None else found.where(F.size("near") >= min(p.k + 1, facts.ids))
+        near = enough if near is None else near.unionByName(enough)
+        left = materialise(left.join(enough, "key", "left_anti"), "few")
+        if left.isEmpty() or (last and found is enough):
+            break
+        probes = min(index.value.lists, WIDER * probes)
     each = asked.join(near, "key").select(F.col("vec_id").alias("query_id"), F.filter("near", lambda x: x.vec_id != F.col("vec_id")).alias("near"))
     each = each.select("query_id", F.posexplode(F.slice("near", 1, p.k)).alias("pos", "hit"))
     return each.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

@@ -53,6 +53,34 @@ def test_recall_on_a_table_of_many_times_the_sample(spark, params):
     assert recall(got, want) >= 0.9
 
 
+@pytest.mark.parametrize("kind, share", [("clusters", 0.2), ("lengths", 0.6)])
+def test_fifty_lists_with_the_parameters_of_the_query(spark, monkeypatch, kind, share):
+    """Recall, and what part of all pairs of a query and a vector is in cells; vectors of varied length gather in lists that all queries probe."""
+    rng, n, dim = np.random.default_rng(11), 26_000, 16
+    x = rng.standard_normal((n, dim))
+    x = 3 * rng.standard_normal((200, dim))[rng.integers(0, 200, n)] + x if kind == "clusters" else x * rng.lognormal(0, 0.5, (n, 1))
+    vectors = list(enumerate(x.astype(np.float32).tolist()))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    probed, sizes, materialise = [], {}, A.materialise
+
+    def watched(df, name):
+        out = materialise(df, name)
+        if name == "probed":
+            probed.append({r["list"]: r["count"] for r in out.groupBy("list").count().collect()})
+        if name == "sizes":
+            sizes.update({r["list"]: r["size"] for r in out.collect()})
+        if name == "cells":
+            assert all(r.blocks == -(-sizes[r["list"]] // 4096) and r.chunks == -(-probed[-1][r["list"]] // 4096) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(A, "materialise", watched)
+    queries = [v for v in vectors if v[0] % 20 == 0]
+    got, want = rows_of(A.search(df, df.where("vec_id % 20 = 0"))), brute(vectors, queries)
+    assert all(len(got[q]) == 20 for q in want) and recall(got, want) >= 0.9
+    assert len(sizes) >= 40 and sum(sizes.values()) == n
+    assert sum(m * sizes.get(c, 0) for each in probed for c, m in each.items()) <= share * n * len(queries)
+
+
 def test_doubles_and_lengths(spark):
     rows = [(0, [1.0, 1e-12]), (1, [1.0, 2e-12]), (2, [1.0]), (3, [0.5, 0.0, 9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -76,7 +104,7 @@ def test_copies_norms_and_odd_vectors(spark):
 
 
 def test_every_query_has_its_rows(spark):
-    # lists that hold few vectors, and only one of them probed
+    # lists that hold few vectors, and only one of them probed at first
     rng = np.random.default_rng(5)
     vectors = [(i, rng.standard_normal(16).tolist()) for i in range(400)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
