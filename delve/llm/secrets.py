@@ -102,8 +102,9 @@ def guess_cost(value: str, file: str | None = None, enough: float = math.inf) ->
 
     A part costs log10 of its own guesses, and log10(2) for the cut before it, unless it is the first: a word its rank, twice that if it is
     not in lower case, and twice if it is spelt with other characters; a date 365 days times the years; a repeat its unit's cost and the
-    count; a keyboard walk its start, length and turns; a brute-force span each character's alphabet.  An empty value costs 0.  The search
-    ends early at a place that every way passes at a cost of `enough`: the cost there is what is given back.
+    count; a keyboard walk its start, length and turns; a brute-force span each character's alphabet.  An empty value costs 0.  The whole
+    value is read.  Only where `enough` is given, to learn whether the cost is at least that, does the search end at a place that every way
+    passes at such a cost: the rest can but add to it, and the three numbers are those of that place.
     """
     return _remembered(value, file, enough) if len(value) <= REMEMBERED else _segmented(value, file, enough)
 
@@ -212,7 +213,7 @@ def guess_spans(text: str, base: list, file: str | None = None, threshold: float
         value, k = text[a:b], bisect_right(ends, a)
         if b - a < 8 or (m[1] is None and value.isalpha()) or CREDENTIAL.fullmatch(value.rstrip("=:>\"'")) or (k < len(starts) and starts[k] < b):
             continue
-        cost, unexplained, alone = guess_cost(value, file, threshold)
+        cost, unexplained, alone = guess_cost(value, file)  # of the whole value: its end may explain or bear as much as its beginning
         if cost >= threshold and unexplained >= max(UNEXPLAINED, EXPLAINED_LESS * alone):
             out.append((a, 3, b, "guess"))
             at = end

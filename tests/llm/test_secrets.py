@@ -155,6 +155,12 @@ def test_values_of_letters_and_behind_credential_words(text, values):
     assert values is None or [text[a:b] for a, _, b, _ in spans] == values
 
 
+def test_the_whole_value_is_judged():
+    value = "documentation/reference/" * 8 + "Zq8kf2Lmw9xvKqJ7rXzQ4pTbN6yHc3WgDs5Vm1EoUi0Lk8PzqXj" * 8
+    text = f"token: {value} end"
+    assert [text[a:b] for a, _, b, _ in S.guess_spans(text, [], FILE)] == [value]
+
+
 def test_masked(spark):
     docs = spark.createDataFrame([(1, "x password=7602ad27cf5550de1c y", 3), (2, None, 4), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     assert [r.text for r in S.masked(docs).orderBy("doc_id").collect()] == ["x [SECRET] y", None, "plain"]
