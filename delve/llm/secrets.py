@@ -190,7 +190,8 @@ def guess_spans(text: str, base: list, file: str | None = None, threshold: float
     UNEXPLAINED holds as well, and more than half of the letters and digits are such that no part explains them: names, calls, URLs and headers cost
     much by their number of parts and separators, but words explain most of them.
     Letters alone are no value after a bare space.  A value that is not
-    reported may be the word of the next context (`auth password: ...`), so the search goes on at its start; after a reported one, at its end.
+    reported may be the word of the next context (`auth password: ...`), so the search goes on at its start; after a reported one, at its end, which
+    need not be its run's: `pwd=...&token=...` holds two.
     """
     if not hinted(text):
         return []
@@ -216,7 +217,7 @@ def guess_spans(text: str, base: list, file: str | None = None, threshold: float
         cost, unexplained, alone = guess_cost(value, file)  # of the whole value: its end may explain or bear as much as its beginning
         if cost >= threshold and unexplained >= max(UNEXPLAINED, EXPLAINED_LESS * alone):
             out.append((a, 3, b, "guess"))
-            at = end
+            at = b
     return out
 
 

@@ -161,6 +161,14 @@ def test_the_whole_value_is_judged():
     assert [text[a:b] for a, _, b, _ in S.guess_spans(text, [], FILE)] == [value]
 
 
+def test_every_value_of_a_run_is_judged():
+    values = ["Zq8$kf!2Lmw9^x", "v7Kp#2mQx9Lw", "hT4-mW9-rX2-kP7"]
+    text = "see ?" + "&".join(f"pwd={v}" for v in values) + " end"
+    spans = S.guess_spans(text, [], FILE)
+    assert [text[a:b].rstrip("&") for a, _, b, _ in spans] == values
+    assert not any(v in S.mask(text, spans) for v in values)
+
+
 def test_masked(spark):
     docs = spark.createDataFrame([(1, "x password=7602ad27cf5550de1c y", 3), (2, None, 4), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     assert [r.text for r in S.masked(docs).orderBy("doc_id").collect()] == ["x [SECRET] y", None, "plain"]
