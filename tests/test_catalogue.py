@@ -35,3 +35,8 @@ def test_results_do_not_depend_on_partitions(spark):
             assert seen[0] == seen[1], name
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_every_supplier_is_a_start_of_neighbours(spark):
+    suppliers = {f"s{r.l_suppkey}" for r in spark.read.parquet(f"{D}/lineitem.parquet").select("l_suppkey").distinct().collect()}
+    assert {r.start for r in catalogue.neighbours(spark, D).select("start").distinct().collect()} == suppliers and len(suppliers) > 1
