@@ -89,11 +89,12 @@ def component_order(spark, d):
 
 @query("select row_number() over (order by event_id) - 1 as sequence, props as payload, (row_number() over (order by event_id) - 1) // 4000 as append, null::varchar as problem from events")
 def journal_sink(spark, d):
-    """All events appended to one journal in batches of 4,000, each going on from the tail of the one before; read back and checked."""
+    """All events appended to one journal in batches of 4,000, each going on from the tail of the one before, 64 in a write; read back and checked."""
     path = f"{stage_dir(spark)}/journal"
     rows = numbered(read(spark, d, "events").select("event_id", F.col("props").alias("payload")), "sequence", "event_id")
-    for first in range(0, rows.count(), 4000):
-        journal_source.append(rows.where(F.col("sequence").between(first, first + 3999)), path)
+    batch, write = 4000, 64 * 4000  # a write's rows are one task's, so they are bounded
+    for first in range(0, rows.count(), write):
+        journal_source.append(rows.where(F.col("sequence").between(first, first + write - 1)), path, batch)
     log = journal_source.load(spark, path).withColumn("journal", F.lit(0))
     checked = journal.check_chain(log.select("journal", "sequence", "previous", "payload", "sha256", "segment"))
     return checked.select("sequence", "payload", F.expr("cast(regexp_extract(segment, '([0-9]+)', 1) as long) div 4000").alias("append"), "problem")

@@ -5,7 +5,7 @@
 
 A write reads the log's tail first and goes on from there: one task chains the new records in order, in a stream, into a file that no reader
 sees.  The commit looks at the tail again and links the file under the name of its first sequence, which fails if it is taken: of two
-writers from one tail one gets the name, the other's write fails and leaves nothing.  Files appear whole or not at all, and a reader
+writers from one tail one gets the name, the other's write fails and leaves nothing.  A write in batches makes a segment of each, one going on from the other, and links them in order.  Files appear whole or not at all, and a reader
 refuses one that is torn all the same.  The folder must be one that driver and executors share.
 """
 
@@ -50,10 +50,13 @@ def segments(path: str) -> list[str]:
     return sorted(filter(_SEGMENT.fullmatch, os.listdir(path) if os.path.isdir(path) else []))
 
 
+_json = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def line_of(sequence: int, previous: str, payload: str) -> tuple[str, str]:
     """A record as a line, and its hash."""
     sha256 = hashlib.sha256(f"{previous}\n{payload}".encode()).hexdigest()
-    return json.dumps({"sequence": sequence, "previous": previous, "payload": payload, "sha256": sha256}, ensure_ascii=False, separators=(",", ":")) + "\n", sha256
+    return _json({"sequence": sequence, "previous": previous, "payload": payload, "sha256": sha256}) + "\n", sha256
 
 
 def end_of(rows: int, sha256: str) -> str:
@@ -67,7 +70,7 @@ def records(file: str) -> Iterator[dict]:
     first, rows, previous, ended = int(_SEGMENT.fullmatch(name)[1]), 0, None, False
     with open(file, "rb") as f:
         for line in f:
-            if ended or line == end_of(rows, previous or "").encode():
+            if ended or (line.startswith(b'{"rows":') and line == end_of(rows, previous or "").encode()):
                 if ended:
                     raise JournalError(f"torn_or_altered after the end of {name}")
                 ended = True
@@ -100,25 +103,32 @@ def tail(path: str) -> Tail:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    staged: str
-    rows: int
+    #: The first sequence and the file of each segment, in order.
+    staged: list[tuple[int, str]]
 
 
 class JournalWriter(DataSourceWriter):
-    def __init__(self, path: str):
+    def __init__(self, path: str, batch: int | None = None):
         self.path = path
+        self.batch = batch  # rows of a segment; all of a write if None
         os.makedirs(path, exist_ok=True)
         self.tail = tail(path)  # a torn log is refused before anything is written
         self.staged = os.path.join(path, f"_staged-{uuid.uuid4().hex}")
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        at, done = self.tail, []
         first = next(iterator, None)
-        if first is None:
-            return _Written("", 0)
-        sequence, previous, file = self.tail.sequence, self.tail.sha256, f"{self.staged}-{uuid.uuid4().hex}"
-        rows = 0
+        while first is not None:
+            file = f"{self.staged}-{uuid.uuid4().hex}"
+            done.append((at.sequence, file))
+            at, first = self._segment(file, at, first, iterator)
+        return _Written(done)
+
+    def _segment(self, file: str, at: Tail, first: Row | None, iterator: Iterator[Row]) -> tuple[Tail, Row | None]:
+        """Write a segment that goes on from at, of first and what follows; the tail it leaves and the first row behind it."""
+        sequence, previous, rows = at.sequence, at.sha256, 0
         with open(file, "x", encoding="utf-8") as f:
-            while first is not None:
+            while first is not None and rows != self.batch:
                 if first["sequence"] != sequence:
                     raise JournalError(f"sequence_gap: {first['sequence']} came where the log expects {sequence}")
                 payload = first["payload"] or ""
@@ -130,10 +140,10 @@ class JournalWriter(DataSourceWriter):
             f.write(end_of(rows, previous))
             f.flush()
             os.fsync(f.fileno())
-        return _Written(file, rows)
+        return Tail(sequence, previous), first
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        done = [m for m in messages if m and m.rows]
+        done = [m for m in messages if m and m.staged]
         try:
             if len(done) > 1:
                 raise JournalError("several_tasks: a log is written by one task; use append()")
@@ -142,7 +152,8 @@ class JournalWriter(DataSourceWriter):
                     raise JournalError("tail_moved: another writer has gone on with the log")
                 # the first sequence is the name: whoever links it has the log's next place
                 try:
-                    os.link(done[0].staged, os.path.join(self.path, f"segment-{self.tail.sequence:018d}.jsonl"))
+                    for sequence, staged in done[0].staged:
+                        os.link(staged, os.path.join(self.path, f"segment-{sequence:018d}.jsonl"))
                 except FileExistsError:
                     raise JournalError("tail_moved: another writer has taken the log's next place") from None
         finally:
@@ -189,18 +200,26 @@ class JournalSource(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise JournalError("append_only: a log is never written over")
-        return JournalWriter(folder(self.options["path"]))
+        batch = self.options.get("batch")
+        return JournalWriter(folder(self.options["path"]), int(batch) if batch else None)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(JournalSource)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Append rows (sequence, payload) to the log at path: all of them or, with an error, none.  Their sequences must go on from the log's without a gap; null payloads count as empty."""
+def append(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append rows (sequence, payload) to the log at path: all of them or, with an error, none.  Their sequences must go on from the log's without a gap; null payloads count as empty.
+
+    batch: make a segment of each so many rows, as appends one after the other would, in one write.  All are written before the first is
+    committed; if another writer comes between the commits, the batches before its own stay and the rest is an error.
+    """
+    if batch is not None and batch < 1:
+        raise ValueError("a batch has a row at least")
     register(rows.sparkSession)
     own = rows.select(F.col("sequence").cast("long").alias("sequence"), F.lit(None).cast("string").alias("previous"), "payload", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("segment"))
-    own.repartition(1).sortWithinPartitions("sequence").write.format("journal").mode("append").option("path", folder(path)).save()
+    writer = own.repartition(1).sortWithinPartitions("sequence").write.format("journal").mode("append").option("path", folder(path))
+    (writer.option("batch", batch) if batch else writer).save()
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

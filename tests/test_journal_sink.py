@@ -88,3 +88,18 @@ def test_writes_of_several_tasks_and_overwrites_are_refused(spark, tmp_path):
         wide.write.format("journal").mode("overwrite").option("path", path).save()
     assert journal.segments(path) == []
     assert journal.load(spark, path).collect() == []
+
+
+def test_a_write_in_batches_is_as_appends_one_after_the_other(spark, tmp_path):
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    for first, n in ((0, 4), (4, 4), (8, 4), (12, 2)):
+        journal.append(rows(spark, first, n), many)
+    journal.append(rows(spark, 0, 14), one, batch=4)
+    assert files(one) == files(many) and len(files(one)) == 4
+    for name in files(one):
+        assert open(os.path.join(one, name), "rb").read() == open(os.path.join(many, name), "rb").read()
+    with pytest.raises(PySparkException, match="sequence_gap"):
+        journal.append(rows(spark, 14, 9).where("sequence <> 20"), one, batch=4)
+    assert files(one) == files(many)
+    journal.append(rows(spark, 14, 4), one, batch=4)
+    assert journal.tail(one).sequence == 18 and journal.load(spark, one).count() == 18
