@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delve.llm.bwt_merge import load, repeats, transform
+from delve.llm.bwt_merge import load, repeats, sorted_order, transform
 from delve.llm.common import bucketed, drop_bucketed, materialise, mix, spans_of_rows, table, utf8
 
 LENGTH = 50
@@ -35,8 +35,8 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of the documents of a batch, and about the bytes of documents of a bucket.
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
-#: Bytes of strings whose suffixes are sorted at once, and strings of a document looked at at once.
-SHARD_BYTES, PIECE = 2 << 20, 1 << 20
+#: Bytes of strings whose suffixes are sorted at once, and strings looked at at once: few, so that their numbers stay in a core's cache.
+SHARD_BYTES, PIECE = 2 << 20, 1 << 15
 #: Runs of one anchor, over all batches, from which on it is split.
 HOT_RUNS = 20_000
 #: Bytes of documents of a bucket of the batch table.
@@ -83,25 +83,29 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iter
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each position on."""
-    h, size = _BYTE[raw], 1
+    h, size = np.take(_BYTE, raw), 1
     while size < GRAM:
-        h = h[:-size] * np.uint64(pow(0xD6E8FEB86659FD93, size, 1 << 64)) + h[size:]
+        last = h[size:]
+        h = h[:-size] * np.uint64(pow(0xD6E8FEB86659FD93, size, 1 << 64))
+        h += last
         size *= 2
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9FB21C651E98DF25)
     h ^= h >> np.uint64(29)
     return h
 
 
 def anchor_at(h: np.ndarray, width: int) -> np.ndarray:
-    """Where the least of each `width` hashes in a row is, the leftmost of equal ones."""
-    bits = np.uint64(24)  # of a position in a piece; the rest are the hash's
-    key = (h >> bits) << bits | np.arange(len(h), dtype=np.uint64)
+    """Where the least of each `width` hashes in a row is, by their high bits, the leftmost of equal ones."""
+    # bits of a position; the rest are the hash's, as many for any piece, so that equal strings have equal anchors
+    bits, word = (16, np.uint32) if PIECE + width <= 1 << 16 else (24, np.uint64)
+    key = (h >> np.uint64(64 - 8 * word().itemsize)).astype(word) >> word(bits) << word(bits) | np.arange(len(h), dtype=word)
     size, n = 1, len(h) - width + 1
     while size * 2 <= width:
         key = np.minimum(key[:-size], key[size:])
         size *= 2
     key = np.minimum(key[:n], key[width - size : width - size + n])
-    return (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return (key & word((1 << bits) - 1)).astype(np.int64)
 
 
 def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -164,7 +168,7 @@ class Batch:
         differ, 6 bits with the logarithm of their number."""
         if not len(self.anchor):
             return self.anchor, np.zeros(0, np.uint32)
-        order = np.argsort(self.anchor)
+        order = sorted_order(self.anchor)
         v, ids, h = self.anchor[order], self.ids[self.doc][order], self.hash[order]
         first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
@@ -180,7 +184,9 @@ class Batch:
     def keep(self, values: np.ndarray, marks: np.ndarray) -> None:
         """Go on with the runs of the anchors (values: distinct()) that marks (shared, alike, hot of each) has as shared; hot ones are split."""
         shared, alike, hot = marks
-        at = np.searchsorted(values, self.anchor)
+        order = sorted_order(self.anchor)
+        v, at = self.anchor[order], np.empty(len(order), np.int64)
+        at[order] = np.cumsum(np.concatenate([[False], v[1:] != v[:-1]])[: len(v)])  # of values
         chosen = shared[at] if len(values) else np.zeros(0, bool)
         self._take(chosen)
         at = at[chosen]
@@ -425,7 +431,7 @@ def _merge(length: int):
                 shard_strings.append(int((~sure).sum()))
                 other = np.concatenate([other, p[~sure]])
         if len(other):
-            merged = load(np.concatenate(before), np.concatenate(first), np.array(shard_rows), np.array(shard_strings))
+            merged = load(np.concatenate(before), np.concatenate(first), np.array(shard_rows), np.array(shard_strings), count[other] + length - 1)
             at, interval = repeats(merged, length, anchor[other], shift[other], owner[other])
             if len(at):
                 n = count[other]

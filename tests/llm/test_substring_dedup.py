@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from delve.llm import bwt_merge as B
 from delve.llm import substring_dedup as D
 from delve.llm.bwt_merge import load, repeats, suffix_order, transform
 
@@ -113,3 +114,39 @@ def test_merge_of_shards_equals_sorting():
         for j, i in places:
             held.setdefault((strings[j][i : i + n], kind[j], shift[j] - i), set()).add((j, i))
         assert sorted(map(sorted, got.values())) == sorted(sorted(w) for w in held.values() if len({owner[j] for j, _ in w}) > 1)
+
+
+def counted(monkeypatch):
+    calls = []
+    for name in ("sort", "argsort"):
+        monkeypatch.setattr(np, name, lambda *a, f=getattr(np, name), **b: calls.append(name) or f(*a, **b))
+    return calls
+
+
+def test_sorts_do_not_grow_with_the_strings(monkeypatch):
+    """Tied suffixes are ranked by doubling, and intervals refined by several bytes a step."""
+    strings = [b"a" * 2000, b"a" * 1999, b"ab" * 1000, b"a" * 2000]
+    data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(t) for t in strings])
+    calls = counted(monkeypatch)
+    order = suffix_order(data, ends)
+    assert len(calls) <= 30  # 500 with four bytes a round
+    monkeypatch.undo()
+    at = [(t[i:], j) for j, t in enumerate(strings) for i in range(len(t) + 1)]
+    assert order.tolist() == sorted(range(len(at)), key=lambda p: at[p])
+    before, first = transform(data, ends)
+    merge = load(before, first, np.array([len(before)]), np.array([4]))
+    calls = counted(monkeypatch)
+    at, interval = repeats(merge, 50, np.zeros(4, int), np.zeros(4, int), np.arange(4))
+    assert len(calls) <= 20  # 26 with two bytes a step
+    assert len(at) == 1951 + 1950 + 1951 and np.bincount(interval).max() == 3  # one start, two or three strings
+
+
+def test_orders_of_numbers_that_their_high_bits_do_not_tell():
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 1 << 63, 500, np.uint64), rng.integers(0, 9, 500).astype(np.uint64), np.zeros(0, np.uint64)):
+        assert B.sorted_order(x).tolist() == np.argsort(x, kind="stable").tolist()
+        for used in (63, 64):  # a number and its place do not fit
+            order, found = B.sorted_places(x, used)
+            assert order.tolist() == np.argsort(x, kind="stable").tolist() and found.tolist() == sorted(x.tolist())
+    x = rng.integers(0, 99, 500).astype(np.uint64)
+    assert B.sorted_places(x, 7)[0].tolist() == np.argsort(x, kind="stable").tolist()
