@@ -135,7 +135,7 @@ def accounts(spark, d):
 
 @query(_ACCOUNTS)
 def accounts_stream(spark, d):
-    """The same as a stream with typed state; of each task the last row stands."""
+    """The same as a stream whose state is an attempt's; of each attempt the last row stands, and a task's account is that of its attempts."""
     source = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
-    told = windows.run_available(spark, source, lambda e: accounting.accounts_stream(_account_events(e)), "update")
-    return accounting.latest(told).drop("expired")
+    told = windows.run_available(spark, source, lambda e: accounting.attempts_stream(_account_events(e)), "update")
+    return accounting.accounts_of(accounting.latest(told, "task", "attempt"))

@@ -72,13 +72,18 @@ def _with_status(sums: DataFrame) -> DataFrame:
 
 def accounts(events: DataFrame) -> DataFrame:
     """One row for each task of events (EVENT, without at): what its attempts reserved, used and cost, what is open, its status and why."""
+    return accounts_of(attempt_states(events))
+
+
+def accounts_of(attempts: DataFrame) -> DataFrame:
+    """The accounts of attempt_states()."""
     own, sure = F.col("attempt").isNotNull(), F.col("low") == F.col("high")
     certain = (F.col("settlements") > 0) & ~F.col("uncertain") & sure
     seen, held = F.coalesce("high", F.lit(0)), F.coalesce("reserved", F.lit(0))
     of = lambda value: F.coalesce(F.sum(F.when(own, value)), F.lit(0)).alias
     count = lambda what: F.count_if(own & F.coalesce(what, F.lit(False))).alias
     end = F.max(F.when(F.col("end_sequence").isNotNull(), F.struct("end_sequence", "end_kind", "end_reason"))).alias("end")
-    sums = attempt_states(events).groupBy("task").agg(
+    sums = attempts.groupBy("task").agg(
         F.sum("events").alias("events"), F.max("allocation").alias("allocation"), F.sum("requests").alias("requests"), F.sum("responses").alias("responses"), end,
         count(F.lit(True))("attempts"), of(held)("reserved_"), of(seen)("observed"), of(F.when(F.coalesce(certain, F.lit(False)), seen).otherwise(F.greatest(held, seen)))("charged"),
         count(~sure)("conflicts"), count(F.col("uncertain") | F.col("high").isNull())("uncertain_"), count(F.col("settlements") == 0)("unresolved"), count(F.col("settlements") > 1)("repeated"),
@@ -186,7 +191,17 @@ def accounts_stream(events: DataFrame, patience: int | None = None, before: Data
     return _with_status(told)
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """Of a stream's rows the last of each task: that which counts the most events."""
-    names = [c for c in rows.columns if c not in ("task", "events")]
-    return rows.groupBy("task").agg(F.max("events").alias("events"), F.max_by(F.struct(*names), "events").alias("x")).select("task", "events", "x.*")
+def attempts_stream(events: DataFrame) -> DataFrame:
+    """attempt_states() over a stream of events: for each micro-batch a row of each attempt that it has events of; see latest() and accounts_of().
+
+    State is Spark's own, of a group, so that none of it goes through Python: what accounts_stream() does for each task costs several calls between the two.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return attempt_states(events)
+
+
+def latest(rows: DataFrame, *by: str) -> DataFrame:
+    """Of a stream's rows the last of each task (or of by): that which counts the most events."""
+    by = by or ("task",)
+    names = [c for c in rows.columns if c not in (*by, "events")]
+    return rows.groupBy(*by).agg(F.max("events").alias("events"), F.max_by(F.struct(*names), "events").alias("x")).select(*by, "events", "x.*")

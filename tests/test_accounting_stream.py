@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from delve.plans import corpus_queries
 from delve.streaming import accounting as A
 from delve.streaming import windows
 
@@ -95,3 +96,20 @@ def test_attempts_that_are_never_settled_are_told(spark, tmp_path):
     rows = [[(1, 1, 0, "reserved", 10, None, None, None, at(0)), (2, 1, 1, "reserved", 7, None, None, None, at(0))], [(2, 1, 2, "settled", 7, None, None, None, at(5))], [(3, None, 3, "started", 50, None, None, None, at(500))], [(3, None, 4, "request", None, None, None, None, at(900))]]
     told = streamed(spark, tmp_path, rows, patience=60_000).where("expired").collect()
     assert [(r.task, r.unresolved, r.charged) for r in told] == [(1, 1, 10)]
+
+
+def test_attempts_as_a_stream_make_the_accounts(spark, tmp_path, monkeypatch):
+    """Whatever the micro-batches; and the query over all events calls no Python for a task, as it did before."""
+    events = random_events(random.Random(7), 300, [1, 2, *range(10, 20)])
+    random.Random(8).shuffle(events)
+    for i, rows in enumerate([events[:1], events[1:120], events[120:]]):
+        spark.createDataFrame(rows, A.EVENT).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema(A.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    told = windows.run_available(spark, source, A.attempts_stream, "update")
+    got = A.accounts_of(A.latest(told, "task", "attempt"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(events) and told.count() > A.latest(told, "task", "attempt").count()
+    plans = []
+    run = windows.run_available
+    monkeypatch.setattr(windows, "run_available", lambda s, source, plan, mode: plans.append(plan(source)) or run(s, source, plan, mode))
+    assert corpus_queries.accounts_stream(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 1 and plans[0].isStreaming and "InPandas" not in plans[0]._jdf.queryExecution().logical().toString()
