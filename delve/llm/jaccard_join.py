@@ -404,7 +404,9 @@ def join(docs: DataFrame, params: Params = Params()) -> DataFrame:
     tokens, *written = bucketed(dealt.join(active.repartition(parts, "set_id"), "set_id"), parts, "set_id")
     leaves = rows.where(F.col("size") <= p.bucket) if p.depth > 1 else rows
     for depth in range(2, p.depth + 1):
-        rows = materialise(_shared(_split(rows.where(F.col("size") > p.bucket).select("leaf", "set_id"), tokens, p)), "rows")
+        # written before _shared() reads it twice, so that no plan can split the same rows twice
+        below = materialise(_split(rows.where(F.col("size") > p.bucket).select("leaf", "set_id"), tokens, p), "split")
+        rows = materialise(_shared(below), "rows")
         leaves = leaves.unionByName(rows.where(F.col("size") <= p.bucket) if depth < p.depth else rows)
         if rows.isEmpty():
             break

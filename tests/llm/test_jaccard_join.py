@@ -157,3 +157,24 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+
+
+def test_rows_of_a_node_are_split_once_and_in_proportion(spark, monkeypatch):
+    """A plan that both counts and joins the children must not hold their making twice; a group of near copies twice as large has twice as many."""
+    write, plans, made = J.materialise, [], {}
+
+    def recorded(df, name="table", *rest):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")))
+        out = write(df, name, *rest)
+        if name == "split":
+            made[group] = made.get(group, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "materialise", recorded)
+    rng = random.Random(6)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(120))
+    for group in (100, 200):
+        rows = near_copies(rng, base, group, 3)
+        J.join(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), J.Params(bucket=20)).count()
+    assert all(n <= 1 for _, n in plans), plans
+    assert made[100] > 0 and made[200] < 3 * made[100], made
